@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bit_packing, byte_bpe, decontamination, sharding, token_counts, url_filter
+from . import bit_packing, byte_bpe, decontamination, near_dedup, sharding, token_counts, url_filter
 from .common import table
 
 URL_RULES = [
@@ -17,6 +17,10 @@ URL_RULES = [
 ]
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
     return judged.select("page_id", "host", "path", "rule", "verdict")
@@ -62,6 +66,7 @@ def op10_bit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_url_filter": op3_url_filter,
     "op5_token_counts": op5_token_counts,
     "op6_sharding": op6_sharding,
