@@ -4,6 +4,18 @@ _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghi
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 ORACLE_SQL = {
+    "op1_exact_top_k": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+),
+pairs AS (
+  SELECT q.vec_id AS query_id, v.vec_id, cast(list_sum(list_transform(range(1, len(v.e) + 1), lambda i: v.e[i] * q.e[i])) AS BIGINT) AS score
+  FROM v AS q, v WHERE q.vec_id % 50 = 0 AND v.vec_id <> q.vec_id
+)
+SELECT query_id, cast(rank AS INT) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs
+) WHERE rank <= 5
+""",
     "op9_decontamination": f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 b AS (SELECT DISTINCT item_id, {_WORDS} AS w FROM benchmark),
