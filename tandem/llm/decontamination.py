@@ -1,23 +1,24 @@
 """Benchmark decontamination as a prefix-filtered set join, in DataFrame operations only.
 
 A window is `width` consecutive words of an item. A document holds a window only if it holds the window's rarest word
-(a prefix of one word is enough where the whole window must be contained), so only that word is joined. Neighbouring
-windows share their rarest word: they travel together as one anchor, a stretch of the item with the word's place in
-it. Where a document word meets an anchor, the window's place in the document follows from the word's; places that
-stick out at either end are dropped by their bounds, and the rest is verified by comparing the words themselves.
+(a prefix of one word is enough where the whole window must be contained), so only that word is joined. Where a
+document word meets a window's rarest word, the window's place in the document follows from the word's place in the
+window; places that stick out at either end are dropped by their bounds, and the rest is verified by comparing the
+words themselves inside the join, so a document's words are never copied.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, lower_ascii
 
 #: Digits, a-z and everything beyond ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Rows of the anchor table up to which it is broadcast; its size is counted first. Each has under 2 * width words.
-BROADCAST_ROWS = 50_000
+#: Words of the benchmark up to which its windows, `width` words for each of them at most, are broadcast.
+#: The words are counted first; a larger benchmark is joined by shuffling.
+BROADCAST_WORDS = 100_000
 
 
 def words(text: Column) -> Column:
@@ -28,41 +29,20 @@ def _join(left: DataFrame, right: DataFrame, small: bool, on, how: str = "inner"
     return left.join(F.broadcast(right) if small else right.hint("merge"), on, how)
 
 
-def anchors(docs: DataFrame, items: DataFrame, width: int, small: bool, scratch: Scratch) -> DataFrame:
-    """token, item_id, stretch (words), place (of the token in it), starts (number of windows), span (their length)."""
+def rare_windows(docs: DataFrame, items: DataFrame, width: int, small: bool, scratch: Scratch) -> DataFrame:
+    """token (the window's rarest), place (of the token in it), item_id, span and window, for windows that may occur."""
     tokens = items.select(F.explode("words").alias("token")).distinct()
-    seen = docs.select(F.explode(words(F.col("text"))).alias("token"))
+    seen = docs.select(F.explode_outer(words(F.col("text"))).alias("token"))
     rarity = _join(seen, tokens, small, "token", "left_semi").groupBy("token").agg(F.count("*").alias("seen"))
     rarity = scratch.keep(rarity, "rarity")
-    spread = items.select("item_id", "words", F.xxhash64("words").alias("item_hash"), F.posexplode("words").alias("at", "token"))
-    spread = spread.join(rarity, "token", "left").withColumn("seen", F.coalesce("seen", F.lit(0)))
     span = F.least(F.lit(width), F.size("words"))
-    first = F.greatest(F.lit(0), F.col("at") - span + 1)
-    last = F.least(F.size("words") - span, F.col("at"))
-    windows = (
-        spread.where(F.col("seen") > 0)
-        .select("*", span.alias("span"), F.explode(F.sequence(first, last)).alias("start"))
-        .groupBy("item_id", "item_hash", "start")
-        .agg(
-            F.min(F.struct("seen", "token", "at")).alias("rarest"),
-            F.count("*").alias("known"),
-            F.first("span").alias("span"),
-            F.first("words").alias("words"),
-        )
-        .where(F.col("known") == F.col("span"))  # a window with a word that no document has occurs nowhere
-    )
-    by_anchor = windows.groupBy("item_id", "item_hash", F.col("rarest.token").alias("token"), F.col("rarest.at").alias("at")).agg(
-        F.min("start").alias("low"), F.max("start").alias("high"), F.first("span").alias("span"), F.first("words").alias("words"),
-        F.collect_set("start").alias("starts"),
-    )
-    return by_anchor.select(
-        "token",
-        "item_id",
-        "span",
-        F.slice("words", F.col("low") + 1, F.col("high") - F.col("low") + F.col("span")).alias("stretch"),
-        (F.col("at") - F.col("low")).alias("place"),
-        F.transform("starts", lambda s: s - F.col("low")).alias("starts"),
-    )
+    starts = F.explode(F.sequence(F.lit(0), F.size("words") - span)).alias("start")
+    cut = items.select("item_id", "words", span.alias("span"), starts)
+    cut = cut.select("item_id", "span", F.slice("words", F.col("start") + 1, F.col("span")).alias("window")).distinct()
+    spread = cut.select("*", F.posexplode("window").alias("place", "token")).join(rarity, "token")
+    rarest = spread.groupBy("item_id", "span", "window").agg(F.min(F.struct("seen", "token", "place")).alias("rarest"), F.count("*").alias("known"))
+    # a window with a word that no document has occurs nowhere
+    return rarest.where(F.col("known") == F.col("span")).select("rarest.token", "rarest.place", "item_id", "span", "window")
 
 
 def find_windows(docs: DataFrame, benchmark: DataFrame, width: int = 10, scratch: Scratch | None = None) -> DataFrame:
@@ -71,38 +51,31 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, width: int = 10, scratch
     items = benchmark.select("item_id", words(F.col("text")).alias("words")).where(F.size("words") > 0).distinct()
     items = scratch.keep(items, "items")
     n_words = items.agg(F.sum(F.size("words"))).first()[0] or 0
-    small = n_words <= BROADCAST_ROWS
-    found = scratch.keep(anchors(docs, items, width, small, scratch), "anchors")
-    spread = docs.select(
-        "doc_id", F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("doc")
-    ).select("doc_id", "text_hash", "doc", F.posexplode("doc").alias("pos", "token"))
-    if not small:  # the words move: take only the neighbourhood along
-        low = F.greatest(F.lit(0), F.col("pos") - width + 1)
-        spread = spread.select(
-            "doc_id", "text_hash", "token", low.alias("cut"), "pos", F.slice("doc", low + 1, 2 * width - 1).alias("doc")
-        )
-    else:
+    small = n_words <= BROADCAST_WORDS
+    windows = scratch.keep(rare_windows(docs, items, width, small, scratch), "windows")
+    # explode_outer: an explode would have its input computed once more for a filter on its size
+    spread = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("doc")).select(
+        "doc_id", "text_hash", "doc", F.posexplode_outer("doc").alias("pos", "token")
+    )
+    if small:
         spread = spread.withColumn("cut", F.lit(0))
-    met = _join(spread, found, small, "token")
-    start = lambda s: F.col("pos") - F.col("cut") - F.col("place") + s  # noqa: E731  in doc, from 0
-    fits = lambda s: (
-        F.when((start(s) < 0) | (start(s) + F.col("span") > F.size("doc")), F.lit(False)).otherwise(
-            F.slice("doc", F.greatest(F.lit(1), start(s) + 1), F.col("span")) == F.slice("stretch", s + 1, F.col("span"))
+    else:  # the words move: each takes only its neighbourhood along
+        low = F.greatest(F.lit(0), F.col("pos") - width + 1)
+        spread = spread.where(F.col("token").isNotNull()).select(
+            "doc_id", "text_hash", "token", "pos", low.alias("cut"), F.slice("doc", low + 1, 2 * width - 1).alias("doc")
         )
-    )
-    held = met.select(
-        "doc_id", "text_hash", "item_id", "span",
-        (F.col("pos") - F.col("place")).alias("from"),
-        F.filter("starts", fits).alias("starts"),
-    ).where(F.size("starts") > 0)
-    held = held.withColumn("start", F.explode("starts"))
-    return held.select("doc_id", "text_hash", "item_id", "span", (F.col("start") + F.col("from")).alias("start"))
+    start = F.col("pos") - F.col("cut") - F.col("place")  # of the window in doc, from 0
+    fits = (start >= 0) & (start + F.col("span") <= F.size("doc")) & (F.slice("doc", F.greatest(start, F.lit(0)) + 1, F.col("span")) == F.col("window"))
+    met = spread.withColumnRenamed("token", "word")
+    on = (F.col("word") == F.col("token")) & fits
+    met = met.join(F.broadcast(windows), on) if small else met.join(windows.hint("merge"), on)
+    return met.select("doc_id", "text_hash", "item_id", "span", (F.col("pos") - F.col("place")).alias("start"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
     """Which words of each document lie in a benchmark window, and of which items.
 
-    One row for each row of docs. A null text has no words, an item without words has no windows, an empty benchmark
+    One row for each row of docs; text_hash, xxhash64 of the text, tells rows of one doc_id apart. A null text has no words, an item without words has no windows, an empty benchmark
     hits nothing. Rows with one doc_id and different texts are judged apart; repeated rows get equal results. Windows
     of an item whose item_id is null hit words, but are not counted among the items. Other columns are ignored.
     """
@@ -122,6 +95,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> Dat
         marks, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left"
     ).select(
         "doc_id",
+        "text_hash",
         "n_words",
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce("items", none).alias("items"),
