@@ -134,9 +134,9 @@ add(
 add(
     "placebo_permutation",
     f"""SELECT a.task, a.seed::BIGINT AS seed, a.mol_id, {r('b.pred3d')} AS placebo FROM
-  (SELECT task, seed, mol_id, row_number() OVER (PARTITION BY task, seed ORDER BY mol_id) AS at FROM t) a JOIN
-  (SELECT task, seed, pred3d, row_number() OVER (PARTITION BY task, seed ORDER BY ('0x' || substr(md5('7:' || mol_id), 1, 8))::BIGINT, mol_id) AS at FROM t) b
-  USING (task, seed, at)""",
+  (SELECT task, seed, mol_id, row_number() OVER (PARTITION BY task, seed ORDER BY mol_id) AS place FROM t) a JOIN
+  (SELECT task, seed, pred3d, row_number() OVER (PARTITION BY task, seed ORDER BY ('0x' || substr(md5('7:' || mol_id), 1, 8))::BIGINT, mol_id) AS place FROM t) b
+  USING (task, seed, place)""",
     PAIRED, TEST,
 )
 
@@ -364,7 +364,7 @@ add(
     "hashed_sign_perm",
     f"""SELECT task, seed::BIGINT AS seed, any_value(n) AS n, {r('any_value(mean)')} AS mean, {r('greatest(avg((round(m, 12) >= round(mean, 12))::DOUBLE), 1 / 40::DOUBLE)')} AS p FROM (
   SELECT task, seed, turn, avg(CASE WHEN coin = 1 THEN utility ELSE -utility END) AS m, avg(utility) AS mean, count(*) AS n FROM (
-    SELECT *, {hashed('at', 'turn', 0, '2')} AS coin FROM (SELECT *, row_number() OVER (PARTITION BY task, seed ORDER BY mol_id) AS at FROM uv), (SELECT unnest(range(0, 40)) AS turn)) GROUP BY ALL
+    SELECT *, {hashed('place', 'turn', 0, '2')} AS coin FROM (SELECT *, row_number() OVER (PARTITION BY task, seed ORDER BY mol_id) AS place FROM uv), (SELECT unnest(range(0, 40)) AS turn)) GROUP BY ALL
 ) GROUP BY task, seed""",
     PAIRED, UTIL, UV,
 )
@@ -420,7 +420,7 @@ add(
 )
 add("left_join_desc", f"SELECT p_brand, count(*) AS n, {r('sum(l_quantity)')} AS quantity FROM lineitem LEFT JOIN part ON l_partkey = p_partkey AND p_size < 25 GROUP BY p_brand")
 add("one_to_one_join", f"SELECT c_custkey AS key, {r('c_acctbal')} AS c_acctbal, {r('s_acctbal')} AS s_acctbal FROM customer JOIN supplier ON c_custkey = s_suppkey")
-add("anti_join_missing", "SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+add("anti_join_missing", "SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 add("duplicate_keys", "SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1")
 add("keep_last", f"SELECT o_custkey, o_orderkey, {r('o_totalprice')} AS o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS k FROM orders) WHERE k = 1")
 add("null_key_groups", "SELECT failure_reason, count(*) AS n, failure_reason IS NULL AS dropped FROM manifest GROUP BY failure_reason", MANIFEST)
@@ -485,3 +485,8 @@ add(
   UNION ALL SELECT task, seed, member, 'MAE', avg(abs(y - pred)) FROM members WHERE split = 'val' AND task_type = 'regression' GROUP BY task, seed, member)) WHERE k = 1""",
     MEMBERS, "mc AS (SELECT * FROM members WHERE split = 'val' AND task_type = 'classification')",
 )
+# --- streams
+add(
+    "stream_resource_window",
+    f"""SELECT epoch(date_trunc('day', ts))::BIGINT AS start, event_type, count(*) AS samples, {r('max(value)')} AS peak FROM events GROUP BY ALL""",
+)

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tandem.functions import scalars as S
 from tandem.operators import ensembles, inference, metrics, relational, routing, splits
-from tandem.sources.tables import read_table
+from tandem.sources.tables import read_table, scratch_path
+from tandem.streaming import monitor
 
 from .fixtures import experts, fingerprints, items, manifest, members, paired
 
@@ -518,7 +519,8 @@ def one_to_one_join(spark, sf):
 
 @query
 def anti_join_missing(spark, sf):
-    o = read_table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    """Customers without an urgent order."""
+    o = read_table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
     return read_table(spark, sf, "customer").select("c_custkey", "c_mktsegment").join(o, "c_custkey", "left_anti")
 
 
@@ -641,3 +643,16 @@ def best_single(spark, sf):
 @query
 def greedy_ensemble(spark, sf):
     return rounded(ensembles.greedy_ensemble(members(spark, sf).where("seed < 2"), ["task", "seed"], rounds=10))
+
+
+# --- streams -----------------------------------------------------------------------------------------------------
+
+
+@query
+def stream_resource_window(spark, sf):
+    """Daily peaks of every kind of event, as a stream over the files that are there."""
+    out = scratch_path(spark, "stream")
+    stream = monitor.samples(spark, sf, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double", glob="events.parquet")
+    monitor.run_available(monitor.window_peaks(stream, "event_type", "value"), f"{out}/table", f"{out}/checkpoint")
+    got = spark.read.schema("start timestamp, event_type string, samples long, peak double").parquet(f"{out}/table")
+    return rounded(got.withColumn("start", F.unix_timestamp("start")))

@@ -5,6 +5,8 @@ from __future__ import annotations
 import io
 import json
 import re
+import tempfile
+import uuid
 import zipfile
 from collections.abc import Iterable, Iterator, Sequence
 
@@ -19,6 +21,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder in the one that all executors share: spark.checkpoint.dir, set here only where it is unset."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        named = f"file://{tempfile.mkdtemp(prefix='tandem-')}"
+        spark.conf.set("spark.checkpoint.dir", named)
+    return f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def read_csv(spark: SparkSession, paths: str | Sequence[str], schema: str, recursive: bool = False) -> DataFrame:
     """CSV files with a header, gzipped or not, under a given schema; `nan` and empty fields are NULL.
 
