@@ -23,6 +23,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +33,11 @@ WIDTH, CORE = 100, 32
 #: Pieces that one task lays side by side, about.
 BUCKET = 40_000
 #: Pieces with one anchor hash up to which they are laid side by side as a whole.
-HOT = 20_000
+HOT = 150_000
+#: Whole copies up to which they are left out of the first pass by broadcasting their keys (16 bytes each).
+BROADCAST_COPIES = 500_000
+#: Pieces a task remembers having sent.
+SENT = 500_000
 LAST = 2**63 - 1
 
 _BASE = 0x9E3779B97F4A7C15
@@ -69,41 +74,63 @@ def anchors(data: np.ndarray, width: int = WIDTH, core: int = CORE) -> tuple[np.
 
 
 def _spots(width: int, core: int):
-    """Rows (key, t1, text) to their anchors: hash, key, t1 and spot, which packs start, place and number."""
+    """Rows (key, tag, text) to their anchors: hash, key and spot, which packs start, tag, place and number."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [anchors(np.frombuffer(t.encode(), np.uint8), width, core) for t in batch.column("text").to_pylist()]
             sizes = [len(f[0]) for f in found]
             hashes, first, place, n = (np.concatenate([np.zeros(0, np.int64), *(f[i] for f in found)]) for i in range(4))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(hashes), *(pa.array(np.repeat(batch.column(c).to_numpy(), sizes)) for c in ("key", "t1")), pa.array((first << 20) | (place << 10) | n)],
-                ["hash", "key", "t1", "spot"],
-            )
+            keys, tags = (np.repeat(batch.column(c).to_numpy().astype(np.int64), sizes) for c in ("key", "tag"))
+            spot = (first << 25) | (tags << 14) | (place << 7) | n
+            yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(keys), pa.array(spot)], ["hash", "key", "spot"])
 
     return find
 
 
+def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as compressed bytes, half of what the shuffle's own compression leaves."""
+    squeeze = zstandard.ZstdCompressor(level=3).compress
+    for batch in batches:
+        data = pa.array([squeeze(t.encode()) for t in batch.column("text").to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("t1"), batch.column("tag"), data], ["key", "t1", "tag", "data"])
+
+
 def _pieces(width: int):
-    """Cuts each document's pieces: hash, part, key, t1, at (the anchor), place, n and the bytes."""
+    """Cuts each document's pieces: hash, part, key, tag, at (the anchor), place, n, same and the bytes.
+
+    `same` is a hash of the bytes. A task leaves out bytes that it has sent with the same anchor hash before; the row
+    goes to the same bucket as the one that has them.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[tuple[int, int, int]] = set()
+        unsqueeze = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             lists = batch.column("spots")
             flat, sizes = lists.flatten(), lists.value_lengths().to_numpy()
             hashes, parts, spots = (flat.field(i).to_numpy() for i in range(3))
-            start, place, n = spots >> 20, (spots >> 10) & 1023, spots & 1023
-            data, i = [], 0
-            for text, size in zip(batch.column("text").to_pylist(), sizes, strict=True):
-                raw = text.encode()
-                data += [raw[a : a + k + width - 1] for a, k in zip(start[i : i + size].tolist(), n[i : i + size].tolist(), strict=True)]
+            start, place, n = spots >> 25, (spots >> 7) & 127, spots & 127
+            data, same, i = [], [], 0
+            for packed, size in zip(batch.column("data").to_pylist(), sizes, strict=True):
+                raw = unsqueeze(packed)
+                for h, q, a, k in zip(*(c[i : i + size].tolist() for c in (hashes, parts, start, n)), strict=True):
+                    piece = raw[a : a + k + width - 1]
+                    mark = xxhash.xxh3_64_intdigest(piece) >> 1
+                    same.append(mark)
+                    if (h, q, mark) in sent:
+                        data.append(None)
+                    else:
+                        if len(sent) < SENT:
+                            sent.add((h, q, mark))
+                        data.append(piece)
                 i += size
             row = np.repeat(np.arange(len(sizes)), sizes)
-            columns = [hashes, parts, *(batch.column(c).to_numpy()[row] for c in ("key", "t1")), start + place, place.astype(np.int32), n.astype(np.int32)]
-            for low in range(0, len(data), 1 << 15):
+            columns = [hashes, parts, *(batch.column(c).to_numpy()[row] for c in ("key", "tag")), start + place, place.astype(np.int32), n.astype(np.int32), np.array(same, np.int64)]
+            for low in range(0, len(data), 1 << 14):
                 yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(c[low : low + (1 << 15)]) for c in columns), pa.array(data[low : low + (1 << 15)], pa.binary())],
-                    ["hash", "part", "key", "t1", "at", "place", "n", "piece"],
+                    [*(pa.array(c[low : low + (1 << 14)]) for c in columns), pa.array(data[low : low + (1 << 14)], pa.binary())],
+                    ["hash", "part", "key", "tag", "at", "place", "n", "same", "piece"],
                 )
 
     return cut
@@ -164,18 +191,20 @@ def _lay_out(frame: pd.DataFrame, width: int, core: int) -> tuple[np.ndarray, np
     return repeated_windows(table, first, n, rank, width), first, n
 
 
-SPANS = "key long, t1 long, low long, high long, window binary"
+SPANS = "key long, tag int, low long, high long, window binary"
 
 
 def _search(width: int, core: int):
     def search(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("hash", kind="stable")  # pieces that may agree stand together from the first round
+        bytes_of = {k: v for k, v in zip(zip(frame["hash"], frame["same"], strict=True), frame["piece"], strict=True) if v is not None}
+        frame["piece"] = [bytes_of[k] for k in zip(frame["hash"], frame["same"], strict=True)]
         found, first, n = _lay_out(frame, width, core)
         edges = np.diff(np.pad(found, ((0, 0), (1, 1))).astype(np.int8), axis=1)
         (row, low), (_, high) = np.nonzero(edges == 1), np.nonzero(edges == -1)
-        keys, t1, at = (frame[c].to_numpy() for c in ("key", "t1", "at"))
+        keys, tags, at = (frame[c].to_numpy() for c in ("key", "tag", "at"))
         base = at[row] - (width - core)
-        spans = pd.DataFrame({"key": keys[row], "t1": t1[row], "low": base + low, "high": base + high - 1 + width, "window": None})
+        spans = pd.DataFrame({"key": keys[row], "tag": tags[row], "low": base + low, "high": base + high - 1 + width, "window": None})
         hot = np.flatnonzero(frame["part"].to_numpy() >= 0)
         if not len(hot):
             return spans
@@ -186,34 +215,57 @@ def _search(width: int, core: int):
         offset = s - first[hot][row]
         windows = [xxhash.xxh3_128_digest(pieces[r][o : o + width]) for r, o in zip(row.tolist(), offset.tolist(), strict=True)]
         start = at[hot][row] - (width - core) + s
-        firsts = pd.DataFrame({"key": keys[hot][row], "t1": t1[hot][row], "low": start, "high": start + width, "window": windows})
+        firsts = pd.DataFrame({"key": keys[hot][row], "tag": tags[hot][row], "low": start, "high": start + width, "window": windows})
         return pd.concat([spans, firsts])
 
     return search
 
 
-def repeated_spans(texts: DataFrame, firsts: DataFrame, width: int, core: int, hot: int, buckets: int) -> DataFrame:
-    """key, t1, low, high: byte spans that repeat. texts: key, t1, text; firsts: the same without whole copies."""
-    spots = firsts.mapInArrow(_spots(width, core), "hash long, key long, t1 long, spot long")
+def repeated_spots(texts: DataFrame, width: int, core: int, hot: int) -> DataFrame:
+    """hash, part, key and spot of the anchors whose hash occurs more than once; part is -1 but for hot hashes."""
+    spots = texts.select("key", "tag", "text").mapInArrow(_spots(width, core), "hash long, key long, spot long")
     again = spots.groupBy("hash").agg(F.count("*").alias("times")).where("times > 1")
-    part = F.when(F.col("times") > hot, F.pmod(F.xxhash64("key", "t1", "spot"), F.ceil(F.col("times") / hot)).cast("int")).otherwise(-1)
-    lists = spots.join(again.hint("merge"), "hash").select("key", "t1", F.struct("hash", part.alias("part"), "spot").alias("spot"))
-    lists = lists.groupBy("key", "t1").agg(F.collect_set("spot").alias("spots"))
-    cut = texts.join(lists.hint("merge"), ["key", "t1"]).select("key", "t1", "text", "spots")
-    cut = cut.mapInArrow(_pieces(width), "hash long, part int, key long, t1 long, at long, place int, n int, piece binary")
+    part = F.when(F.col("times") > hot, F.pmod(F.xxhash64("key", "spot"), F.ceil(F.col("times") / hot)).cast("int")).otherwise(-1)
+    return spots.join(again.hint("merge"), "hash").select("hash", part.alias("part"), "key", "spot")
+
+
+def repeated_spans(texts: DataFrame, copies: DataFrame, spots: DataFrame, width: int, core: int, buckets: int) -> DataFrame:
+    """key, tag, low, high: byte spans that repeat, and hashes of windows that are first in their part of a hot anchor."""
+    tag = F.shiftright("spot", 14).bitwiseAND(F.lit(2047)).cast("int")
+    lists = spots.groupBy("key", tag.alias("list_tag")).agg(F.collect_set(F.struct("hash", "part", "spot")).alias("spots"))
+    firsts = _with(texts, copies, "left_anti", "t1", "copy_t1")
+    cut = _with(firsts, lists, "inner", "tag", "list_tag").select("key", "tag", "data", "spots")
+    cut = cut.mapInArrow(_pieces(width), "hash long, part int, key long, tag int, at long, place int, n int, same long, piece binary")
     own = F.when(F.col("part") >= 0, F.xxhash64("hash", "part")).otherwise(F.xxhash64("hash"))
     cut = cut.withColumn("bucket", F.pmod(own, F.lit(buckets)).cast("int"))
     return cut.groupBy("bucket").applyInPandas(_search(width, core), SPANS)
 
 
-def _keep(width: int):
-    """Rows (doc_id, text, copied, low, high) to what is removed and what stays."""
+def _with(texts: DataFrame, other: DataFrame, how: str, mine: str, its: str) -> DataFrame:
+    """Joins on key; what tells rows of one key apart is compared by XOR, as texts are dealt out by key alone."""
+    other = other.withColumnRenamed("key", "_key").hint("merge")
+    on = (F.col("key") == F.col("_key")) & (F.col(mine).bitwiseXOR(F.col(its)) == 0)
+    return texts.join(other, on, how).drop("_key", its)
+
+
+def _inward(raw: bytes, a: int, b: int) -> tuple[int, int]:
+    """The largest span within a to b that cuts no UTF-8 character."""
+    while a < b and raw[a] & 0xC0 == 0x80:
+        a += 1
+    while a < b < len(raw) and raw[b] & 0xC0 == 0x80:
+        b -= 1
+    return a, b
+
+
+def _keep(width: int, whole_characters: bool):
+    """Rows (doc_id, data, copied, spans) to what is removed and what stays."""
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unsqueeze = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             spans, kept, n_bytes = [], [], []
-            for row in zip(*(batch.column(c).to_pylist() for c in ("text", "copied", "spans")), strict=True):
-                raw = row[0].encode()
+            for row in zip(*(batch.column(c).to_pylist() for c in ("data", "copied", "spans")), strict=True):
+                raw = unsqueeze(row[0])
                 merged: list[list[int]] = []
                 if row[1] and len(raw) >= width:
                     merged = [[0, len(raw)]]
@@ -223,6 +275,8 @@ def _keep(width: int):
                             merged[-1][1] = max(b, merged[-1][1])
                         else:
                             merged.append([a, b])
+                if whole_characters:
+                    merged = [[a, b] for a, b in (_inward(raw, a, b) for a, b in merged) if a < b]
                 at, parts = 0, []
                 for a, b in merged:
                     parts.append(raw[at:a])
@@ -232,20 +286,27 @@ def _keep(width: int):
                 n_bytes.append(len(raw))
             kind = pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())]))
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in batch.schema.names if c not in ("text", "copied", "spans")), pa.array(n_bytes, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())],
-                [*(c for c in batch.schema.names if c not in ("text", "copied", "spans")), "n_bytes", "removed", "kept"],
+                [*(batch.column(c) for c in batch.schema.names if c not in ("data", "copied", "spans")), pa.array(n_bytes, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())],
+                [*(c for c in batch.schema.names if c not in ("data", "copied", "spans")), "n_bytes", "removed", "kept"],
             )
 
     return keep
 
 
 def remove_repeats(
-    docs: DataFrame, width: int = WIDTH, core: int = CORE, bucket: int = BUCKET, hot: int = HOT, extra: tuple[str, ...] = ()
+    docs: DataFrame,
+    width: int = WIDTH,
+    core: int = CORE,
+    bucket: int = BUCKET,
+    hot: int = HOT,
+    extra: tuple[str, ...] = (),
+    whole_characters: bool = False,
 ) -> DataFrame:
     """Drops every byte that a `width`-byte string covers which also starts earlier in the collection.
 
     Returns doc_id, the `extra` columns, n_bytes, removed (maximal spans low to high) and kept (the bytes that stay), a
-    row for each row of docs. Earlier means in a smaller doc_id, or further left in the same one. A null text has no
+    row for each row of docs. With whole_characters no span begins or ends within a UTF-8 character: bytes of characters
+    that only partly repeat stay. Earlier means in a smaller doc_id, or further left in the same one. A null text has no
     bytes. Null doc_ids come last and count as one document, as do rows of one doc_id; repeated rows do not remove each
     other, and all of them come out. Texts under `width` bytes stay. An empty table gives an empty result.
     """
@@ -253,28 +314,36 @@ def remove_repeats(
     small_batches(spark)
     scratch = Scratch(spark, "repeats")
     text = F.coalesce(F.col("text"), F.lit(""))
+    t1 = F.coalesce(F.xxhash64("text"), F.lit(0))
     plain = docs.select(
-        "doc_id", *extra, text.alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("key"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("t1")
+        "doc_id", *extra, text.alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("key"), t1.alias("t1"), F.pmod(t1, F.lit(2048)).cast("int").alias("tag")
     )
     whole = plain.select("key", "t1", F.xxhash64(F.lit("second"), "text").alias("t2"))
     first = whole.groupBy("t1", "t2").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1").select("t1", "t2", "first")
-    copies = whole.join(first.hint("merge"), ["t1", "t2"]).where("key > first").select("key", "t1").distinct()
-    copies = scratch.keep(copies.withColumn("copied", F.lit(True)), "copies")
-    texts = plain.repartition("key", "t1")
-    firsts = texts.where(F.octet_length("text") >= width).join(copies.hint("merge"), ["key", "t1"], "left_anti")
-    size = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    # an anchor for each (width - core) / 2 bytes, about a third of them repeated
-    buckets = max(8, 2 * size // (3 * (width - core) * bucket))
-    found = scratch.keep(repeated_spans(texts.select("key", "t1", "text"), firsts.select("key", "t1", "text"), width, core, hot, buckets), "spans")
-    # what was the first of its kind in one part of a hot anchor, against the other parts
-    parts = found.where("window is not null")
-    lowest = parts.groupBy("window").agg(F.min(F.struct("key", "low")).alias("lowest"), F.count("*").alias("n")).where("n > 1")
-    later = parts.join(lowest.select("window", "lowest").hint("merge"), "window").where(F.struct("key", "low") > F.col("lowest"))
-    spans = found.where("window is null").select("key", "t1", "low", "high").unionByName(later.select("key", "t1", "low", "high"))
-    spans = spans.groupBy("key", "t1").agg(F.collect_set(F.struct("low", "high")).alias("spans"))
-    marked = texts.join(spans.hint("merge"), ["key", "t1"], "left").join(copies.hint("merge"), ["key", "t1"], "left")
+    copies = whole.join(first.hint("merge"), ["t1", "t2"]).where("key > first").select("key", F.col("t1").alias("copy_t1")).distinct()
+    copies = scratch.keep(copies, "copies")
+    searched = plain
+    if copies.count() <= BROADCAST_COPIES:  # more of them are left out later, after their anchors were counted
+        searched = plain.join(F.broadcast(copies), (plain["key"] == copies["key"]) & (F.col("t1") == F.col("copy_t1")), "left_anti")
+    spots = scratch.keep(repeated_spots(searched, width, core, hot), "spots")
+    n_spots, hottest = spots.agg(F.count("*"), F.max("part")).first()
+    # one shuffle of the texts, by key, serves the search and the removal
+    texts = plain.select("key", "t1", "tag", "text").mapInArrow(_squeeze, "key long, t1 long, tag int, data binary").repartition("key")
+    texts = texts.groupBy("key", "t1", "tag").agg(F.first("data").alias("data"))
+    found = repeated_spans(texts, copies, spots, width, core, max(8, n_spots // bucket))
+    if hottest is not None and hottest >= 0:
+        # what was the first of its kind in one part of a hot anchor, against the other parts
+        found = scratch.keep(found, "found")
+        parts = found.where("window is not null")
+        lowest = parts.groupBy("window").agg(F.min(F.struct("key", "low")).alias("lowest"), F.count("*").alias("n")).where("n > 1")
+        later = parts.join(lowest.select("window", "lowest").hint("merge"), "window").where(F.struct("key", "low") > F.col("lowest"))
+        found = found.where("window is null").drop("window").unionByName(later.select("key", "tag", "low", "high"))
+    spans = found.groupBy("key", F.col("tag").alias("span_tag")).agg(F.collect_set(F.struct("low", "high")).alias("spans"))
+    rows = plain.select("doc_id", *extra, "key", F.col("t1").alias("row_t1"))
+    marked = _with(texts, copies.withColumn("copied", F.lit(True)), "left", "t1", "copy_t1")
+    marked = _with(_with(marked, spans, "left", "tag", "span_tag"), rows, "inner", "t1", "row_t1")
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     out = ", ".join(f"`{c}` {kinds[c]}" for c in ("doc_id", *extra))
-    return marked.select("doc_id", *extra, "text", "copied", "spans").mapInArrow(
-        _keep(width), f"{out}, n_bytes long, removed array<struct<low: long, high: long>>, kept binary"
+    return marked.select("doc_id", *extra, "data", "copied", "spans").mapInArrow(
+        _keep(width, whole_characters), f"{out}, n_bytes long, removed array<struct<low: long, high: long>>, kept binary"
     )

@@ -80,3 +80,15 @@ def test_columns_against_sets():
             for s in range(9):
                 mine = [j for j in range(m) if first[j] <= s < first[j] + n[j] and (table[j, s : s + 6] == table[i, s : s + 6]).all()]
                 assert got[i, s] == (i in mine and rank[i] > min(rank[j] for j in mine))
+
+
+def test_whole_characters(spark):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("日本語éa ") for _ in range(80)) for _ in range(4)]
+    rows = [(i, texts[i % 4][rng.randrange(9) :] + texts[(i + 1) % 4][rng.randrange(9) :]) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    exact = {r.doc_id: r for r in substring_dedup.remove_repeats(docs).collect()}
+    for r in substring_dedup.remove_repeats(docs, whole_characters=True).collect():
+        assert bytes(r.kept).decode().encode() == bytes(r.kept)
+        wide = [(s.low, s.high) for s in exact[r.doc_id].removed]
+        assert all(any(a <= s.low <= a + 2 and b - 2 <= s.high <= b for a, b in wide) for s in r.removed)
