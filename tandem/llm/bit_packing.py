@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import functools
 import json
-import zlib
+import struct
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -24,11 +24,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import Scratch, small_batches
+from .token_counts import byte_characters
 
 VOCABULARY = "word_bpe_49k.json"
 BLOCK = 1 << 16
-#: Different words a worker keeps the ids of, before it forgets them all and starts again.
-CACHE = 400_000
+#: Parts and pieces a worker keeps the ids of since it last set the older ones aside, and as many older ones.
+PARTS, PIECES = 200_000, 450_000
+#: Below this character NFC changes nothing and lower case goes character by character.
+LATIN = "\u0250"
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
@@ -47,27 +50,56 @@ def unpack(payload: bytes, bits: int, first: int, n: int) -> np.ndarray:
     return table.reshape(n, bits).astype(np.uint32) @ (np.uint32(1) << np.arange(bits - 1, -1, -1, dtype=np.uint32))
 
 
+class Kept(dict):
+    """What `make` gives for the latest keys; those not asked for lately are forgotten."""
+
+    def __init__(self, make, size: int):
+        self.make, self.size, self.older = make, size, {}
+
+    def __missing__(self, key):
+        if len(self) > self.size:
+            self.older = dict(self)
+            self.clear()
+        got = self.older.get(key)
+        self[key] = got = self.make(key) if got is None else got
+        return got
+
+
 class Words:
-    """Ids of a text from the ids of its parts between ASCII white space, which the tokenizer drops and never spans."""
+    """Ids (little-endian unsigned 32-bit) of the parts of texts between ASCII white space.
+
+    The tokenizer drops white space and never spans it, so a text's ids are those of its parts in a row. A Latin part
+    is lower-cased and split here, by the tokenizer's own pattern, and only its pieces go through the library's model;
+    any other part goes through the library as a whole.
+    """
 
     def __init__(self, vocabulary: bytes):
+        import regex
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(vocabulary.decode())
-        self.known: dict[str, bytes] = {"": b""}
+        self.special = [t["content"] for t in json.loads(vocabulary)["added_tokens"]]
+        splits = [p["pattern"]["Regex"] for p in json.loads(vocabulary)["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"]
+        self.split = regex.compile(splits[0]).findall
+        self.symbols = byte_characters()
+        self.parts, self.pieces = Kept(self.of, PARTS), Kept(self.piece, PIECES)
+
+    def piece(self, text: str) -> bytes:
+        mapped = text if text.isascii() and text.isprintable() else "".join(self.symbols[b] for b in text.encode())
+        ids = [t.id for t in self.library.model.tokenize(mapped)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def of(self, word: str) -> bytes:
+        if not word:
+            return b""
+        if max(word) < LATIN and not ("<" in word and any(t in word for t in self.special)):
+            return b"".join(map(self.pieces.__getitem__, self.split(word.lower())))
+        ids = self.library.encode(word, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of every text."""
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        if len(self.known) > CACHE:
-            self.known = {"": b""}
-        new = list(set().union(*split) - self.known.keys())
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for word, got in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[word] = np.array(got.ids, dtype="<u4").tobytes()
-        known = self.known
-        return [b"".join([known[w] for w in words]) for words in split]
+        split = (t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts)
+        return [b"".join(map(self.parts.__getitem__, words)) for words in split]
 
 
 @functools.lru_cache(2)
@@ -136,7 +168,7 @@ def write_packed(docs: DataFrame, folder: str, end_id: int | None = None, name:
             yield full()
 
     ordered = encoded.select("doc_id", "ids").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
-    ordered.mapInPandas(to_blocks, schema).write.mode("overwrite").parquet(folder)
+    ordered.mapInPandas(to_blocks, schema).write.mode("overwrite").option("compression", "zstd").parquet(folder)
     scratch.drop("encoded")
     return bits
 

@@ -149,7 +149,9 @@ def _pooled(good: np.ndarray, sizes: np.ndarray, n_lines: np.ndarray) -> np.ndar
 
 def fit(texts: list[str | None], labels: np.ndarray, rounds: int = 150, rate: float = 0.1, ridge: float = 1e-3) -> Model:
     """Maximises the penalised likelihood of the lines' labels, then fits the logistic scale; both deterministic."""
-    x, sizes, n_lines = line_features(texts)
+    # some texts at a time: what the features are made from is many times the texts' size
+    parts = [line_features(texts[i : i + 128]) for i in range(0, len(texts), 128)]
+    x, sizes, n_lines = (np.concatenate([p[i] for p in parts]) for i in range(3))
     y = np.repeat(labels, n_lines).astype(float)
     begin = np.cumsum(n_lines) - n_lines
     inner = np.ones(len(y), bool)

@@ -5,12 +5,16 @@ pair at or above the similarity agrees on at least MATCH of COORDINATES coordina
 1.4 in 10^6 at the very threshold (less above it), so a class whose values are shared with anyone in fewer than MATCH coordinates has no
 partner, and two partners meet under at least one of their (shared - MATCH + 1) rarest values: the prefix. Long lists
 are skipped: they lie outside the prefix, and collisions are counted on the two signatures instead. Pairs with MATCH
-collisions and sizes within bounds are confirmed on the full shingle sets.
+collisions and sizes within bounds are confirmed on the full shingle sets. A shingle that only one candidate has is in
+no intersection, so what a set shares with anyone bounds its similarity with everyone: sets that share too little have
+no partner, and a pair must be within the bound of the set that shares less.
 
 Only components are asked for, so a list of n near copies does not need its n * n pairs. First every member of a list
 is compared with the list's lowest member, then with its highest among those still apart; members that are already
 connected need no further look. What is left, members of one list in different components, is compared in full, in
-blocks of bounded size whatever the list's length, and only pairs with MATCH collisions leave a block.
+blocks of bounded size whatever the list's length: a pair is judged under the least key that both have in their
+prefixes, by its bounds, its collisions and its full sets, so only links leave a block. Sets beyond CARRIED shingles do
+not travel with the lists; pairs with such a set leave the block and are confirmed by a join.
 """
 
 from __future__ import annotations
@@ -28,7 +32,9 @@ from .components import components
 
 COORDINATES, MATCH = 64, 31
 #: Members of a list that one task compares with as many others.
-BLOCK = 2048
+BLOCK = 1024
+#: Shingles of a set up to which it travels with its lists.
+CARRIED = 4096
 #: Words a worker keeps the hashes of, before it forgets them all and starts again.
 CACHE = 500_000
 
@@ -111,38 +117,66 @@ def prefixes(classes: DataFrame, match: int) -> DataFrame:
     return lists.select("id", F.explode(F.slice("posts", F.lit(1), F.size("posts") - match + 1)).alias("post")).select("post.key", "id")
 
 
+def shared_sizes(sets: DataFrame) -> DataFrame:
+    """id and n_shared: how many shingles of a set are in another set too."""
+    spread = sets.select("id", F.explode("shingles").alias("shingle"))
+    alone = spread.groupBy("shingle").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1")
+    alone = alone.groupBy("id").agg(F.count("*").alias("n_alone"))
+    return sets.join(alone.hint("merge"), "id", "left").select("id", (F.size("shingles") - F.coalesce("n_alone", F.lit(0))).cast("long").alias("n_shared"))
+
+
+def _bounds(a, b, shared_a, shared_b, similarity: int, least, greatest):
+    """Whether sizes and shared sizes allow the similarity; for columns and for arrays."""
+    most = least(shared_a, shared_b)
+    return (100 * least(a, b) >= similarity * greatest(a, b)) & (100 * most >= similarity * (a + b - most))
+
+
 def _confirm(pairs: DataFrame, classes: DataFrame, sets: DataFrame, match: int, similarity: int) -> DataFrame:
-    """The pairs (a, b) that collide often enough, fit in size and are similar on their full sets."""
+    """The pairs (a, b) that collide often enough, are within bounds and are similar on their full sets."""
     side = lambda t, x, c: t.select(F.col("id").alias(x), *(F.col(k).alias(k + x) for k in c)).hint("merge")
-    cs = ["n_shingles", "signature"]
+    cs = ["n_shingles", "n_shared", "signature"]
     near = pairs.join(side(classes, "a", cs), "a").join(side(classes, "b", cs), "b")
     same = F.size(F.filter(F.zip_with("signaturea", "signatureb", lambda x, y: x == y), lambda x: x))
-    fits = 100 * F.least("n_shinglesa", "n_shinglesb") >= similarity * F.greatest("n_shinglesa", "n_shinglesb")
-    near = near.where(fits & (same >= match)).select("a", "b").distinct()
+    fits = _bounds(F.col("n_shinglesa"), F.col("n_shinglesb"), F.col("n_shareda"), F.col("n_sharedb"), similarity, F.least, F.greatest)
+    near = near.where(fits).where(same >= match).select("a", "b")
     near = near.join(side(sets, "a", ["shingles"]), "a").join(side(sets, "b", ["shingles"]), "b")
     both = F.size(F.array_intersect("shinglesa", "shinglesb"))
     union = F.size("shinglesa") + F.size("shinglesb") - both
     return near.where(100 * both >= similarity * union).select("a", "b")
 
 
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    """The size of the intersection of two sorted sets."""
+    at = np.searchsorted(b, a)
+    return int((b[np.minimum(at, len(b) - 1)] == a).sum())
+
+
 def _across(match: int, similarity: int):
-    """Pairs of one block pair of a list, from different components, with enough collisions and fitting sizes."""
+    """Links between members of one block pair of a list, and pairs that are too large to be judged here (sure: false)."""
 
     def compare(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         left = frame[frame.side == 0]
         right = left if key[1] == key[2] else frame[frame.side == 1]
-        if left.empty or right.empty:
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        s, t = (np.stack(x["signature"].to_list()) for x in (left, right))
-        ids, labels, sizes = (right[c].to_numpy() for c in ("id", "label", "n_shingles"))
-        out = []
-        for i, row in enumerate(left.itertuples(index=False)):
-            fits = (100 * np.minimum(sizes, row.n_shingles) >= similarity * np.maximum(sizes, row.n_shingles)) & (labels != row.label)
-            at = np.flatnonzero(fits)
-            found = ids[at[(s[i] == t[at]).sum(1) >= match]]
-            out.append(np.stack([np.minimum(found, row.id), np.maximum(found, row.id)]))
-        a, b = np.concatenate(out, axis=1)
-        return pd.DataFrame({"a": a, "b": b}).drop_duplicates()
+        out: list[tuple[int, int, bool]] = []
+        if len(left) and len(right):
+            s, t = (np.stack(x["signature"].to_list()) for x in (left, right))
+            ids, labels, sizes, shared = (right[c].to_numpy() for c in ("id", "label", "n_shingles", "n_shared"))
+            sets, keys = right["shingles"].to_list(), [set(k.tolist()) for k in right["keys"]]
+            for i, row in enumerate(left.itertuples(index=False)):
+                fits = _bounds(row.n_shingles, sizes, row.n_shared, shared, similarity, np.minimum, np.maximum) & (labels != row.label)
+                fits &= (ids > row.id) if right is left else True
+                at = np.flatnonzero(fits)
+                own = row.keys.tolist()
+                for j in at[(s[i] == t[at]).sum(1) >= match].tolist():
+                    if min(k for k in own if k in keys[j]) != key[0]:
+                        continue
+                    sure = row.shingles is not None and sets[j] is not None
+                    if sure:
+                        both = _common(row.shingles, sets[j])
+                        if 100 * both < similarity * (row.n_shingles + sizes[j] - both):
+                            continue
+                    out.append((min(row.id, ids[j]), max(row.id, ids[j]), sure))
+        return pd.DataFrame(out, columns=["a", "b", "sure"])
 
     return compare
 
@@ -162,7 +196,10 @@ def similar_links(classes: DataFrame, texts: DataFrame, scratch: Scratch, width:
     wanted = posts.select("id").distinct().hint("merge")
     sets = texts.join(wanted, texts["doc_id"] == wanted["id"], "left_semi").select(F.col("doc_id").alias("id"), _sets(width)("text").alias("shingles"))
     sets = scratch.keep(sets, "sets")
-    classes = scratch.keep(classes.join(wanted, "id", "left_semi"), "met")
+    shared = shared_sizes(sets)
+    classes = classes.join(shared.hint("merge"), "id").where(100 * F.col("n_shared") >= similarity * F.col("n_shingles"))
+    classes = scratch.keep(classes, "met")
+    posts = scratch.keep(posts.join(classes.select("id").hint("merge"), "id", "left_semi"), "fit")
     edges, rest = None, posts
     for turn, lead in enumerate((F.min, F.max)):
         leads = rest.groupBy("key").agg(lead("id").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
@@ -172,19 +209,22 @@ def similar_links(classes: DataFrame, texts: DataFrame, scratch: Scratch, width:
         rest = scratch.keep(_left_over(posts, components(edges, scratch, f"turn{turn}_")), f"rest{turn}")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("id"), blocks).cast("int")
+    carried = sets.select("id", F.when(F.size("shingles") <= CARRIED, F.array_sort("shingles")).alias("shingles"))
+    members = rest.groupBy("id").agg(F.collect_set("key").alias("keys")).join(classes.hint("merge"), "id").join(carried.hint("merge"), "id")
     dealt = (
-        rest.join(classes.hint("merge"), "id")
+        rest.join(members.hint("merge"), "id")
         .withColumn("blocks", blocks)
         .withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select(
-            "key", "id", "label", "n_shingles", "signature",
+            "key", "id", "label", "n_shingles", "n_shared", "signature", "keys", "shingles",
             F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"),
         )
-    )
-    across = dealt.groupBy("key", "i", "j").applyInPandas(_across(match, similarity), "a long, b long").distinct()
-    more = scratch.keep(_confirm(across, classes, sets, match, similarity), "across")
-    scratch.drop("posts", "rest0", "sets", "met")
+    )
+    across = scratch.keep(dealt.groupBy("key", "i", "j").applyInPandas(_across(match, similarity), "a long, b long, sure boolean"), "across")
+    unsure = _confirm(across.where("not sure").select("a", "b").distinct(), classes, sets, match, similarity)
+    more = scratch.keep(across.where("sure").select("a", "b").unionByName(unsure), "links")
+    scratch.drop("posts", "fit", "rest0", "sets", "met")
     return edges.unionByName(more)
 
 

@@ -55,9 +55,10 @@ def corpus(seed, n_bases, copies, edits):
     return list(enumerate(texts + ["", " \t", "one", "One", "two words", "TWO\x0bwords"], 10))
 
 
-@pytest.mark.parametrize("seed,block", [(1, 2048), (2, 4)])
-def test_against_all_pairs(spark, monkeypatch, seed, block):
+@pytest.mark.parametrize("seed,block,carried", [(1, 2048, 4096), (2, 4, 30)])
+def test_against_all_pairs(spark, monkeypatch, seed, block, carried):
     monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "CARRIED", carried)
     rows = corpus(seed, 25, 14, 9)
     want, sets = brute(rows)
     docs = spark.createDataFrame([(t, d, "x", 1) for d, t in rows], "text string, doc_id long, label string, n int").repartition(3)
