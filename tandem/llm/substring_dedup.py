@@ -74,16 +74,16 @@ def anchors(data: np.ndarray, width: int = WIDTH, core: int = CORE) -> tuple[np.
 
 
 def _spots(width: int, core: int):
-    """Rows (key, tag, text) to their anchors: hash, key and spot, which packs start, tag, place and number."""
+    """Rows (key, t1, text) to their anchors: hash, key, t1 and spot, which packs start, place and number."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [anchors(np.frombuffer(t.encode(), np.uint8), width, core) for t in batch.column("text").to_pylist()]
             sizes = [len(f[0]) for f in found]
             hashes, first, place, n = (np.concatenate([np.zeros(0, np.int64), *(f[i] for f in found)]) for i in range(4))
-            keys, tags = (np.repeat(batch.column(c).to_numpy().astype(np.int64), sizes) for c in ("key", "tag"))
-            spot = (first << 25) | (tags << 14) | (place << 7) | n
-            yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(keys), pa.array(spot)], ["hash", "key", "spot"])
+            keys, marks = (np.repeat(batch.column(c).to_numpy().astype(np.int64), sizes) for c in ("key", "t1"))
+            spot = (first << 14) | (place << 7) | n
+            yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(keys), pa.array(marks), pa.array(spot)], ["hash", "key", "t1", "spot"])
 
     return find
 
@@ -93,11 +93,11 @@ def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     squeeze = zstandard.ZstdCompressor(level=3).compress
     for batch in batches:
         data = pa.array([squeeze(t.encode()) for t in batch.column("text").to_pylist()], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("t1"), batch.column("tag"), data], ["key", "t1", "tag", "data"])
+        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("t1"), data], ["key", "t1", "data"])
 
 
 def _pieces(width: int):
-    """Cuts each document's pieces: hash, part, key, tag, at (the anchor), place, n, same and the bytes.
+    """Cuts each document's pieces: hash, part, key, t1, at (the anchor), place, n, same and the bytes.
 
     `same` is a hash of the bytes. A task leaves out bytes that it has sent with the same anchor hash before; the row
     goes to the same bucket as the one that has them.
@@ -110,7 +110,7 @@ def _pieces(width: int):
             lists = batch.column("spots")
             flat, sizes = lists.flatten(), lists.value_lengths().to_numpy()
             hashes, parts, spots = (flat.field(i).to_numpy() for i in range(3))
-            start, place, n = spots >> 25, (spots >> 7) & 127, spots & 127
+            start, place, n = spots >> 14, (spots >> 7) & 127, spots & 127
             data, same, i = [], [], 0
             for packed, size in zip(batch.column("data").to_pylist(), sizes, strict=True):
                 raw = unsqueeze(packed)
@@ -126,11 +126,11 @@ def _pieces(width: int):
                         data.append(piece)
                 i += size
             row = np.repeat(np.arange(len(sizes)), sizes)
-            columns = [hashes, parts, *(batch.column(c).to_numpy()[row] for c in ("key", "tag")), start + place, place.astype(np.int32), n.astype(np.int32), np.array(same, np.int64)]
+            columns = [hashes, parts, *(batch.column(c).to_numpy()[row] for c in ("key", "t1")), start + place, place.astype(np.int32), n.astype(np.int32), np.array(same, np.int64)]
             for low in range(0, len(data), 1 << 14):
                 yield pa.RecordBatch.from_arrays(
                     [*(pa.array(c[low : low + (1 << 14)]) for c in columns), pa.array(data[low : low + (1 << 14)], pa.binary())],
-                    ["hash", "part", "key", "tag", "at", "place", "n", "same", "piece"],
+                    ["hash", "part", "key", "t1", "at", "place", "n", "same", "piece"],
                 )
 
     return cut
@@ -191,7 +191,7 @@ def _lay_out(frame: pd.DataFrame, width: int, core: int) -> tuple[np.ndarray, np
     return repeated_windows(table, first, n, rank, width), first, n
 
 
-SPANS = "key long, tag int, low long, high long, window binary"
+SPANS = "key long, t1 long, low long, high long, window binary"
 
 
 def _search(width: int, core: int):
@@ -202,9 +202,9 @@ def _search(width: int, core: int):
         found, first, n = _lay_out(frame, width, core)
         edges = np.diff(np.pad(found, ((0, 0), (1, 1))).astype(np.int8), axis=1)
         (row, low), (_, high) = np.nonzero(edges == 1), np.nonzero(edges == -1)
-        keys, tags, at = (frame[c].to_numpy() for c in ("key", "tag", "at"))
+        keys, marks, at = (frame[c].to_numpy() for c in ("key", "t1", "at"))
         base = at[row] - (width - core)
-        spans = pd.DataFrame({"key": keys[row], "tag": tags[row], "low": base + low, "high": base + high - 1 + width, "window": None})
+        spans = pd.DataFrame({"key": keys[row], "t1": marks[row], "low": base + low, "high": base + high - 1 + width, "window": None})
         hot = np.flatnonzero(frame["part"].to_numpy() >= 0)
         if not len(hot):
             return spans
@@ -215,37 +215,35 @@ def _search(width: int, core: int):
         offset = s - first[hot][row]
         windows = [xxhash.xxh3_128_digest(pieces[r][o : o + width]) for r, o in zip(row.tolist(), offset.tolist(), strict=True)]
         start = at[hot][row] - (width - core) + s
-        firsts = pd.DataFrame({"key": keys[hot][row], "tag": tags[hot][row], "low": start, "high": start + width, "window": windows})
+        firsts = pd.DataFrame({"key": keys[hot][row], "t1": marks[hot][row], "low": start, "high": start + width, "window": windows})
         return pd.concat([spans, firsts])
 
     return search
 
 
 def repeated_spots(texts: DataFrame, width: int, core: int, hot: int) -> DataFrame:
-    """hash, part, key and spot of the anchors whose hash occurs more than once; part is -1 but for hot hashes."""
-    spots = texts.select("key", "tag", "text").mapInArrow(_spots(width, core), "hash long, key long, spot long")
+    """hash, part, key, t1 and spot of the anchors whose hash occurs more than once; part is -1 but for hot hashes."""
+    spots = texts.select("key", "t1", "text").mapInArrow(_spots(width, core), "hash long, key long, t1 long, spot long")
     again = spots.groupBy("hash").agg(F.count("*").alias("times")).where("times > 1")
-    part = F.when(F.col("times") > hot, F.pmod(F.xxhash64("key", "spot"), F.ceil(F.col("times") / hot)).cast("int")).otherwise(-1)
-    return spots.join(again.hint("merge"), "hash").select("hash", part.alias("part"), "key", "spot")
+    part = F.when(F.col("times") > hot, F.pmod(F.xxhash64("key", "t1", "spot"), F.ceil(F.col("times") / hot)).cast("int")).otherwise(-1)
+    return spots.join(again.hint("merge"), "hash").select("hash", part.alias("part"), "key", "t1", "spot")
 
 
 def repeated_spans(texts: DataFrame, copies: DataFrame, spots: DataFrame, width: int, core: int, buckets: int) -> DataFrame:
-    """key, tag, low, high: byte spans that repeat, and hashes of windows that are first in their part of a hot anchor."""
-    tag = F.shiftright("spot", 14).bitwiseAND(F.lit(2047)).cast("int")
-    lists = spots.groupBy("key", tag.alias("list_tag")).agg(F.collect_set(F.struct("hash", "part", "spot")).alias("spots"))
-    firsts = _with(texts, copies, "left_anti", "t1", "copy_t1")
-    cut = _with(firsts, lists, "inner", "tag", "list_tag").select("key", "tag", "data", "spots")
-    cut = cut.mapInArrow(_pieces(width), "hash long, part int, key long, tag int, at long, place int, n int, same long, piece binary")
+    """key, t1, low, high: byte spans that repeat, and hashes of windows that are first in their part of a hot anchor."""
+    lists = spots.groupBy("key", "t1").agg(F.collect_set(F.struct("hash", "part", "spot")).alias("spots"))
+    firsts = _with(texts, copies, "left_anti")
+    cut = _with(firsts, lists, "inner").select("key", "t1", "data", "spots")
+    cut = cut.mapInArrow(_pieces(width), "hash long, part int, key long, t1 long, at long, place int, n int, same long, piece binary")
     own = F.when(F.col("part") >= 0, F.xxhash64("hash", "part")).otherwise(F.xxhash64("hash"))
     cut = cut.withColumn("bucket", F.pmod(own, F.lit(buckets)).cast("int"))
     return cut.groupBy("bucket").applyInPandas(_search(width, core), SPANS)
 
 
-def _with(texts: DataFrame, other: DataFrame, how: str, mine: str, its: str) -> DataFrame:
-    """Joins on key; what tells rows of one key apart is compared by XOR, as texts are dealt out by key alone."""
-    other = other.withColumnRenamed("key", "_key").hint("merge")
-    on = (F.col("key") == F.col("_key")) & (F.col(mine).bitwiseXOR(F.col(its)) == 0)
-    return texts.join(other, on, how).drop("_key", its)
+def _with(texts: DataFrame, other: DataFrame, how: str) -> DataFrame:
+    """Joins on key and t1, by which texts are dealt out."""
+    other = other.withColumnsRenamed({"key": "_key", "t1": "_t1"}).hint("merge")
+    return texts.join(other, (F.col("key") == F.col("_key")) & (F.col("t1") == F.col("_t1")), how).drop("_key", "_t1")
 
 
 def _inward(raw: bytes, a: int, b: int) -> tuple[int, int]:
@@ -316,20 +314,20 @@ def remove_repeats(
     text = F.coalesce(F.col("text"), F.lit(""))
     t1 = F.coalesce(F.xxhash64("text"), F.lit(0))
     plain = docs.select(
-        "doc_id", *extra, text.alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("key"), t1.alias("t1"), F.pmod(t1, F.lit(2048)).cast("int").alias("tag")
+        "doc_id", *extra, text.alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("key"), t1.alias("t1")
     )
     whole = plain.select("key", "t1", F.xxhash64(F.lit("second"), "text").alias("t2"))
     first = whole.groupBy("t1", "t2").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1").select("t1", "t2", "first")
-    copies = whole.join(first.hint("merge"), ["t1", "t2"]).where("key > first").select("key", F.col("t1").alias("copy_t1")).distinct()
+    copies = whole.join(first.hint("merge"), ["t1", "t2"]).where("key > first").select("key", "t1").distinct()
     copies = scratch.keep(copies, "copies")
     searched = plain
     if copies.count() <= BROADCAST_COPIES:  # more of them are left out later, after their anchors were counted
-        searched = plain.join(F.broadcast(copies), (plain["key"] == copies["key"]) & (F.col("t1") == F.col("copy_t1")), "left_anti")
+        searched = plain.join(F.broadcast(copies), ["key", "t1"], "left_anti")
     spots = scratch.keep(repeated_spots(searched, width, core, hot), "spots")
     n_spots, hottest = spots.agg(F.count("*"), F.max("part")).first()
-    # one shuffle of the texts, by key, serves the search and the removal
-    texts = plain.select("key", "t1", "tag", "text").mapInArrow(_squeeze, "key long, t1 long, tag int, data binary").repartition("key")
-    texts = texts.groupBy("key", "t1", "tag").agg(F.first("data").alias("data"))
+    # one shuffle of the texts, by key and hash, serves the search and the removal
+    texts = plain.select("key", "t1", "text").mapInArrow(_squeeze, "key long, t1 long, data binary").repartition("key", "t1")
+    texts = texts.groupBy("key", "t1").agg(F.first("data").alias("data"))
     found = repeated_spans(texts, copies, spots, width, core, max(8, n_spots // bucket))
     if hottest is not None and hottest >= 0:
         # what was the first of its kind in one part of a hot anchor, against the other parts
@@ -337,11 +335,11 @@ def remove_repeats(
         parts = found.where("window is not null")
         lowest = parts.groupBy("window").agg(F.min(F.struct("key", "low")).alias("lowest"), F.count("*").alias("n")).where("n > 1")
         later = parts.join(lowest.select("window", "lowest").hint("merge"), "window").where(F.struct("key", "low") > F.col("lowest"))
-        found = found.where("window is null").drop("window").unionByName(later.select("key", "tag", "low", "high"))
-    spans = found.groupBy("key", F.col("tag").alias("span_tag")).agg(F.collect_set(F.struct("low", "high")).alias("spans"))
-    rows = plain.select("doc_id", *extra, "key", F.col("t1").alias("row_t1"))
-    marked = _with(texts, copies.withColumn("copied", F.lit(True)), "left", "t1", "copy_t1")
-    marked = _with(_with(marked, spans, "left", "tag", "span_tag"), rows, "inner", "t1", "row_t1")
+        found = found.where("window is null").drop("window").unionByName(later.select("key", "t1", "low", "high"))
+    spans = found.groupBy("key", "t1").agg(F.collect_set(F.struct("low", "high")).alias("spans"))
+    rows = plain.select("doc_id", *extra, "key", "t1")
+    marked = _with(texts, copies.withColumn("copied", F.lit(True)), "left")
+    marked = _with(_with(marked, spans, "left"), rows, "inner")
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     out = ", ".join(f"`{c}` {kinds[c]}" for c in ("doc_id", *extra))
     return marked.select("doc_id", *extra, "data", "copied", "spans").mapInArrow(

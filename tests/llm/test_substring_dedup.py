@@ -92,3 +92,17 @@ def test_whole_characters(spark):
         assert bytes(r.kept).decode().encode() == bytes(r.kept)
         wide = [(s.low, s.high) for s in exact[r.doc_id].removed]
         assert all(any(a <= s.low <= a + 2 and b - 2 <= s.high <= b for a, b in wide) for s in r.removed)
+
+
+def test_many_texts_of_one_key(spark):
+    rng = random.Random(6)
+    text = lambda n: " ".join(str(rng.randrange(10**6)) for _ in range(n))
+    shared = [text(20) for _ in range(40)]
+    rows = [(rng.choice([None, 7, 9]), f"{text(rng.randrange(12))} {rng.choice(shared)} {text(rng.randrange(12))}") for _ in range(3000)]
+    rows += [(i, t) for i, t in enumerate(shared[:10], 20)] + rows[:20]
+    want = brute(rows, 100)
+    docs = spark.createDataFrame([(d, t, i) for i, (d, t) in enumerate(rows)], "doc_id long, text string, at int")
+    got = {r["at"]: r for r in substring_dedup.remove_repeats(docs, extra=("at",)).collect()}
+    assert len(got) == len(rows)
+    for i, (_, t) in enumerate(rows):
+        assert bytes(got[i].kept) == bytes(b for j, b in enumerate(t.encode()) if j not in want[i])
