@@ -1,6 +1,6 @@
 """MinHash near-duplicates by an inverted join over signature coordinates.
 
-Every different shingle set (copies are one class) posts its id under each (coordinate, value) of its signature. A
+Every different shingle set (copies are one class, which has a number) posts its number under each (coordinate, value) of its signature. A
 pair at or above the similarity agrees on at least MATCH of COORDINATES coordinates but for a chance of
 1.4 in 10^6 at the very threshold (less above it), so a class whose values are shared with anyone in fewer than MATCH coordinates has no
 partner, and two partners meet under at least one of their (shared - MATCH + 1) rarest values: the prefix. Long lists
@@ -190,14 +190,19 @@ def _left_over(posts: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def similar_links(classes: DataFrame, texts: DataFrame, scratch: Scratch, width: int, match: int, similarity: int) -> DataFrame:
-    """Edges (a, b) that connect all classes which are connected by links. classes: id, n_shingles, signature."""
+    """Edges (a, b) that connect all classes which are connected by links.
+
+    classes: id, n_shingles, signature, and key and t1 of a text of the class. texts: key, t1, text.
+    """
     posts = prefixes(classes, match)
     posts = scratch.keep(posts, "posts")
-    wanted = posts.select("id").distinct().hint("merge")
-    sets = texts.join(wanted, texts["doc_id"] == wanted["id"], "left_semi").select(F.col("doc_id").alias("id"), _sets(width)("text").alias("shingles"))
+    wanted = classes.join(posts.select("id").distinct().hint("merge"), "id", "left_semi").select("id", "key", "t1")
+    # repeated rows have one text
+    found = texts.join(wanted.hint("merge"), ["key", "t1"]).groupBy("key", "t1").agg(F.first("id").alias("id"), F.first("text").alias("text"))
+    sets = found.select("id", _sets(width)("text").alias("shingles"))
     sets = scratch.keep(sets, "sets")
     shared = shared_sizes(sets)
-    classes = classes.join(shared.hint("merge"), "id").where(100 * F.col("n_shared") >= similarity * F.col("n_shingles"))
+    classes = classes.drop("key", "t1").join(shared.hint("merge"), "id").where(100 * F.col("n_shared") >= similarity * F.col("n_shingles"))
     classes = scratch.keep(classes, "met")
     posts = scratch.keep(posts.join(classes.select("id").hint("merge"), "id", "left_semi"), "fit")
     edges, rest = None, posts
@@ -228,33 +233,55 @@ def similar_links(classes: DataFrame, texts: DataFrame, scratch: Scratch, width:
     return edges.unionByName(more)
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, similarity: int = 75, match: int = MATCH) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every row of docs; similarity in hundredths.
+def grouped(docs: DataFrame, width: int, similarity: int, match: int, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns `carry`, t1 (a hash of the text), n_shingles, group and component_id for every row of docs.
 
-    component_id is the smallest doc_id that is reachable over links, kept marks the row of that doc_id. A null, empty
-    or blank text has no shingles and no links. Rows with equal sets are one class, however many; repeated rows come
-    out as often as they went in. Rows of one doc_id with different texts are one document with the links of each. A
-    null doc_id never names a component: without a partner that has an id, component_id is null and kept false. An
-    empty table gives an empty result. Other columns are ignored.
+    group is one number for all rows that links or equal doc_ids connect, with a doc_id or without; rows without shingles
+    have none. component_id is the smallest doc_id of the group, null if it has none.
     """
     spark = docs.sparkSession
     small_batches(spark)
     scratch = Scratch(spark, "near")
-    texts = docs.select("doc_id", "text")
-    signed = texts.select("doc_id", _signatures(width)("text").alias("s")).select("doc_id", "s.*")
+    t1 = F.coalesce(F.xxhash64("text"), F.lit(0)).alias("t1")
+    texts = docs.select(F.coalesce("doc_id", F.lit(0)).cast("long").alias("key"), t1, "text")
+    signed = docs.select("doc_id", *carry, t1, _signatures(width)("text").alias("s")).select("doc_id", *carry, "t1", "s.*")
     signed = scratch.keep(signed, "signed")
     classes = signed.where("n_shingles > 0").groupBy("set_hash").agg(
-        F.min("doc_id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")
-    )
-    edges = similar_links(
-        classes.where("id is not null").select("id", "n_shingles", "signature"), texts, scratch, width, match, similarity
-    )
-    labels = components(edges, scratch, "all")
-    classes = classes.select("set_hash", "id").join(labels.select(F.col("node").alias("id"), "label").hint("merge"), "id", "left")
-    found = signed.select("doc_id", "n_shingles", "set_hash").join(
-        classes.select(F.col("set_hash").alias("h"), F.coalesce("label", "id").alias("c")), (F.col("set_hash") == F.col("h")) & (F.col("n_shingles") > 0), "left"
-    )
-    component = F.when(F.col("n_shingles") > 0, F.col("c")).otherwise(F.col("doc_id"))
-    return found.select(
-        "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept")
+        F.min("doc_id").alias("doc"),
+        F.min(F.struct(F.coalesce("doc_id", F.lit(0)).cast("long").alias("key"), "t1")).alias("text"),
+        F.first("n_shingles").alias("n_shingles"),
+        F.first("signature").alias("signature"),
     )
+    # numbered by doc_id, so that the lowest class of a group has the group's lowest doc_id
+    classes = classes.orderBy(F.asc_nulls_last("doc"), "set_hash").withColumn("id", F.monotonically_increasing_id())
+    classes = scratch.keep(classes.select("id", "set_hash", "doc", "text.key", "text.t1", "n_shingles", "signature"), "classes")
+    edges = similar_links(classes.drop("set_hash", "doc"), texts, scratch, width, match, similarity)
+    rows = signed.select("doc_id", *carry, "t1", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("set_hash")).alias("h"))
+    rows = rows.join(classes.select(F.col("set_hash").alias("h"), "id").hint("merge"), "h", "left").drop("h")
+    rows = scratch.keep(rows, "rows")
+    # the different texts of one doc_id are one document
+    owned = rows.where("doc_id is not null and id is not null").select("doc_id", "id")
+    several = owned.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("doc_id", "a")
+    same = owned.join(several.hint("merge"), "doc_id").where("id > a").select("a", F.col("id").alias("b")).distinct()
+    labels = components(edges.unionByName(same), scratch, "all")
+    named = classes.select("id", "doc").join(labels.select(F.col("node").alias("id"), "label").hint("merge"), "id", "left")
+    named = named.select("id", "doc", F.coalesce("label", "id").alias("group"))
+    heads = named.where(F.col("id") == F.col("group")).select("group", F.col("doc").alias("component_id"))
+    named = named.select("id", "group").join(heads.hint("merge"), "group")
+    found = rows.join(named.hint("merge"), "id", "left")
+    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return found.select("doc_id", *carry, "t1", "n_shingles", "group", component.alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, similarity: int = 75, match: int = MATCH) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for every row of docs; similarity in hundredths.
+
+    component_id is the smallest doc_id that is reachable over links, kept marks the row of that doc_id. A null, empty
+    or blank text has no shingles and no links. Rows with equal sets are one class, however many; repeated rows come
+    out as often as they went in. Rows of one doc_id with different texts are one document with the links of each. A
+    null doc_id never names a component: without a partner that has an id, component_id is null and kept false; its row
+    takes part in links as any other. An empty table gives an empty result. Other columns are ignored.
+    """
+    found = grouped(docs, width, similarity, match)
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))
+    return found.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))

@@ -83,3 +83,33 @@ def test_components(spark):
     got = {r.node: r.label for r in components(edges, Scratch(spark, "t"), "c").collect()}
     want = {i: 100 for i in range(100, 141)} | {7: 3, 3: 3, 9: 3} | {i: 1000 for i in range(1000, 1100)}
     assert got == want
+
+
+def brute_odd(rows):
+    """Component of each row, where rows of one doc_id are one document and null doc_ids name nothing."""
+    sets = [shingles(t) for _, t in rows]
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            same = sets[i] and sets[j] and rows[i][0] is not None and rows[i][0] == rows[j][0]
+            if same or both and 100 * both >= 75 * len(sets[i] | sets[j]):
+                label = [label[j] if x == label[i] else x for x in label]
+    ids = [[d for (d, _), x in zip(rows, label, strict=True) if x == y and d is not None] for y in label]
+    return [min(i, default=None) if s else d for i, s, (d, _) in zip(ids, sets, rows, strict=True)]
+
+
+def test_odd_ids_against_all_pairs(spark):
+    rng = random.Random(3)
+    words = lambda p, n: [f"{p}{i}" for i in range(n)]
+    near = lambda w: " ".join(w[:-1] + ["edit"])
+    a, b, c, d = (words(p, 60) for p in "abcd")
+    rows = [(1, " ".join(a)), (2, near(a)), (2, " ".join(words("own", 104)))]  # a text with a partner, another alone
+    rows += [(9, " ".join(b)), (None, near(b)), (None, " ".join(c)), (None, near(c)), (8, " ".join(d)), (8, near(c))]
+    rows += [(rng.choice([None, 100, 101, 102 + i]), t) for i, (_, t) in enumerate(corpus(5, 12, 8, 6))]
+    rows += rows[:5]
+    want = brute_odd(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = near_dedup.near_duplicates(docs).collect()
+    key = lambda r: tuple(map(str, r))
+    assert sorted(map(key, got)) == sorted(key((i, len(shingles(t)), w, i is not None and i == w)) for (i, t), w in zip(rows, want, strict=True))
