@@ -23,10 +23,20 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the lowest doc_id of every group of near-duplicates, and rows without a doc_id."""
-    found = near_dedup.near_duplicates(docs).groupBy("doc_id").agg(F.max("kept").alias("kept"))
-    dropped = found.where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """Keeps one row of every group of near-duplicates: of the lowest doc_id (null is last), then text hash.
+
+    Rows without words are near nothing: they stay, but one row only of those with one doc_id.
+    """
+    scratch = Scratch(spark, "rows")
+    own = [f"_column{i}" for i in range(len(docs.columns))]
+    names = [c if c in ("doc_id", "text") else o for c, o in zip(docs.columns, own, strict=True)]
+    rows = scratch.keep(docs.toDF(*names).withColumn("_row", F.monotonically_increasing_id()), "rows")  # stored, so numbers stay
+    found = scratch.keep(near_dedup.grouped(rows, carry=("_row",)).where("group is not null or doc_id is not null"), "found")
+    found = found.withColumn("alone", F.when(F.col("group").isNull(), F.col("doc_id")))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "t1", "_row")).getField("_row")
+    kept = found.groupBy("group", "alone").agg(first.alias("_row")).select("_row")
+    dropped = found.select("_row").join(kept.hint("merge"), "_row", "left_anti")
+    return rows.join(dropped, "_row", "left_anti").select(*names).toDF(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

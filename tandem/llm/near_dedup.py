@@ -233,7 +233,7 @@ def similar_links(classes: DataFrame, texts: DataFrame, scratch: Scratch, width:
     return edges.unionByName(more)
 
 
-def grouped(docs: DataFrame, width: int, similarity: int, match: int, carry: tuple[str, ...] = ()) -> DataFrame:
+def grouped(docs: DataFrame, width: int = 5, similarity: int = 75, match: int = MATCH, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, the columns `carry`, t1 (a hash of the text), n_shingles, group and component_id for every row of docs.
 
     group is one number for all rows that links or equal doc_ids connect, with a doc_id or without; rows without shingles

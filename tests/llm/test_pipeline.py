@@ -63,3 +63,16 @@ def test_empty(spark, tmp_path):
         out = spark.read.schema(stage(spark, docs, SF).schema).parquet(f"{tmp_path}/{n}")
         assert out.count() == 0
         docs = out
+
+
+def test_one_row_of_each_group(spark):
+    near = lambda p, w: " ".join([f"{p}{i}" for i in range(60)] + [w])
+    rows = [(None, near("a", "x"))] * 3 + [(None, near("a", "y")), (4, near("b", "x")), (4, near("b", "x")), (3, near("b", "y")), (None, near("b", "z"))]
+    rows += [(7, near("c", "x"))] * 2 + [(None, None)] * 2 + [(8, "")] * 2 + [(None, "alone here")]
+    docs = spark.createDataFrame([(i, t, "group", n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, kept string, at int").repartition(3)
+    out = pipeline.near_duplicates(spark, docs, SF)
+    assert out.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    hashes = {r.text: r.h for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}
+    first = min((near("a", "x"), near("a", "y")), key=hashes.get)
+    assert got == sorted([(None, first), (3, near("b", "y")), (7, near("c", "x")), (None, None), (None, None), (8, ""), (None, "alone here")], key=str)
