@@ -16,10 +16,16 @@ from tandem.llm.common import Scratch, table
 QUALITY = 0.3
 
 
+def _apart(docs: DataFrame) -> DataFrame:
+    """docs with private names for all columns but doc_id and text, so that none clashes with what a stage adds."""
+    return docs.toDF(*(c if c in ("doc_id", "text") else f"_column{i}" for i, c in enumerate(docs.columns)))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the line classifier, trained on those with labels, takes for bad."""
     model = line_quality.train(docs, table(spark, sf_dir, "labels"))
-    return line_quality.score_documents(docs, model).where(F.col("score") >= QUALITY).select(*docs.columns)
+    own = _apart(docs)
+    return line_quality.score_documents(own, model).where(F.col("score") >= QUALITY).select(*own.columns).toDF(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,24 +34,29 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows without words are near nothing: they stay, but one row only of those with one doc_id.
     """
     scratch = Scratch(spark, "rows")
-    own = [f"_column{i}" for i in range(len(docs.columns))]
-    names = [c if c in ("doc_id", "text") else o for c, o in zip(docs.columns, own, strict=True)]
-    rows = scratch.keep(docs.toDF(*names).withColumn("_row", F.monotonically_increasing_id()), "rows")  # stored, so numbers stay
+    own = _apart(docs)
+    rows = scratch.keep(own.withColumn("_row", F.monotonically_increasing_id()), "rows")  # stored, so numbers stay
     found = scratch.keep(near_dedup.grouped(rows, carry=("_row",)).where("group is not null or doc_id is not null"), "found")
     found = found.withColumn("alone", F.when(F.col("group").isNull(), F.col("doc_id")))
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "t1", "_row")).getField("_row")
     kept = found.groupBy("group", "alone").agg(first.alias("_row")).select("_row")
     dropped = found.select("_row").join(kept.hint("merge"), "_row", "left_anti")
-    return rows.join(dropped, "_row", "left_anti").select(*names).toDF(*docs.columns)
+    return rows.join(dropped, "_row", "left_anti").select(*own.columns).toDF(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts passages of 100 bytes or more that an earlier place has; drops documents that nothing is left of."""
-    kept = substring_dedup.remove_repeats(docs, extra=("lang", "source"), whole_characters=True)
+    own = _apart(docs)
+    others = [c for c in own.columns if c not in ("doc_id", "text")]
+    marked = own.withColumn("_null", F.col("text").isNull())
+    kept = substring_dedup.remove_repeats(marked, extra=(*others, "_null"), whole_characters=True)
     text = F.decode("kept", "UTF-8")
     left = kept.where((F.size("removed") == 0) | (F.trim(text) != ""))
-    left = left.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long"))
-    return left.select(*docs.columns)
+    left = left.withColumn("text", F.when(~F.col("_null"), text))
+    for c, name in zip(own.columns, docs.columns, strict=True):
+        if name == "n_chars":
+            left = left.withColumn(c, F.coalesce(F.length("text").cast(docs.schema[name].dataType), c))
+    return left.select(*own.columns).toDF(*docs.columns)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,13 +64,20 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     judged = decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated")
     dirty = judged.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
-    return docs.join(dirty, same, "left_anti").select(*docs.columns)
+    own = _apart(docs)
+    return own.join(dirty, same, "left_anti").select(*own.columns).toDF(*docs.columns)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The byte-level BPE ids of every document that is left, and how many they are."""
-    coded = byte_bpe.encode_documents(docs.select("doc_id", "text", "lang", "source"))
-    return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    """The byte-level BPE ids of every document that is left, and how many they are.
+
+    Other columns stay, but text and n_chars; one that is called as what is added is replaced.
+    """
+    coded = byte_bpe.encode_documents(_apart(docs))
+    added = {"n_tokens": F.size("ids").cast("long"), "ids": F.col("ids")}
+    names = zip(coded.columns, docs.columns, strict=False)
+    carried = [F.col(c).alias(name) for c, name in names if name.lower() not in ("text", "n_chars", *added)]
+    return coded.select(*carried, *(v.alias(k) for k, v in added.items()))
 
 
 STAGES = [

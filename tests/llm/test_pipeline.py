@@ -76,3 +76,24 @@ def test_one_row_of_each_group(spark):
     hashes = {r.text: r.h for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}
     first = min((near("a", "x"), near("a", "y")), key=hashes.get)
     assert got == sorted([(None, first), (3, near("b", "y")), (7, near("c", "x")), (None, None), (None, None), (8, ""), (None, "alone here")], key=str)
+
+
+def test_odd_columns(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    docs = docs.unionByName(docs.limit(5)).unionByName(docs.limit(9).withColumn("doc_id", F.lit(None).cast("long")))
+    docs = docs.unionByName(docs.limit(2).withColumn("text", F.lit(None).cast("string")))
+    clashing = ["score", "removed", "kept", "n_bytes", "key", "t1", "data", "spans", "group", "_id", "_row", "a.b"]
+    docs = docs.select("*", *(F.concat_ws("-", F.lit(c), "doc_id", "source").alias(c) for c in clashing))
+    carried = lambda r: all(r[c] == "-".join(str(x) for x in (c, r.doc_id, r.source) if x is not None) for c in clashing)
+    docs.write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    texts = {(r.doc_id, r.text) for r in docs.collect()}
+    for n, (_, stage) in enumerate(pipeline.STAGES):
+        out = stage(spark, docs, SF)
+        rows = out.collect()
+        assert rows and all(map(carried, rows))
+        if n < len(pipeline.STAGES) - 1:
+            assert out.columns == docs.columns and out.dtypes == docs.dtypes
+            assert n == 2 or {(r.doc_id, r.text) for r in rows} <= texts
+        if n == 2:
+            assert sum(r.text is None for r in rows) == 2
