@@ -69,12 +69,12 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The byte-level BPE ids of every document that is left, and how many they are.
+    """The byte-level BPE ids of every document that is left, how many they are, and hashes of the text and of the ids' bytes.
 
-    Other columns stay, but text and n_chars; one that is called as what is added is replaced.
+    Decoding gives the text again where both hashes are equal; a null text has no ids and counts as empty. Other columns stay, but text and n_chars; one that is called as what is added is replaced.
     """
-    coded = byte_bpe.encode_documents(_apart(docs))
-    added = {"n_tokens": F.size("ids").cast("long"), "ids": F.col("ids")}
+    coded = byte_bpe.decode_documents(byte_bpe.encode_documents(_apart(docs)))
+    added = {"n_tokens": F.size("ids").cast("long"), "ids": F.col("ids"), "text_sha256": F.sha2(F.coalesce("text", F.lit("")), 256), "decoded_sha256": F.sha2("decoded", 256)}
     names = zip(coded.columns, docs.columns, strict=False)
     carried = [F.col(c).alias(name) for c, name in names if name.lower() not in ("text", "n_chars", *added)]
     return coded.select(*carried, *(v.alias(k) for k, v in added.items()))

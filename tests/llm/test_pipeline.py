@@ -97,3 +97,13 @@ def test_odd_columns(spark, tmp_path):
             assert n == 2 or {(r.doc_id, r.text) for r in rows} <= texts
         if n == 2:
             assert sum(r.text is None for r in rows) == 2
+
+
+def test_decoded(spark):
+    import hashlib
+
+    texts = ["", None, "naïve 日本 \n\n  x1", "word " * 3000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in pipeline.token_ids(spark, docs, SF).collect()}
+    for i, t in enumerate(texts):
+        assert got[i].decoded_sha256 == got[i].text_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
