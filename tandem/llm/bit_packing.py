@@ -11,25 +11,29 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 import struct
-from collections.abc import Iterable, Iterator
+import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from public_tokenizers import path
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import Scratch, small_batches
 from .token_counts import byte_characters
 
 VOCABULARY = "word_bpe_49k.json"
 BLOCK = 1 << 16
-#: Parts and pieces a worker keeps the ids of since it last set the older ones aside, and as many older ones.
-PARTS, PIECES = 200_000, 450_000
+#: Pieces and parts a worker keeps the ids of since it last set the older ones aside, and as many older ones.
+PIECES, PARTS = 600_000, 50_000
+#: Characters of a text up to which it is split into pieces at once.
+LONG = 1_000_000
 #: Below this character NFC changes nothing and lower case goes character by character.
 LATIN = "\u0250"
 
@@ -65,46 +69,61 @@ class Kept(dict):
         return got
 
 
+def latin_splitter():
+    """Splits a lower-cased text whose characters were below LATIN, as the tokenizer's pattern does."""
+    kinds: dict[str, str] = {"L": "", "N": "", " ": ""}
+    for c in map(chr, range(ord(LATIN))):
+        kind = " " if c.isspace() and c not in "\x1c\x1d\x1e\x1f" else unicodedata.category(c)[0]
+        if kind in kinds:
+            kinds[kind] += re.escape(c)
+    letters, digits, blanks = kinds["L"], kinds["N"], kinds[" "]
+    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{digits}]|[^{blanks}{letters}{digits}]+").findall
+
+
 class Words:
-    """Ids (little-endian unsigned 32-bit) of the parts of texts between ASCII white space.
+    """Ids (little-endian, `width` bytes each) of texts.
 
-    The tokenizer drops white space and never spans it, so a text's ids are those of its parts in a row. A Latin part
-    is lower-cased and split here, by the tokenizer's own pattern, and only its pieces go through the library's model;
-    any other part goes through the library as a whole.
+    A Latin text is lower-cased and split here, as by the tokenizer's own pattern, and only its pieces go through the
+    library's model. The tokenizer drops white space and no piece spans it, so the ids of any other text are those of
+    its parts between ASCII white space in a row; parts that are not Latin go through the library as a whole.
     """
 
-    def __init__(self, vocabulary: bytes):
-        import regex
+    def __init__(self, vocabulary: bytes, width: int = 4):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(vocabulary.decode())
         self.special = [t["content"] for t in json.loads(vocabulary)["added_tokens"]]
-        splits = [p["pattern"]["Regex"] for p in json.loads(vocabulary)["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"]
-        self.split = regex.compile(splits[0]).findall
-        self.symbols = byte_characters()
+        self.split, self.foreign = latin_splitter(), re.compile(f"[^\0-{chr(ord(LATIN) - 1)}]").search
+        self.symbols, self.kind = byte_characters(), {2: "H", 4: "I"}[width]
         self.parts, self.pieces = Kept(self.of, PARTS), Kept(self.piece, PIECES)
 
+    def packed(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{self.kind}", *ids)
+
     def piece(self, text: str) -> bytes:
         mapped = text if text.isascii() and text.isprintable() else "".join(self.symbols[b] for b in text.encode())
-        ids = [t.id for t in self.library.model.tokenize(mapped)]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return self.packed([t.id for t in self.library.model.tokenize(mapped)])
+
+    def latin(self, text: str) -> bool:
+        return (text.isascii() or not self.foreign(text)) and not ("<" in text and any(t in text for t in self.special))
 
     def of(self, word: str) -> bytes:
-        if not word:
-            return b""
-        if max(word) < LATIN and not ("<" in word and any(t in word for t in self.special)):
+        if not word or self.latin(word):
             return b"".join(map(self.pieces.__getitem__, self.split(word.lower())))
-        ids = self.library.encode(word, add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return self.packed(self.library.encode(word, add_special_tokens=False).ids)
+
+    def text(self, text: str) -> bytes:
+        if len(text) <= LONG and self.latin(text):
+            return b"".join(map(self.pieces.__getitem__, self.split(text.lower())))
+        return b"".join(map(self.parts.__getitem__, re.split("[ \t\r\n]", text)))
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        split = (t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts)
-        return [b"".join(map(self.parts.__getitem__, words)) for words in split]
+        return list(map(self.text, texts))
 
 
 @functools.lru_cache(2)
-def words(vocabulary: bytes) -> Words:
-    return Words(vocabulary)
+def words(vocabulary: bytes, width: int) -> Words:
+    return Words(vocabulary, width)
 
 
 def vocabulary_size(vocabulary: bytes) -> int:
@@ -112,19 +131,19 @@ def vocabulary_size(vocabulary: bytes) -> int:
     return 1 + max(max(j["model"]["vocab"].values()), *(t["id"] for t in j["added_tokens"]), 0)
 
 
-def encode(docs: DataFrame, end_id: int | None, name: str = VOCABULARY) -> DataFrame:
-    """doc_id, n_tokens and ids (little-endian unsigned 32-bit) of every row."""
+def encode(docs: DataFrame, end_id: int | None, name: str = VOCABULARY, width: int = 4) -> DataFrame:
+    """doc_id, n_tokens and ids (little-endian, unsigned, of `width` bytes: 4 or 2) of every row."""
     spark = docs.sparkSession
     small_batches(spark)
     with open(path(name), "rb") as file:
         vocabulary = spark.sparkContext.broadcast(file.read())  # under 2 MB
-    last = b"" if end_id is None else np.array([end_id], dtype="<u4").tobytes()
+    last = b"" if end_id is None else np.array([end_id], dtype=f"<u{width}").tobytes()
 
     @F.arrow_udf("binary")
     def to_ids(texts: pa.Array) -> pa.Array:
-        return pa.array([x + last for x in words(vocabulary.value).ids([t or "" for t in texts.to_pylist()])], pa.binary())
+        return pa.array([x + last for x in words(vocabulary.value, width).ids([t or "" for t in texts.to_pylist()])], pa.binary())
 
-    return docs.select("doc_id", to_ids("text").alias("ids")).withColumn("n_tokens", (F.octet_length("ids") / 4).cast("long"))
+    return docs.select("doc_id", to_ids("text").alias("ids")).withColumn("n_tokens", (F.octet_length("ids") / width).cast("long"))
 
 
 def write_packed(docs: DataFrame, folder: str, end_id: int | None = None, name: str = VOCABULARY, block: int = BLOCK) -> int:
@@ -136,10 +155,8 @@ def write_packed(docs: DataFrame, folder: str, end_id: int | None = None, name:
     scratch = Scratch(spark, "ids")
     with open(path(name), "rb") as file:
         bits = max(1, (vocabulary_size(file.read()) - 1).bit_length())
-    encoded = scratch.keep(
-        encode(docs, end_id, name).withColumn("ids", _narrow(bits)("ids")) if bits <= 16 else encode(docs, end_id, name), "encoded"
-    )
     width = 2 if bits <= 16 else 4
+    encoded = scratch.keep(encode(docs, end_id, name, width).select("doc_id", "ids"), "encoded")
     key = docs.schema["doc_id"].dataType
     schema = T.StructType(
         [
@@ -148,16 +165,16 @@ def write_packed(docs: DataFrame, folder: str, end_id: int | None = None, name:
         ]
     )
 
-    def to_blocks(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, start, keys, held, n = TaskContext.get().partitionId(), 0, [], [], 0
+        to = to_arrow_schema(schema)
 
         def full():
-            ids = np.frombuffer(b"".join(held), f"<u{width}")
-            row = (part, start, bits, keys, [len(x) // width for x in held], pack(ids, bits))
-            return pd.DataFrame([row], columns=schema.names)
+            row = (part, start, bits, keys, [len(x) // width for x in held], pack(np.frombuffer(b"".join(held), f"<u{width}"), bits))
+            return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, to, strict=True)], schema=to)
 
-        for frame in frames:
-            for k, x in zip(frame["doc_id"].astype(object).where(frame["doc_id"].notna(), None), frame["ids"], strict=True):
+        for batch in batches:
+            for k, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if n and n + len(x) // width > block:
                     yield full()
                     start, keys, held, n = start + n, [], [], 0
@@ -168,19 +185,11 @@ def write_packed(docs: DataFrame, folder: str, end_id: int | None = None, name:
             yield full()
 
     ordered = encoded.select("doc_id", "ids").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
-    ordered.mapInPandas(to_blocks, schema).write.mode("overwrite").option("compression", "zstd").parquet(folder)
+    ordered.mapInArrow(to_blocks, schema).write.mode("overwrite").option("compression", "zstd").parquet(folder)
     scratch.drop("encoded")
     return bits
 
 
-def _narrow(bits: int):
-    @F.arrow_udf("binary")
-    def narrow(ids: pa.Array) -> pa.Array:
-        return pa.array([np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids.to_pylist()], pa.binary())
-
-    return narrow
-
-
 def read_packed(spark, folder: str) -> DataFrame:
     """doc_id, start (ids of all documents before), n_tokens and ids (little-endian unsigned 32-bit) from the files."""
     blocks = spark.read.parquet(folder)
@@ -194,16 +203,19 @@ def read_packed(spark, folder: str) -> DataFrame:
         [T.StructField("doc_id", key), T.StructField("start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())]
     )
 
-    def to_rows(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for b in frame.itertuples(index=False):
-                sizes = np.asarray(b.sizes, dtype=np.int64)
-                at = np.cumsum(sizes) - sizes
-                ids = unpack(b.payload, b.bits, 0, int(sizes.sum())).astype("<u4")
-                rows = [(k, before[b.part] + b.start + int(a), int(n), ids[a : a + n].tobytes()) for k, a, n in zip(b.keys, at, sizes, strict=True)]
-                yield pd.DataFrame(rows, columns=schema.names).astype({"doc_id": object})
-
-    return blocks.mapInPandas(to_rows, schema)
+    def to_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        to = to_arrow_schema(schema)
+        for batch in batches:
+            for i in range(len(batch)):
+                b = {name: batch.column(name)[i] for name in batch.schema.names}
+                sizes = b["sizes"].values.to_numpy().astype(np.int64)
+                ends = np.concatenate([[0], np.cumsum(sizes)])
+                ids = unpack(b["payload"].as_py(), b["bits"].as_py(), 0, int(ends[-1])).astype("<u4")
+                first = before[b["part"].as_py()] + b["start"].as_py()
+                rows = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(ends * 4), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([b["keys"].values, pa.array(first + ends[:-1]), pa.array(sizes), rows.cast(pa.binary())], schema=to)
+
+    return blocks.mapInArrow(to_rows, schema)
 
 
 def pack_documents(docs: DataFrame, folder: str | None = None, end_id: int | None = None, name: str = VOCABULARY) -> DataFrame:
