@@ -21,8 +21,10 @@ def lower_ascii(c: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset and all is local."""
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
     if not named:
         named = f"file://{tempfile.mkdtemp(prefix='tandem-')}"
         spark.conf.set("spark.checkpoint.dir", named)
@@ -53,6 +55,13 @@ class Scratch:
         df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def append(self, df: DataFrame, name: str) -> None:
+        df.write.mode("append").option("compression", "zstd").parquet(self.path(name))
+        self.schemas[name] = df.schema
+
+    def read(self, name: str) -> DataFrame:
+        return self.spark.read.schema(self.schemas[name]).parquet(self.path(name))
+
     def drop(self, *names: str) -> None:
         jvm = self.spark._jvm
         for name in names:

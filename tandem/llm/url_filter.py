@@ -2,10 +2,15 @@
 
 Every host has a tree of path segments. Level by level, a segment becomes the wildcard `*` where it is one of many
 rare siblings or looks like a number; labelled sibling branches whose share of bad URLs does not differ from the rest
-of their siblings (a two-sided z test) are merged under the wildcard too. The leaves are templates. A template is
-rejected where its share of bad labels, smoothed towards its host's share and that towards the overall one, reaches
-the threshold and it has enough labels. Paths are counted before the tree is built, so a host with a third of all
-rows is as many tree rows as it has different paths.
+of their siblings (a two-sided z test) are merged under the wildcard too. A path that is alone under its node takes
+the rest of its segments at once, as its branch has no siblings any more; so levels end where no two paths of a host
+share a beginning, whatever the depth. The leaves are templates.
+
+A template's purity is its share of bad labels, smoothed towards the share that the same template has on all hosts,
+that towards the host's share, and that towards the overall one. So a template without labels of its own is judged by
+where labels of its kind are. It is rejected where the purity reaches the threshold and these places together have
+enough labels. Paths are counted before the tree is built, so a host with a third of all rows is as many tree rows as
+it has different paths, and joins on a host, a node or a template are salted.
 """
 
 from __future__ import annotations
@@ -43,17 +48,34 @@ def longest_rule(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
     return fitting[0] if len(fitting) == 1 else F.greatest(*fitting)
 
 
+#: Parts in which the children of one node, or the hosts of one template, meet it.
+SALTS = 32
+
+
+def _part(*columns: str) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(SALTS)).cast("int")
+
+
+def _summed(rows: DataFrame, key: list[str], part: Column, sums: dict[str, Column]) -> DataFrame:
+    """key, part and the sums over all rows of a key, a row for each part that the key has."""
+    parts = rows.groupBy(*key, part.alias("part")).agg(*(c.alias(n) for n, c in sums.items()))
+    whole = parts.groupBy(*key).agg(*(F.sum(n).alias(n) for n in sums), F.collect_set("part").alias("parts"))
+    return whole.withColumn("part", F.explode("parts")).drop("parts")
+
+
+def _step(seg: Column) -> Column:
+    return F.when(seg.rlike(r"^[0-9]+(\.[a-z0-9]+)?$"), F.lit("*")).otherwise(seg)
+
+
 def _level(tree: DataFrame, depth: int, many: int, rare: float, z: float, least: int) -> DataFrame:
-    """Appends the segment at this depth, or `*`, to every path's template."""
+    """Appends the segment at this depth, or `*`, to the templates, and the rest of the segments where a path is alone."""
     seg = F.get("segments", F.lit(depth))
     node = ["host", "template"]
-    kids = tree.where(seg.isNotNull()).groupBy(*node, seg.alias("seg")).agg(
-        F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")
+    kids = tree.groupBy(*node, seg.alias("seg")).agg(
+        F.count("*").alias("paths"), F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")
     )
-    parents = kids.groupBy(*node).agg(
-        F.sum("n").alias("all_n"), F.count("*").alias("kids"), F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad")
-    )
-    numeric = F.col("seg").rlike(r"^[0-9]+(\.[a-z0-9]+)?$")
+    sums = {"all_n": F.sum("n"), "kids": F.count("*"), "all_labelled": F.sum("labelled"), "all_bad": F.sum("bad")}
+    parents = _summed(kids, node, _part("seg"), sums)
     scarce = (F.col("kids") > many) & (F.col("n") < rare * F.col("all_n"))
     others = F.col("all_labelled") - F.col("labelled")
     rest = (F.col("all_bad") - F.col("bad")) / F.greatest(others, F.lit(1))
@@ -62,29 +84,50 @@ def _level(tree: DataFrame, depth: int, many: int, rare: float, z: float, least:
     alike = (F.col("labelled") >= least) & (others >= least) & (
         F.abs(F.col("bad") / F.greatest("labelled", F.lit(1)) - rest) <= z * spread
     )
-    steps = kids.join(parents, node).select(
-        *node, "seg", F.when(numeric | scarce | alike, F.lit("*")).otherwise(F.col("seg")).alias("step")
-    )
-    return (
-        tree.withColumn("seg", seg)
-        .join(steps, [*node, "seg"], "left")
-        .withColumn("template", F.when(F.col("seg").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "step")))
-        .drop("seg", "step")
-    )
-
-
-def template_tree(
-    paths: DataFrame, scratch: Scratch, depth: int = 4, many: int = 8, rare: float = 0.1, z: float = 1.96, least: int = 5
-) -> DataFrame:
-    """paths: host, path, n, labelled, bad. Adds the template; segments beyond the depth count as one."""
-    cut = F.filter(F.split("path", "/"), lambda s: s != "")
-    tail = F.when(F.size(cut) > depth, F.array(F.array_join(F.slice(cut, depth, 10_000), "/"))).otherwise(F.array().cast("array<string>"))
-    head = F.when(F.size(cut) > depth, F.slice(cut, 1, depth - 1)).otherwise(cut)
-    tree = paths.withColumn("segments", F.concat(head, tail)).withColumn("template", F.lit(""))
-    for level in range(depth):
-        tree = scratch.keep(_level(tree, level, many, rare, z, least), f"level{level}")
-        scratch.drop(f"level{level - 2}")
-    return tree
+    steps = kids.withColumn("part", _part("seg")).join(parents, [*node, "part"])
+    steps = steps.select(*node, "seg", F.when(scarce | alike, F.lit("*")).otherwise(_step(F.col("seg"))).alias("step"))
+    # a path is alone where no other goes through the node that it is at now: wildcards bring paths together
+    grown = tree.withColumn("seg", seg).join(steps, [*node, "seg"]).withColumn("template", F.concat("template", F.lit("/"), "step"))
+    return grown.drop("seg", "step")
+
+
+def _alone(tree: DataFrame, depth: int) -> DataFrame:
+    """Paths that are alone under their template (and those that end at it) as `done`, with the template finished."""
+    more = F.size("segments") > depth
+    counts = tree.where(more).groupBy("host", "template").agg(F.count("*").alias("through")).where("through > 1")
+    shared = tree.join(counts.select("host", "template", F.lit(True).alias("shared")), ["host", "template"], "left")
+    done = ~more | F.col("shared").isNull()
+    tail = F.transform(F.slice("segments", depth + 1, F.greatest(F.size("segments") - depth, F.lit(0))), _step)
+    whole = F.when(done & more, F.concat_ws("/", "template", F.array_join(tail, "/"))).otherwise(F.col("template"))
+    return shared.select("host", "path", "n", "labelled", "bad", "segments", whole.alias("template"), done.alias("done"))
+
+
+def template_tree(paths: DataFrame, scratch: Scratch, many: int = 8, rare: float = 0.1, z: float = 1.96, least: int = 5) -> DataFrame:
+    """paths: host, path, n, labelled, bad. Adds the template."""
+    segments = F.filter(F.split("path", "/"), lambda s: s != "")
+    tree, level = paths.withColumn("segments", segments).withColumn("template", F.lit("")), 0
+    while True:
+        split = scratch.keep(_alone(tree, level), f"level{level}")
+        scratch.append(split.where("done").drop("done", "segments"), "leaves")
+        scratch.drop(f"level{level - 1}")
+        tree = split.where("not done").drop("done")
+        if tree.isEmpty():
+            return scratch.read("leaves")
+        tree, level = _level(tree, level, many, rare, z, least), level + 1
+
+
+def _purity(leaves: DataFrame, smoothing: float, overall: float) -> DataFrame:
+    """host, template, purity and evidence (the labels it rests on) of every template."""
+    counts = {"labelled": F.sum("labelled"), "bad": F.sum("bad")}
+    hosts = _summed(leaves, ["host"], _part("template"), counts).withColumnsRenamed({"labelled": "host_labelled", "bad": "host_bad"})
+    kinds = _summed(leaves, ["template"], _part("host"), counts).withColumnsRenamed({"labelled": "kind_labelled", "bad": "kind_bad"})
+    known = leaves.withColumn("part", _part("template")).join(hosts, ["host", "part"])
+    known = known.withColumn("part", _part("host")).join(kinds, ["template", "part"])
+    toward = F.lit(overall)
+    for name in ("host_", "kind_", ""):
+        toward = (F.col(f"{name}bad") + smoothing * toward) / (F.col(f"{name}labelled") + smoothing)
+    # the labels of the template are among those of the host and those of its kind
+    return known.select("host", "template", toward.alias("purity"), (F.col("host_labelled") + F.col("kind_labelled") - F.col("labelled")).alias("evidence"))
 
 
 def judge_urls(
@@ -98,9 +141,10 @@ def judge_urls(
     """page_id, host, path, rule, template, purity and verdict of every row of pages.
 
     labels (page_id, bad as 0/1) teach the tree; without them the pages that a rule decides do. A rule's verdict wins
-    over the template's. A null URL, or one without `://`, has an empty host and path and is allowed; a template with
-    fewer than `least` labels is allowed. Repeated rows count and come out as often as they are in the table; an empty
-    table gives an empty result. Other columns are ignored.
+    over the template's. A null URL, or one without `://`, has an empty host and path and is judged like any other; a
+    template is allowed where it, its kind on other hosts and its host have fewer than `least` labels. Repeated rows
+    count and come out as often as they are in the table; an empty table gives an empty result. Other columns are
+    ignored. Long URLs and deep paths are judged whole.
     """
     scratch = Scratch(pages.sparkSession, "urls")
     host, path = host_and_path(F.col("url"))
@@ -117,17 +161,10 @@ def judge_urls(
     )
     tree = template_tree(scratch.keep(paths, "paths"), scratch, least=least)
     leaves = tree.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
-    hosts = leaves.groupBy("host").agg(F.sum("labelled").alias("host_labelled"), F.sum("bad").alias("host_bad"))
     total = leaves.agg(F.sum("labelled"), F.sum("bad")).first()
     overall = ((total[1] or 0) + 1) / ((total[0] or 0) + 2)
-    toward = (F.col("host_bad") + smoothing * overall) / (F.col("host_labelled") + smoothing)
-    purity = (F.col("bad") + smoothing * toward) / (F.col("labelled") + smoothing)
-    judged = leaves.join(hosts, "host").select(
-        "host",
-        "template",
-        purity.alias("purity"),
-        F.when((F.col("labelled") >= least) & (purity >= threshold), "block").otherwise("allow").alias("learnt"),
-    )
+    reject = (F.col("evidence") >= least) & (F.col("purity") >= threshold)
+    judged = _purity(leaves, smoothing, overall).select("host", "template", "purity", F.when(reject, "block").otherwise("allow").alias("learnt"))
     verdicts = tree.select("host", "path", "template").join(judged, ["host", "template"])
     return parsed.join(verdicts, ["host", "path"], "left").select(
         "page_id", "host", "path", "rule", "template", "purity", F.coalesce("ruled", "learnt", F.lit("allow")).alias("verdict")
