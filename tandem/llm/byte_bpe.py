@@ -1,14 +1,18 @@
 """Byte-level BPE encoding and decoding as a monoid tree reduction.
 
 A text is halved down to leaves, which are encoded alone. Two neighbours are joined by encoding a window around
-their border anew. The window grows on both sides until each of its ends lies at a place where the split pattern
-always cuts and looks at nothing beyond, so that tokens outside cannot depend on what is inside; where a half has no
-such place the window takes the whole half. Joined values are again values, so the order of joins does not matter.
-Decoding concatenates the bytes of both halves up the same kind of tree.
-
-Places that always cut: between something that is not white space and a space or line feed; between an ASCII letter
-and an ASCII digit; between one of these and ASCII punctuation. No alternative of the pattern spans them, and the
-alternatives that end before them look only at the next character, which ends them as the end of the text would.
+their border anew. The window grows until the tokens outside are proven to stay, in one of two ways:
+
+* Its ends lie at places where the split pattern always cuts and looks at nothing beyond: between something that is not
+  white space and a space or line feed; between an ASCII letter and an ASCII digit; between one of these and ASCII
+  punctuation. No alternative of the pattern spans them, and the alternatives that end before them look only at the
+  next character, which ends them as the end of the text would.
+* The window and some characters around it are of one kind (letters, numbers, or neither), so that one match of the
+  pattern holds them all, and at both ends the token outside and the first token inside, encoded as a pair, give the
+  same two tokens. A sequence of tokens in which every neighbouring pair encodes to itself is the encoding of the whole.
+
+Only where neither holds within a half, the window takes the whole half. Joined values are again values, so the order
+of joins does not matter. Decoding concatenates the bytes of both halves up the same kind of tree.
 """
 
 from __future__ import annotations
@@ -19,6 +23,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import regex
 import tiktoken
 from public_tokenizers import PATTERN, path
 from pyspark.sql import DataFrame
@@ -27,11 +32,17 @@ from pyspark.sql import functions as F
 from .common import small_batches
 
 RANKS = "byte_bpe_50k.tiktoken"
-LEAF = 4096
+LEAF = 512
+#: Characters to look for a cut in before a window grows by tokens.
+NEAR = 256
 #: A cut lies between the two characters of a match.
 CUTS = re.compile(r"(?<=[^\s\x1c-\x1f])(?=[ \n])|(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z0-9])(?=[!-/:-@\[-`{-~])")
 
 
+#: Kinds of characters of which a match has any number.
+RUNS = [regex.compile(r"\p{L}*"), regex.compile(r"\p{N}*"), regex.compile(r"[^\s\p{L}\p{N}]*")]
+
+
 class Coder:
     """One vocabulary: the library encodes leaves and windows, this class halves and joins."""
 
@@ -58,16 +69,48 @@ class Coder:
 
     def join(self, text: str, low: int, mid: int, high: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The tokens of text[low:high] from those of text[low:mid] and text[mid:high]."""
-        a, b = self._before(text, low, mid), self._after(text, mid, high)
+        a, b = self._before(text, max(low, mid - NEAR), mid), self._after(text, mid, min(high, mid + NEAR))
+        if (a == mid - NEAR and a > low) or (b == mid + NEAR and b < high):
+            joined = self._in_run(text, low, mid, high, left, right)
+            if joined is not None:
+                return joined
+            a, b = self._before(text, low, mid), self._after(text, mid, high)
         keep_left = self._tokens(left, len(text[a:mid].encode()), from_end=True)
         keep_right = self._tokens(right, len(text[mid:b].encode()))
         return np.concatenate([left[: len(left) - keep_left], self._leaf(text[a:b]), right[keep_right:]])
 
+    def _in_run(self, text: str, low: int, mid: int, high: int, left: np.ndarray, right: np.ndarray) -> np.ndarray | None:
+        """Joins halves whose border lies in a run of one kind; None where a window would leave the run."""
+        i = j = 4
+        while True:
+            i, j = min(i, len(left)), min(j, len(right))
+            inner, outer = self._bytes(left[len(left) - i :]), self._bytes(right[:j])
+            # a character has a byte at least; two letters after an apostrophe may be a match of their own
+            around = text[max(low, mid - len(inner) - 3) : min(high, mid + len(outer) + 1)]
+            if not any(run.fullmatch(around) for run in RUNS):
+                return None
+            new = self._piece(inner + outer)
+            stays_left = i == len(left) or self._stays(left[len(left) - i - 1], new[0])
+            stays_right = j == len(right) or self._stays(new[-1], right[j])
+            if stays_left and stays_right:
+                return np.concatenate([left[: len(left) - i], np.array(new, np.int32), right[j:]])
+            i, j = i if stays_left else 2 * i, j if stays_right else 2 * j
+
+    def _piece(self, piece: bytes) -> list[int]:
+        return self.library._encode_single_piece(piece)
+
+    def _stays(self, first: int, second: int) -> bool:
+        return self._piece(self.pieces[int(first)] + self.pieces[int(second)]) == [first, second]
+
+    def _bytes(self, ids: np.ndarray) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, ids.tolist()))
+
     def _tokens(self, ids: np.ndarray, n_bytes: int, from_end: bool = False) -> int:
         """How many tokens at one end make up so many bytes."""
-        ends = np.cumsum(self.lengths[ids[::-1] if from_end else ids])
-        n = int(np.searchsorted(ends, n_bytes))
-        return n + 1 if n_bytes else 0
+        if not n_bytes:
+            return 0
+        ends = np.cumsum(self.lengths[ids[: -n_bytes - 1 : -1] if from_end else ids[:n_bytes]])
+        return int(np.searchsorted(ends, n_bytes)) + 1
 
     @staticmethod
     def _before(text: str, low: int, mid: int) -> int:
@@ -87,7 +130,7 @@ class Coder:
 
     def decode(self, ids: np.ndarray) -> bytes:
         if len(ids) <= self.leaf:
-            return b"".join(map(self.pieces.__getitem__, ids.tolist()))
+            return self._bytes(ids)
         mid = len(ids) // 2
         return self.decode(ids[:mid]) + self.decode(ids[mid:])
 
