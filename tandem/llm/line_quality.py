@@ -5,8 +5,11 @@ upper case, symbols, digits, repeated words and so on, never the language, the s
 lines have a transition score. Forward-backward gives each line's probability of being good; a document's quality is
 their mean, weighted by the lines' lengths, through a logistic scale that is fitted on the training documents.
 
-In training the lines of a document have its label. The model is fitted on a bounded sample of labelled documents, the
-ones with the lowest hashes of their ids, and is a few hundred numbers.
+Labels are of documents, lines are latent: all lines of a good document are good, a bad one has at least one bad line and
+may have good ones. Training starts with every line as its document, fits lines alone, and then takes turns: lines of
+bad documents that the model takes for good become good, and the chain, with transitions as they now occur, is fitted
+to the lines. The model is fitted on a bounded sample of labelled documents, the ones with the lowest hashes of their
+ids, and is a few dozen numbers.
 """
 
 from __future__ import annotations
@@ -22,6 +25,8 @@ from .common import small_batches
 
 #: Labelled documents to fit on, at most; the others with labels are not needed.
 SAMPLE = 6000
+#: Bytes of a text to fit on, at most: documents with longer texts are scored, but not fitted on.
+LONGEST = 1 << 16
 
 _KINDS = np.zeros(256, np.uint8)  # 0 other, 1 lower case or beyond ASCII, 2 upper case, 3 digit, 4 blank, 5 stop, 6 symbol
 _KINDS[ord("a") : ord("z") + 1] = 1
@@ -147,26 +152,42 @@ def _pooled(good: np.ndarray, sizes: np.ndarray, n_lines: np.ndarray) -> np.ndar
     return np.add.reduceat(good * sizes, at) / np.add.reduceat(sizes, at) - 0.5
 
 
-def fit(texts: list[str | None], labels: np.ndarray, rounds: int = 150, rate: float = 0.1, ridge: float = 1e-3) -> Model:
-    """Maximises the penalised likelihood of the lines' labels, then fits the logistic scale; both deterministic."""
-    # some texts at a time: what the features are made from is many times the texts' size
-    parts = [line_features(texts[i : i + 128]) for i in range(0, len(texts), 128)]
-    x, sizes, n_lines = (np.concatenate([p[i] for p in parts]) for i in range(3))
-    y = np.repeat(labels, n_lines).astype(float)
+def _climb(x, y, n_lines, weights, moves, chained: bool, rounds: int, rate: float, ridge: float) -> tuple[np.ndarray, np.ndarray]:
+    """Maximises the penalised likelihood of the lines' labels; the transitions only if chained."""
     begin = np.cumsum(n_lines) - n_lines
     inner = np.ones(len(y), bool)
     inner[begin] = False
-    seen = np.zeros((2, 2))
-    for c in (0, 1):
-        seen[c, c] = (inner & (y == c)).sum()
-    weights, moves = np.zeros(x.shape[1]), np.zeros((2, 2))
+    at, seen = np.flatnonzero(inner), np.zeros((2, 2))
+    np.add.at(seen, (y[at - 1].astype(int), y[at].astype(int)), 1)
     m = v = np.zeros(x.shape[1] + 4)
     for turn in range(1, rounds + 1):
         good, expected, _ = forward_backward(x @ weights, moves, n_lines)
-        slope = np.concatenate([x.T @ (y - good), (seen - expected).ravel()]) / len(y) - ridge * np.concatenate([weights, moves.ravel()])
+        slope = np.concatenate([x.T @ (y - good), (seen - expected).ravel() * chained]) / len(y) - ridge * np.concatenate([weights, moves.ravel()])
         m, v = 0.9 * m + 0.1 * slope, 0.99 * v + 0.01 * slope**2
         step = rate * (m / (1 - 0.9**turn)) / (np.sqrt(v / (1 - 0.99**turn)) + 1e-8)
         weights, moves = weights + step[:-4], moves + step[-4:].reshape(2, 2)
+    return weights, moves
+
+
+def latent_lines(labels: np.ndarray, good: np.ndarray, n_lines: np.ndarray) -> np.ndarray:
+    """The lines' labels under those of their documents: lines of bad documents are good where they probably are, but one."""
+    begin = np.cumsum(n_lines) - n_lines
+    y = np.maximum(np.repeat(labels, n_lines), good > 0.5)
+    worst = np.lexsort((good, np.repeat(np.arange(len(n_lines)), n_lines)))[begin]
+    y[worst] = labels
+    return y
+
+
+def fit(texts: list[str | None], labels: np.ndarray, rounds: int = 60, turns: int = 3, rate: float = 0.1, ridge: float = 1e-3) -> Model:
+    """Fits lines, then the chain to latent lines in turns, then the logistic scale; all deterministic."""
+    # some texts at a time: what the features are made from is many times the texts' size
+    parts = [line_features(texts[i : i + 128]) for i in range(0, len(texts), 128)]
+    x, sizes, n_lines = (np.concatenate([p[i] for p in parts]) for i in range(3))
+    y = np.repeat(labels, n_lines).astype(float)
+    weights, moves = np.zeros(x.shape[1]), np.zeros((2, 2))
+    for turn in range(turns):
+        weights, moves = _climb(x, y, n_lines, weights, moves, turn > 0, rounds, rate, ridge)
+        y = latent_lines(labels, forward_backward(x @ weights, moves, n_lines)[0], n_lines)
     pooled = _pooled(forward_backward(x @ weights, moves, n_lines)[0], sizes, n_lines)
     a, b = 4.0, 0.0
     for _ in range(50):  # Newton's method on two numbers
@@ -183,15 +204,16 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 5 == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, target: str = "quality", sample: int = SAMPLE) -> Model:
-    """Fits on at most `sample` labelled documents outside the held-out fold. Null labels and unlabelled rows are skipped.
+def train(docs: DataFrame, labels: DataFrame, target: str = "quality", sample: int = SAMPLE, longest: int = LONGEST) -> Model:
+    """Fits on at most `sample` labelled documents of `longest` bytes or less outside the held-out fold. Null labels and unlabelled rows are skipped.
 
     Of several labels for a document the greatest counts. Without labels every document gets one half.
     """
     chosen = labels.where(F.col(target).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     chosen = chosen.groupBy("doc_id").agg(F.max(target).cast("int").alias("y"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # a bounded side, small enough to broadcast
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("y").alias("y"))
+    short = docs.select("doc_id", "text").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= longest)
+    rows = short.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("y").alias("y"))
     rows = sorted(rows.collect())
     if not rows:
         return Model(np.zeros(line_features([""])[0].shape[1]), np.zeros((2, 2)), 0.0, 0.0)
