@@ -221,10 +221,11 @@ def _search(width: int, core: int):
     return search
 
 
-def repeated_spots(texts: DataFrame, width: int, core: int, hot: int) -> DataFrame:
+def repeated_spots(texts: DataFrame, width: int, core: int, hot: int, scratch: Scratch) -> DataFrame:
     """hash, part, key, t1 and spot of the anchors whose hash occurs more than once; part is -1 but for hot hashes."""
     spots = texts.select("key", "t1", "text").mapInArrow(_spots(width, core), "hash long, key long, t1 long, spot long")
     again = spots.groupBy("hash").agg(F.count("*").alias("times")).where("times > 1")
+    again = scratch.keep(again, "again")  # a table of its own, so that adaptive execution may split a hot hash in the join
     part = F.when(F.col("times") > hot, F.pmod(F.xxhash64("key", "t1", "spot"), F.ceil(F.col("times") / hot)).cast("int")).otherwise(-1)
     return spots.join(again.hint("merge"), "hash").select("hash", part.alias("part"), "key", "t1", "spot")
 
@@ -308,6 +309,8 @@ def remove_repeats(
     bytes. Null doc_ids come last and count as one document, as do rows of one doc_id; repeated rows do not remove each
     other, and all of them come out. Texts under `width` bytes stay. An empty table gives an empty result.
     """
+    if width - core > 126 or not 0 < core <= width:
+        raise ValueError("width may be longer than core by 126 at most")
     spark = docs.sparkSession
     small_batches(spark)
     scratch = Scratch(spark, "repeats")
@@ -323,7 +326,8 @@ def remove_repeats(
     searched = plain
     if copies.count() <= BROADCAST_COPIES:  # more of them are left out later, after their anchors were counted
         searched = plain.join(F.broadcast(copies), ["key", "t1"], "left_anti")
-    spots = scratch.keep(repeated_spots(searched, width, core, hot), "spots")
+    spots = scratch.keep(repeated_spots(searched, width, core, hot, scratch), "spots")
+    scratch.drop("again")
     n_spots, hottest = spots.agg(F.count("*"), F.max("part")).first()
     # one shuffle of the texts, by key and hash, serves the search and the removal
     texts = plain.select("key", "t1", "text").mapInArrow(_squeeze, "key long, t1 long, data binary").repartition("key", "t1")
