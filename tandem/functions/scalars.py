@@ -71,6 +71,17 @@ def mapped(c: Column | str, values: Mapping, default=None) -> Column:
     return F.coalesce(table[_c(c)], F.lit(default))
 
 
+def replaced_prefix(c: Column | str, old: str, new: str) -> Column:
+    """The text with `new` in place of `old` where it begins with that; anywhere else it stays."""
+    c = _c(c)
+    return F.when(c.startswith(old), F.concat(F.lit(new), F.substring(c, len(old) + 1, 2**31 - 1))).otherwise(c)
+
+
+def weights_json(names: Column | str, weights: Column | str) -> Column:
+    """A JSON object of names and weights, from two arrays."""
+    return F.to_json(F.map_from_arrays(_c(names), _c(weights)))
+
+
 def mean_and_spread(mean: Column | str, spread: Column | str) -> Column:
     return F.format_string("%.6f +/- %.6f", _c(mean), _c(spread))
 

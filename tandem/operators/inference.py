@@ -1,14 +1,14 @@
 """Resampling and tests.
 
-Two kinds of bootstrap: the exact one draws with numpy's generator inside a grouped function, rows in a fixed order, so
-its numbers can be compared with any other implementation; the hashed one draws by integer congruences in SQL, so that
-a database can check it and a group of any size is spread over the cluster.
+Two kinds of bootstrap: the exact one draws with numpy's generator inside a grouped function, rows in the order of their
+ids and draws in the order of the published protocol, so its numbers can be compared with a loop; the hashed one draws
+by integer congruences in SQL, so that a database can check it and a group of any size is spread over the cluster.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -59,23 +59,53 @@ def normal_tail(z: pd.Series) -> pd.Series:
     return z.map(lambda v: 0.5 * math.erfc(v / math.sqrt(2)))
 
 
+def _t_point(q: float, df: float) -> float:
+    """The value that Student's distribution exceeds with probability q, by halving."""
+    low, high = 0.0, 1.0
+    while _t_tail(high, df) > q:
+        high *= 2
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if _t_tail(mid, df) > q else (low, mid)
+    return (low + high) / 2
+
+
+@F.pandas_udf(DoubleType())
+def t_point(df: pd.Series) -> pd.Series:
+    """The one-sided 2.5 percent point, a number for each group."""
+    return pd.Series([_t_point(0.025, d) if d >= 1 else None for d in df])
+
+
+#: The one-sided 2.5 percent point of the normal distribution.
+NORMAL_POINT = 1.959963984540054
+
+
+def _tested(stats: DataFrame, se: Column, p: Column, point: Column) -> DataFrame:
+    """Adds p, lower and permission; without enough rows p is 1, lower NULL and permission denied; without spread p is 0 or 1."""
+    bare = F.when(F.col("gain") > 0, 0.0).otherwise(1.0)
+    out = stats.withColumn("p", F.when(se.isNull(), 1.0).when(se <= 0, bare).otherwise(p)).withColumn("lower", F.col("gain") - point * se)
+    return out.withColumn("permission", F.col("lower").isNotNull() & permitted(F.col("p"), F.col("gain")))
+
+
 def paired_t(df: DataFrame, keys: Keys, difference: Column) -> DataFrame:
-    """n, gain, t and the one-sided p of a mean difference above 0; without spread p is 0 or 1."""
+    """n, gain, t, the one-sided p of a mean difference above 0, its lower bound and the permission."""
     stats = df.withColumn("_d", difference).groupBy(*keys).agg(F.count("_d").alias("n"), F.avg("_d").alias("gain"), F.stddev_samp("_d").alias("_sd"))
-    out = stats.withColumn("t", ratio("gain", F.col("_sd") / F.sqrt(F.col("n"))))
-    p = F.when(F.col("_sd") == 0, F.when(F.col("gain") > 0, 0.0).otherwise(1.0)).otherwise(t_tail("t", (F.col("n") - 1).cast("double")))
-    return out.withColumn("p", p).drop("_sd")
+    stats = stats.withColumn("_se", F.col("_sd") / F.sqrt(F.col("n"))).withColumn("t", ratio("gain", "_se"))
+    free = (F.col("n") - 1).cast("double")
+    return _tested(stats, F.col("_se"), t_tail("t", free), t_point(free)).drop("_sd", "_se")
 
 
 def paired_delong(df: DataFrame, keys: Keys, item: str = "mol_id") -> DataFrame:
-    """gain, variance, z and one-sided p of AUROC(pred3d) - AUROC(pred2d), from the placements of both predictors."""
+    """gain, variance, z, one-sided p, lower bound and permission of AUROC(pred3d) - AUROC(pred2d), from both placements."""
     keys = list(keys)
     a, b = placements(df, keys, "y", "pred3d", "pred3d", "_a", item), placements(df, keys, "y", "pred2d", "pred2d", "_b", item)
     d = df.select(*keys, item, "y").join(a, [*keys, item]).join(b, [*keys, item]).withColumn("_d", F.col("_a") - F.col("_b"))
     sides = d.groupBy(*keys, "y").agg(F.avg("_d").alias("_mean"), F.var_samp("_d").alias("_var"), F.count("*").alias("_n"))
-    out = sides.groupBy(*keys).agg(F.avg("_mean").alias("gain"), F.sum(F.col("_var") / F.col("_n")).alias("variance"), F.count("_var").alias("_sides"))
-    out = out.where("_sides = 2").drop("_sides").withColumn("z", ratio("gain", F.sqrt("variance")))
-    return out.withColumn("p", F.when(F.col("variance") <= 0, F.when(F.col("gain") > 0, 0.0).otherwise(1.0)).otherwise(normal_tail("z")))
+    known = F.count("_var") == 2  # two rows of each class at least
+    out = sides.groupBy(*keys).agg(F.avg("_mean").alias("gain"), F.when(known, F.sum(F.col("_var") / F.col("_n"))).alias("variance"))
+    out = out.withColumn("_se", F.sqrt(F.greatest("variance", F.lit(0.0)))).withColumn("_se", F.when(F.col("variance").isNotNull(), F.col("_se")))
+    out = out.withColumn("z", ratio("gain", "_se"))
+    return _tested(out, F.col("_se"), normal_tail("z"), F.lit(NORMAL_POINT)).drop("_se")
 
 
 def permitted(p: Column, gain: Column, alpha: float = 0.025) -> Column:
@@ -100,6 +130,11 @@ def hashed_lcb(df: DataFrame, keys: Keys, value: str, item: str, repeats: int =
     A resample is a multiset of places, so rows are weighted by how often their place is drawn: repeats and rows
     multiply, but only counts by (group, repeat) are kept after partial aggregation.
     """
+    return hashed_quantiles(df, keys, value, item, {"lcb": quantile}, repeats, seed, least)
+
+
+def hashed_quantiles(df: DataFrame, keys: Keys, value: str, item: str, quantiles: Mapping[str, float], repeats: int = 200, seed: int = 0, least: int = 8) -> DataFrame:
+    """n, mean and, by name, quantiles of the means over the same hashed resamples; NULL in groups below `least`."""
     keys = list(keys)
     own = running(df.withColumn("_own", F.col(item).cast("double")), keys, "_own", {"_at": F.lit(1).cast("long")}, ties=[item])
     sizes = df.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
@@ -108,36 +143,62 @@ def hashed_lcb(df: DataFrame, keys: Keys, value: str, item: str, repeats: int =
     picks = draws.groupBy(*keys, "_turn", "_pick").agg(F.count("*").alias("_times"))
     drawn = picks.join(own.select(*keys, (F.col("_at") - 1).alias("_pick"), F.col(value).alias("_v")), [*keys, "_pick"])
     means = drawn.groupBy(*keys, "_turn").agg((F.sum(F.col("_times") * F.col("_v")) / F.sum("_times")).alias("_mean"))
-    bound = means.groupBy(*keys).agg(F.percentile("_mean", F.lit(quantile)).alias("lcb"))
-    return sizes.join(bound, keys).withColumn("lcb", F.when(F.col("n") >= least, F.col("lcb")))
+    bound = means.groupBy(*keys).agg(*[F.percentile("_mean", F.lit(q)).alias(name) for name, q in quantiles.items()])
+    out = sizes.join(bound, keys)
+    return out.select(*keys, "n", "mean", *[F.when(F.col("n") >= least, F.col(name)).alias(name) for name in quantiles])
 
 
 def hashed_sign_test(df: DataFrame, keys: Keys, value: str, item: str, repeats: int = 500, seed: int = 0) -> DataFrame:
-    """n, mean and p: how many hashed sign flips reach the mean; one-sided, never below 1 / repeats."""
+    """n, mean, p (one-sided, towards the mean's own side) and p_two: how many hashed sign flips reach the mean; never below 1 / repeats."""
     keys = list(keys)
     own = running(df.withColumn("_own", F.col(item).cast("double")), keys, "_own", {"_at": F.lit(1).cast("long")}, ties=[item])
     flips = own.select(*keys, F.col(value).alias("_v"), "_at", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("_turn"))
     coin = hashed(F.col("_at"), F.col("_turn").cast("long"), seed, F.lit(2).cast("long"))
     sums = flips.groupBy(*keys, "_turn").agg(F.avg(F.when(coin == 1, F.col("_v")).otherwise(-F.col("_v"))).alias("_m"))
     seen = df.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
-    hits = sums.join(seen, keys).groupBy(*keys).agg(F.first("n").alias("n"), F.first("mean").alias("mean"), F.avg((F.round("_m", 12) >= F.round("mean", 12)).cast("double")).alias("_share"))
-    return hits.select(*keys, "n", "mean", F.greatest(F.col("_share"), F.lit(1 / repeats)).alias("p"))
+    m, mean = F.round("_m", 12), F.round("mean", 12)
+    share = lambda c: F.greatest(F.avg(c.cast("double")), F.lit(1 / repeats))
+    one = F.when(mean >= 0, m >= mean).otherwise(m <= mean)
+    return sums.join(seen, keys).groupBy(*keys, "n", "mean").agg(share(one).alias("p"), share(F.abs(m) >= F.abs(mean)).alias("p_two"))
+
+
+def _weighted_auroc(order: np.ndarray, last: np.ndarray, first: np.ndarray, positive: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """AUROC times both classes' weights, a row for each row of weights; first and last bound the ties of every place."""
+    w = weights[:, order]
+    below = np.pad(np.cumsum(np.where(positive[order], 0, w), axis=1), ((0, 0), (1, 0)))
+    return (np.where(positive[order], w, 0) * (below[:, first] + below[:, last]) / 2).sum(1)
 
 
 def bootstrap_gains(y: np.ndarray, a: np.ndarray, b: np.ndarray, classification: bool, repeats: int, seed: int) -> np.ndarray:
-    """Resampled endpoint gains of b over a. Classes are resampled apart, as counts against the pairwise comparisons."""
+    """Resampled endpoint gains of b over a. In classification positives and negatives are drawn in turn for each resample.
+
+    Memory grows with the rows alone: resamples are handled some at a time, AUROC by running sums over sorted scores.
+    """
     rng = np.random.default_rng(seed)
+    some = max(1, 2_000_000 // max(1, len(y)))
     if not classification:
-        saved = np.abs(y - a) - np.abs(y - b)
-        return saved[rng.integers(0, len(y), (repeats, len(y)))].mean(1)
+        old, new, out = np.abs(y - a), np.abs(y - b), []
+        for i in range(0, repeats, some):
+            at = rng.integers(0, len(y), (min(some, repeats - i), len(y)))
+            out.append(old[at].mean(1) - new[at].mean(1))
+        return np.concatenate(out)
     up, down = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
     if not len(up) or not len(down):
         return np.full(repeats, np.nan)
-    wins = lambda p: (np.sign(p[up][:, None] - p[down]) + 1) / 2
-    better = wins(b) - wins(a)
-    w = rng.multinomial(len(up), np.full(len(up), 1 / len(up)), repeats) / len(up)
-    v = rng.multinomial(len(down), np.full(len(down), 1 / len(down)), repeats) / len(down)
-    return ((w @ better) * v).sum(1)
+    places = []
+    for p in (a, b):
+        order = np.argsort(p, kind="stable")
+        places.append((order, np.searchsorted(p[order], p[order], "right"), np.searchsorted(p[order], p[order], "left")))
+    out = np.empty(repeats)
+    for i in range(0, repeats, some):
+        n = min(some, repeats - i)
+        weights = np.zeros((n, len(y)))
+        for row in weights:
+            for side in (up, down):
+                row[side] = np.bincount(rng.integers(0, len(side), len(side)), minlength=len(side))
+        old, new = (_weighted_auroc(*place, y == 1, weights) for place in places)
+        out[i : i + n] = (new - old) / (len(up) * len(down))
+    return out
 
 
 def exact_lcb(df: DataFrame, keys: Keys, repeats: int = 5000, quantile: float = 0.025, seed: int = 44000, item: str = "mol_id") -> DataFrame:
@@ -156,24 +217,28 @@ def exact_lcb(df: DataFrame, keys: Keys, repeats: int = 5000, quantile: float =
     return df.groupBy(*keys).applyInPandas(bound, f"{fields}, lcb double, mean double, ucb double")
 
 
-def cluster_intervals(states: DataFrame, keys: Keys, cluster: str, values: Sequence[str], repeats: int = 2000, seed: int = 20261108) -> DataFrame:
+def cluster_intervals(states: DataFrame, keys: Keys, cluster: str, values: Sequence[str], repeats: int = 10_000, seed: int = 20261108, ratios: Mapping[str, tuple[str, str]] | None = None) -> DataFrame:
     """value_name, mean, low and high: clusters are drawn with replacement, their rows kept together.
 
-    Clusters are averaged first, so a draw is over a few numbers for each group.
+    Clusters are summed first, so a draw is over a few numbers for each group. `ratios` name quotients of two summed
+    columns; resamples in which the lower one is 0 do not count. All groups with the same clusters see the same draws,
+    so differences of two groups' columns are paired.
     """
-    keys = list(keys)
-    means = states.groupBy(*keys, cluster).agg(*[F.sum(v).alias(v) for v in values], F.count("*").alias("_n"))
+    keys, ratios = list(keys), dict(ratios or {})
+    summed = [*dict.fromkeys([*values, *(c for pair in ratios.values() for c in pair)])]
+    means = states.groupBy(*keys, cluster).agg(*[F.sum(v).alias(v) for v in summed], F.count("*").alias("_n"))
     fields = ", ".join(f"{k} {states.schema[k].dataType.simpleString()}" for k in keys)
 
     def draw(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(cluster)
         at = np.random.default_rng(seed).integers(0, len(rows), (repeats, len(rows)))
-        n = rows["_n"].to_numpy(float)
         out = []
-        for v in values:
-            x = rows[v].to_numpy(float)
-            low, high = np.quantile(x[at].sum(1) / n[at].sum(1), [0.025, 0.975])
-            out.append((*rows[keys].iloc[0], v, x.sum() / n.sum(), low, high))
+        for name, (top, bottom) in {**{v: (v, "_n") for v in values}, **ratios}.items():
+            x, n = rows[top].to_numpy(float), rows[bottom].to_numpy(float)
+            above, below = x[at].sum(1), n[at].sum(1)
+            drawn = above[below != 0] / below[below != 0]
+            low, high = np.quantile(drawn, [0.025, 0.975]) if len(drawn) else (None, None)
+            out.append((*rows[keys].iloc[0], name, x.sum() / n.sum() if n.sum() else None, low, high))
         return pd.DataFrame(out, columns=[*keys, "value_name", "mean", "low", "high"])
 
     return means.groupBy(*keys).applyInPandas(draw, f"{fields}, value_name string, mean double, low double, high double")
@@ -193,3 +258,99 @@ def two_level_interval(pairs: DataFrame, keys: Keys, stratum: str, value: str, r
         return pd.DataFrame([(*[rows[k].iloc[0] for k in keys], np.mean([g.mean() for g in groups]), low, high)], columns=[*keys, "mean", "low", "high"])
 
     return pairs.groupBy(*keys).applyInPandas(draw, f"{fields}mean double, low double, high double")
+
+
+def _gain(y: np.ndarray, a: np.ndarray, b: np.ndarray, classification: bool) -> float:
+    """The endpoint gain of b over a; NaN where a class is missing."""
+    if not classification:
+        return float(np.abs(y - a).mean() - np.abs(y - b).mean())
+    up = y == 1
+    n = up.sum() * (~up).sum()
+    if not n:
+        return math.nan
+    rank = lambda p: (np.searchsorted(np.sort(p[~up]), p[up], "left") + np.searchsorted(np.sort(p[~up]), p[up], "right")).sum() / 2
+    return float((rank(b) - rank(a)) / n)
+
+
+def hierarchical_interval(df: DataFrame, keys: Keys, group: Keys, repeats: int = 1000, seed: int = 0, item: str = "mol_id") -> DataFrame:
+    """mean, low and high of the groups' mean endpoint gain: groups are drawn with replacement, then items within each draw.
+
+    Which groups a resample draws depends on the seed and the number of groups alone, and every draw of a group has a
+    generator of its own. So each group is resampled in its own task, and only one number for each draw is shuffled.
+    """
+    keys, group = list(keys), list(group)
+    kind = lambda c: df.schema[c].dataType.simpleString()
+    numbered = df.select(*keys, *group).distinct()
+    order = Window.partitionBy(*keys).orderBy(*group)  # the groups of a contrast, not their items
+    numbered = numbered.withColumn("_g", F.row_number().over(order) - 1).withColumn("_groups", F.count("*").over(Window.partitionBy(*keys)))
+    rows = df.join(numbered, [*keys, *group])
+    fields = "".join(f"{k} {kind(k)}, " for k in keys)
+
+    def draw(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(item)
+        g, groups = int(frame["_g"].iloc[0]), int(frame["_groups"].iloc[0])
+        y, a, b = (frame[c].to_numpy(float) for c in ("y", "pred2d", "pred3d"))
+        cls = frame["task_type"].iloc[0] == "classification"
+        head, out = [frame[k].iloc[0] for k in keys], []
+        for turn in range(repeats):
+            for slot in np.flatnonzero(np.random.default_rng([seed, turn]).integers(0, groups, groups) == g).tolist():
+                at = np.random.default_rng([seed, turn, slot]).integers(0, len(y), len(y))
+                out.append((*head, turn, _gain(y[at], a[at], b[at], cls)))
+        out.append((*head, -1, _gain(y, a, b, cls)))
+        return pd.DataFrame(out, columns=[*keys, "turn", "gain"])
+
+    drawn = rows.groupBy(*keys, "_g").applyInPandas(draw, f"{fields}turn int, gain double").where(~F.isnan("gain"))
+    means = drawn.groupBy(*keys, "turn").agg(F.avg("gain").alias("m"))
+    own = F.when(F.col("turn") >= 0, F.col("m"))
+    return means.groupBy(*keys).agg(
+        F.max(F.when(F.col("turn") < 0, F.col("m"))).alias("mean"), F.percentile(own, F.lit(0.025)).alias("low"), F.percentile(own, F.lit(0.975)).alias("high")
+    )
+
+
+def mean_lcb(values: np.ndarray, alpha: float, rng: np.random.Generator, repeats: int) -> float:
+    """The alpha quantile of resampled means; no value has the bound minus infinity, one is its own bound."""
+    values = values[np.isfinite(values)]
+    if len(values) < 2:
+        return float(values[0]) if len(values) else -math.inf
+    return float(np.quantile(values[rng.integers(0, len(values), (repeats, len(values)))].mean(1), alpha))
+
+
+def permutation_null(df: DataFrame, keys: Keys, selected: str, value: str, permutations: int = 300, repeats: int = 250, seed: int = 0, item: str = "mol_id") -> DataFrame:
+    """n_selected, permit_rate and mean_bound: the lower bounds that as many items picked at random would have.
+
+    One group's values meet in one task; groups are a task's test items.
+    """
+    keys = list(keys)
+    fields = "".join(f"{k} {df.schema[k].dataType.simpleString()}, " for k in keys)
+
+    def shuffle(rows: pd.DataFrame) -> pd.DataFrame:
+        rows, rng = rows.sort_values(item), np.random.default_rng(seed)
+        values, n = rows[value].to_numpy(float), int(rows[selected].sum())
+        bounds = np.array([mean_lcb(rng.permutation(values)[:n], 0.025, rng, repeats) for _ in range(permutations if n else 0)])
+        found = ((bounds > 0).mean(), bounds.mean()) if n else (None, None)
+        return pd.DataFrame([(*[rows[k].iloc[0] for k in keys], n, *found)], columns=[*keys, "n_selected", "permit_rate", "mean_bound"])
+
+    return df.groupBy(*keys).applyInPandas(shuffle, f"{fields}n_selected long, permit_rate double, mean_bound double")
+
+
+def random_budget_gain(df: DataFrame, keys: Keys, budget: float, repeats: int = 200, seed: int = 0, item: str = "mol_id") -> DataFrame:
+    """called, mean and sd of the endpoint gain when budget percent of the items, rounded up, are called at random.
+
+    One group's items meet in one task; groups are a task's test items.
+    """
+    keys = list(keys)
+    fields = "".join(f"{k} {df.schema[k].dataType.simpleString()}, " for k in keys)
+
+    def draw(rows: pd.DataFrame) -> pd.DataFrame:
+        rows, rng = rows.sort_values(item), np.random.default_rng(seed)
+        y, a, b = (rows[c].to_numpy(float) for c in ("y", "pred2d", "pred3d"))
+        k, gains = min(len(y), math.ceil(len(y) * budget / 100)), []
+        for _ in range(repeats):
+            routed = a.copy()
+            at = rng.choice(len(y), k, replace=False) if k else np.zeros(0, int)
+            routed[at] = b[at]
+            gains.append(_gain(y, a, routed, rows["task_type"].iloc[0] == "classification"))
+        row = (*[rows[c].iloc[0] for c in keys], k, np.mean(gains), np.std(gains, ddof=1))
+        return pd.DataFrame([row], columns=[*keys, "called", "mean", "sd"])
+
+    return df.groupBy(*keys).applyInPandas(draw, f"{fields}called long, mean double, sd double")

@@ -108,7 +108,7 @@ def risk_benefit(states: DataFrame, keys: Keys, permission: str = "permission",
     positive, negative = F.greatest(g, F.lit(0.0)), F.greatest(-g, F.lit(0.0))
     return states.groupBy(*keys).agg(
         F.avg(on.cast("double")).alias("activation"),
-        F.avg((on & (g < 0)).cast("double")).alias("false_activation"),
+        F.avg((on & (g <= 0)).cast("double")).alias("false_activation"),
         F.avg((~on & (g > 0)).cast("double")).alias("false_rejection"),
         ratio(F.sum(F.when(on, positive).otherwise(0.0)), F.sum(positive)).alias("gain_retention"),
         ratio(F.sum(F.when(~on, negative).otherwise(0.0)), F.sum(negative)).alias("harm_avoidance"),

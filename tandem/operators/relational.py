@@ -27,6 +27,23 @@ def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[str], last: boo
     return best.select(*keys, *[F.col(f"_row._{c}").alias(c) for c in rest]).select(*df.columns)
 
 
+def first_known(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """One row for each key: of every column the first value in the order that is not NULL."""
+    rest = [c for c in df.columns if c not in keys]
+    first = lambda c: F.min(F.when(F.col(c).isNotNull(), F.struct(*order, F.col(c).alias("_v")))).getField("_v")
+    return df.groupBy(*keys).agg(*[first(c).alias(c) for c in rest])
+
+
+def mean_map(df: DataFrame, key: str, values: Sequence[str]) -> DataFrame:
+    """Repeated keys to one row with the mean of every value: a table to look keys up in."""
+    return df.groupBy(key).agg(*[F.avg(v).alias(v) for v in values])
+
+
+def head(df: DataFrame, n: int, order: Sequence[Column]) -> DataFrame:
+    """The first n rows in the order, which has to be total for a stable result."""
+    return df.orderBy(*order).limit(n)
+
+
 def arg_best(df: DataFrame, keys: Sequence[str], value: Column, order: Sequence[str]) -> DataFrame:
     """The row of the highest value in each group, the first in the order on ties; NULL values never win."""
     ranked = df.withColumn("_worst", -value).where(F.col("_worst").isNotNull())

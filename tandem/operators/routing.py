@@ -143,8 +143,9 @@ def auc_contributions(df: DataFrame, keys: Keys, item: str = "mol_id") -> DataFr
 def task_policies(states: DataFrame) -> DataFrame:
     """One row for each policy: permission from validation evidence only, and the gain on the test side.
 
-    states has validation_gain, relative_validation_gain, lcb, p_value and test_gain.
+    states has validation_gain, relative_validation_gain, lcb, paired_permission and test_gain.
     """
+    # fixed values of the protocol: names and cuts
     rules = {
         "Always-2D": F.lit(False),
         "Always-2D+3D": F.lit(True),
@@ -152,22 +153,25 @@ def task_policies(states: DataFrame) -> DataFrame:
         "ThresholdSelect-0.5pct": F.col("relative_validation_gain") > 0.005,
         "ThresholdSelect-1pct": F.col("relative_validation_gain") > 0.01,
         "TaskMetric-LCB": F.col("lcb") > 0,
-        "PairedTest-0.025": (F.col("p_value") < 0.025) & (F.col("validation_gain") > 0),
+        "PairedTest-0.025": F.col("paired_permission"),
     }
     rows = F.array(*[F.struct(F.lit(n).alias("policy"), F.coalesce(r, F.lit(False)).alias("permission")) for n, r in rules.items()])
     return states.select("*", F.inline(rows))
 
 
 def policy_outcomes(policies: DataFrame, gain: str = "test_gain") -> DataFrame:
-    """Adds what each decision was worth: policy_gain, decision_correct, negative_transfer, missed_gain, regret."""
+    """Adds what each decision was worth: policy_gain, decision_correct, whether it was a false activation or rejection, and
+    the amounts negative_transfer, missed_gain and regret."""
     on, g = F.col("permission"), F.col(gain)
     mine = F.when(on, g).otherwise(0.0)
     return policies.select(
         "*",
         mine.alias("policy_gain"),
         (on == (g > 0)).alias("decision_correct"),
-        (on & (g < 0)).alias("negative_transfer"),
-        (~on & (g > 0)).alias("missed_gain"),
+        (on & (g <= 0)).alias("false_activation"),
+        (~on & (g > 0)).alias("false_rejection"),
+        F.greatest(F.lit(0.0), -mine).alias("negative_transfer"),
+        F.when(~on & (g > 0), g).otherwise(0.0).alias("missed_gain"),
         (F.greatest(g, F.lit(0.0)) - mine).alias("regret"),
     )
 

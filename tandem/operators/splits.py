@@ -77,35 +77,52 @@ def greedy_parts(sizes: Sequence[int], parts: Mapping[str, float] = PARTS) -> li
     return out
 
 
-def balanced_parts(sizes: np.ndarray, positives: np.ndarray, parts: Mapping[str, float] = PARTS) -> list[str]:
-    """Each group goes where it adds least to: overfilling (1.5), fill, and missed shares of positives and negatives (0.75)."""
-    names = list(parts)
-    share = np.array([parts[p] for p in names])
-    targets = [share * sizes.sum(), share * positives.sum(), share * (sizes - positives).sum()]
-    have = [np.zeros(len(names)) for _ in range(3)]
-    out = []
-    for s, p in zip(sizes, positives, strict=True):
-        after = [h + v for h, v in zip(have, (s, p, s - p), strict=True)]
-        over, size, pos, neg = (np.maximum(after[0] - targets[0], 0) / max(1, targets[0].sum()), *(np.abs(a - t) / np.maximum(t, 1) for a, t in zip(after, targets, strict=True)))
+def _targets(n: float, parts: Mapping[str, float]) -> np.ndarray:
+    """Rounded shares of n, one at least; the last part has what is left."""
+    sizes = [round(share * n) for share in list(parts.values())[:-1]]
+    return np.maximum(1, [*sizes, n - sum(sizes)]).astype(float)
+
+
+def balanced_parts(sizes: np.ndarray, positives: np.ndarray, seed: int = 0, parts: Mapping[str, float] = PARTS) -> list[str]:
+    """Groups from the largest on (then by positives, then in seeded order), each to where it adds least.
+
+    What it adds is overfilling (1.5) and the gaps to the targets of size (1), positives and negatives (0.75 each), as
+    shares of the part's own targets. The weights are fixed values of the rule.
+    """
+    names, counts = list(parts), (sizes, positives, sizes - positives)
+    targets = [_targets(c.sum(), parts) for c in counts]
+    have, out = [np.zeros(len(names)) for _ in range(3)], [""] * len(sizes)
+    order = list(range(len(sizes)))
+    np.random.default_rng(seed).shuffle(order)
+    for g in sorted(order, key=lambda g: (-sizes[g], -positives[g])):
+        after = [h + c[g] for h, c in zip(have, counts, strict=True)]
+        over = np.maximum(after[0] - targets[0], 0) / targets[0]
+        size, pos, neg = (np.abs(a - t) / t for a, t in zip(after, targets, strict=True))
         at = int(np.argmin(1.5 * over + size + 0.75 * pos + 0.75 * neg))
-        for h, v in zip(have, (s, p, s - p), strict=True):
-            h[at] += v
-        out.append(names[at])
+        for h, c in zip(have, counts, strict=True):
+            h[at] += c[g]
+        out[g] = names[at]
     return out
 
 
 def stratified_parts(table: np.ndarray, seed: int, parts: Mapping[str, float] = PARTS) -> list[str]:
-    """Rows are groups, columns strata: large groups first, where size and strata have room; noise below 1e-9 breaks ties."""
-    rng, names = np.random.default_rng(seed), list(parts)
-    share = np.array([parts[p] for p in names])
-    goal = share[:, None] * table.sum(0)
+    """Rows are groups, columns strata. Groups in seeded order go where size and strata are filled least.
+
+    Overfilling counts a hundredfold, strata 0.35; noise below 1e-9 breaks ties. The weights are fixed values of the rule.
+    """
+    rng, names, n = np.random.default_rng(seed), list(parts), table.sum()
+    target = np.maximum(1, [round(share * n) for share in list(parts.values())[:-1]])
+    target = np.append(target, max(1, n - target.sum())).astype(float)
+    goal = table.sum(0) * (target[:, None] / n)
     have, out = np.zeros_like(goal), [""] * len(table)
-    for g in np.lexsort((rng.random(len(table)), -table.sum(1))):
+    order = list(range(len(table)))
+    rng.shuffle(order)
+    for g in order:
         after = have + table[g]
-        size, target = after.sum(1), np.maximum(goal.sum(1), 1)
-        gap = (np.abs(after - goal) / np.maximum(goal, 1)).mean(1)
-        cost = size / target + 0.35 * gap + 100 * np.maximum(size - target, 0) / target + rng.uniform(0, 1e-9, len(names))
-        at = int(np.argmin(cost))
+        fill = after.sum(1) / target
+        label = (after / np.maximum(goal, 1)).mean(1)
+        noise = np.array([rng.uniform(0, 1e-9) for _ in names])
+        at = int(np.argmin(fill + 0.35 * label + 100 * np.maximum(fill - 1, 0) + noise))
         have[at] += table[g]
         out[g] = names[at]
     return out
@@ -114,7 +131,7 @@ def stratified_parts(table: np.ndarray, seed: int, parts: Mapping[str, float] =
 def group_split(df: DataFrame, keys: Keys, group: str, mode: str = "greedy", seed: int = 0, positive: Column | None = None, strata: str | None = None) -> DataFrame:
     """`split` with no group in two parts. Only sizes of groups meet in a task; rows get their part by a join.
 
-    greedy: largest first; balanced: also by share of positives; stratified: also by strata, with the seed.
+    greedy: largest first; balanced: largest first, also by share of positives; stratified: in seeded order, also by strata.
     """
     keys = list(keys)
     summary = group_summary(df, keys, group, positive if mode == "balanced" else None, strata if mode == "stratified" else None)
@@ -122,11 +139,12 @@ def group_split(df: DataFrame, keys: Keys, group: str, mode: str = "greedy", see
     fields = ", ".join(f"{k} {kind(k)}" for k in [*keys, group])
 
     def deal(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["size", group], ascending=[False, True], kind="stable").reset_index(drop=True)
+        order, rise = (["size", group], [False, True]) if mode == "greedy" else ([group], [True])
+        rows = rows.sort_values(order, ascending=rise, kind="stable").reset_index(drop=True)
         if mode == "greedy":
             parts = greedy_parts(rows["size"].tolist())
         elif mode == "balanced":
-            parts = balanced_parts(rows["size"].to_numpy(float), rows["positives"].to_numpy(float))
+            parts = balanced_parts(rows["size"].to_numpy(float), rows["positives"].to_numpy(float), seed)
         else:
             names = sorted({k for m in rows["by_stratum"] for k in m})
             parts = stratified_parts(np.array([[m.get(k, 0) for k in names] for m in rows["by_stratum"]], float), seed)

@@ -93,12 +93,18 @@ def diagnostics(gain: str, keys: str) -> str:
 # --- routing
 add("big_by_router", f"SELECT task, task_type, seed::BIGINT AS seed, router, {r('area')} AS area, {r('p0')} AS p0 FROM gains", *G)
 add("routing_curve", f"SELECT task, task_type, seed::BIGINT AS seed, router, budget::BIGINT AS budget, {r('call_rate')} AS call_rate, {r('value')} AS value, metric FROM curves", *C)
+BUDGETS = (0, 5, 10, 20, 40, 60, 80, 100)
+
+
+def each_budget(source: str, score: str) -> str:
+    return " UNION ALL ".join(f"SELECT *, {b} AS budget FROM {top(source, score, str(b))}" for b in BUDGETS)
+
+
 add(
     "gated_curve",
     f"""SELECT task, seed::BIGINT AS seed, budget::BIGINT AS budget, {r('avg(abs(y - CASE WHEN sel AND score >= threshold THEN pred3d ELSE pred2d END))')} AS mae,
   {r('avg(cast(sel AND score >= threshold AS DOUBLE))')} AS call_rate, {r('any_value(threshold)')} AS threshold
-FROM (SELECT task, seed, y, pred2d, pred3d, score, 20 AS budget, sel FROM {top("reg", "score", "20")} UNION ALL
-  SELECT task, seed, y, pred2d, pred3d, score, 60, sel FROM {top("reg", "score", "60")}) JOIN gate USING (task, seed) GROUP BY task, seed, budget""",
+FROM ({each_budget("reg", "score")}) JOIN gate USING (task, seed) GROUP BY task, seed, budget""",
     PAIRED, "reg AS (SELECT * FROM paired WHERE split = 'test' AND task_type = 'regression')",
     "gate AS (SELECT task, seed, quantile_cont(score, 0.5) AS threshold FROM paired WHERE split = 'train' AND task_type = 'regression' GROUP BY ALL)",
 )
@@ -275,7 +281,7 @@ add(
 )
 add("rank_routers", f"SELECT task, router, {r('area')} AS area, rank() OVER (PARTITION BY task ORDER BY area DESC) AS rank FROM (SELECT task, router, round(avg(area), 10) AS area FROM gains GROUP BY ALL)", *G)
 BOOT = f"""slots AS (SELECT task, seed, utility, row_number() OVER (PARTITION BY task, seed ORDER BY mol_id) - 1 AS slot, count(*) OVER (PARTITION BY task, seed) AS n FROM uv),
-draws AS (SELECT task, seed, n, turn, {hashed('slot', 'turn', 0, 'n')} AS pick FROM slots, (SELECT unnest(range(0, 50)) AS turn)),
+draws AS (SELECT task, seed, n, turn, {hashed('slot', 'turn', 0, 'n')} AS pick FROM slots, (SELECT unnest(range(0, 200)) AS turn)),
 means AS (SELECT d.task, d.seed, d.turn, avg(s.utility) AS m FROM draws d JOIN slots s ON d.task = s.task AND d.seed = s.seed AND d.pick = s.slot GROUP BY ALL),
 bounds AS (
   SELECT task, seed, n, mean, CASE WHEN n >= 8 THEN lcb END AS lcb FROM (SELECT task, seed, quantile_cont(m, 0.025) AS lcb FROM means GROUP BY ALL)
@@ -285,7 +291,7 @@ B = (PAIRED, UTIL, UV, BOOT)
 add("safe_decision_pivot", "SELECT task, count(*) FILTER (lcb > 0) AS call, count(*) FILTER (lcb IS NULL OR lcb <= 0) AS abstain FROM bounds GROUP BY task", *B)
 add(
     "risk_coverage",
-    f"SELECT seed::BIGINT AS seed, budget::BIGINT AS budget, {diagnostics('utility', 'task')} FROM (SELECT *, 0 AS budget FROM {top('ut', 'score', '0')} UNION ALL SELECT *, 20 FROM {top('ut', 'score', '20')}) GROUP BY task, seed, budget",
+    f"SELECT seed::BIGINT AS seed, budget::BIGINT AS budget, {diagnostics('utility', 'task')} FROM ({each_budget('ut', 'score')}) GROUP BY task, seed, budget",
     PAIRED, UTIL, UT,
 )
 add(
@@ -295,9 +301,31 @@ FROM (SELECT task, sel, unnest(['y', 'pred2d', 'cost']) AS feature, unnest([y, p
     PAIRED, TEST,
 )
 # --- policies and inference
-POLICIES = f"""val AS (SELECT task, seed, avg(utility) AS vg, avg({loss('pred2d')}) AS vb FROM u WHERE split = 'val' GROUP BY ALL),
-tst AS (SELECT task, seed, avg(utility) AS g FROM u WHERE split = 'test' GROUP BY ALL),
-st AS (SELECT task, seed, vg, vg / nullif(vb, 0) AS rel, g, lcb FROM val JOIN tst USING (task, seed) JOIN bounds USING (task, seed)),
+def placed(p: str) -> str:
+    return f"""SELECT a.task, a.seed, a.mol_id, a.y, avg(CASE WHEN a.y = 1 THEN (sign(a.{p} - b.{p}) + 1) / cast(2 AS DOUBLE) ELSE (sign(b.{p} - a.{p}) + 1) / cast(2 AS DOUBLE) END) AS x
+FROM vc a JOIN vc b ON a.task = b.task AND a.seed = b.seed AND a.y <> b.y GROUP BY ALL"""
+
+
+def sides(split: str, cls: str) -> str:
+    """task, seed, the reference's metric and the endpoint gain."""
+    return f"""SELECT a.task, a.seed, a.AUROC AS ref, b.AUROC - a.AUROC AS gain FROM ({auc(cls, 'task, seed', 'y', 'pred2d')}) a JOIN ({auc(cls, 'task, seed', 'y', 'pred3d')}) b USING (task, seed)
+  UNION ALL SELECT task, seed, avg(abs(y - pred2d)), avg(abs(y - pred2d)) - avg(abs(y - pred3d)) FROM paired WHERE split = '{split}' AND task_type = 'regression' GROUP BY task, seed"""
+
+
+VC = "vc AS (SELECT * FROM paired WHERE split = 'val' AND task_type = 'classification'), tc AS (SELECT * FROM paired WHERE split = 'test' AND task_type = 'classification')"
+DELONG = f"""delong AS (SELECT task, seed, avg(m) AS gain, CASE WHEN count(v) = 2 THEN sum(v / n) END AS variance FROM (
+  SELECT task, seed, y, avg(a.x - b.x) AS m, var_samp(a.x - b.x) AS v, count(*) AS n FROM ({placed('pred3d')}) a JOIN ({placed('pred2d')}) b USING (task, seed, mol_id, y) GROUP BY ALL) GROUP BY task, seed)"""
+#: The one-sided 2.5 percent point of Student's distribution by its expansion about the normal one's.
+POINT = "(1.959963984540054::DOUBLE + 2.372271230 / f + 2.8224986 / f ** 2 + 2.5558497 / f ** 3 + 1.5895341 / f ** 4)"
+TESTS = f"""{VC}, {DELONG}, tests AS (
+  SELECT task, seed, gain, coalesce(CASE WHEN variance <= 0 THEN gain > 0 ELSE gain > 0 AND gain / sqrt(variance) > 1.959963984540054 END, FALSE) AS ok FROM delong
+  UNION ALL SELECT task, seed, gain, coalesce(CASE WHEN se <= 0 THEN gain > 0 ELSE gain > 0 AND gain / se > {POINT} END, FALSE) FROM (
+    SELECT task, seed, avg(d) AS gain, stddev_samp(d) / sqrt(count(*)) AS se, count(*) - 1 AS f FROM (
+      SELECT task, seed, abs(y - pred2d) - abs(y - pred3d) AS d FROM paired WHERE split = 'val' AND task_type = 'regression') GROUP BY ALL)
+)"""
+POLICIES = f"""{TESTS}, val AS ({sides('val', 'vc')}), tst AS ({sides('test', 'tc')}),
+st AS (SELECT val.task, val.seed, val.gain AS vg, val.gain / nullif(abs(val.ref), 0) AS rel, tst.gain AS g, lcb, ok
+  FROM val JOIN tst USING (task, seed) JOIN bounds USING (task, seed) JOIN tests USING (task, seed)),
 pol AS (
   SELECT task, seed, g, 'Always-2D' AS policy, FALSE AS p FROM st
   UNION ALL SELECT task, seed, g, 'Always-2D+3D', TRUE FROM st
@@ -305,19 +333,19 @@ pol AS (
   UNION ALL SELECT task, seed, g, 'ThresholdSelect-0.5pct', coalesce(rel > 0.005, FALSE) FROM st
   UNION ALL SELECT task, seed, g, 'ThresholdSelect-1pct', coalesce(rel > 0.01, FALSE) FROM st
   UNION ALL SELECT task, seed, g, 'TaskMetric-LCB', coalesce(lcb > 0, FALSE) FROM st
-  UNION ALL SELECT task, seed, g, 'PairedTest-0.025', coalesce(lcb > 0 AND vg > 0, FALSE) FROM st
+  UNION ALL SELECT task, seed, g, 'PairedTest-0.025', ok FROM st
 ),
 outc AS (SELECT *, CASE WHEN p THEN g ELSE 0 END AS pg FROM pol)"""
 P = (*B, POLICIES)
 add(
     "policy_states",
-    f"""SELECT task, seed::BIGINT AS seed, policy, p AS permission, {r('g')} AS test_gain, {r('pg')} AS policy_gain, p = (g > 0) AS decision_correct, p AND g < 0 AS negative_transfer,
-  NOT p AND g > 0 AS missed_gain, {r('greatest(g, 0) - pg')} AS regret FROM outc""",
+    f"""SELECT task, seed::BIGINT AS seed, policy, p AS permission, {r('g')} AS test_gain, {r('pg')} AS policy_gain, p = (g > 0) AS decision_correct, p AND g <= 0 AS false_activation,
+  NOT p AND g > 0 AS false_rejection, {r('greatest(0, -pg)')} AS negative_transfer, {r('CASE WHEN NOT p AND g > 0 THEN g ELSE 0 END')} AS missed_gain, {r('greatest(g, 0) - pg')} AS regret FROM outc""",
     *P,
 )
 add(
     "risk_benefit",
-    f"""SELECT policy, {r('avg(p::DOUBLE)')} AS activation, {r('avg((p AND g < 0)::DOUBLE)')} AS false_activation, {r('avg((NOT p AND g > 0)::DOUBLE)')} AS false_rejection,
+    f"""SELECT policy, {r('avg(p::DOUBLE)')} AS activation, {r('avg((p AND g <= 0)::DOUBLE)')} AS false_activation, {r('avg((NOT p AND g > 0)::DOUBLE)')} AS false_rejection,
   {r('coalesce(sum(greatest(g, 0)) FILTER (p), 0) / nullif(sum(greatest(g, 0)), 0)')} AS gain_retention,
   {r('coalesce(sum(greatest(-g, 0)) FILTER (NOT p), 0) / nullif(sum(greatest(-g, 0)), 0)')} AS harm_avoidance FROM pol GROUP BY policy""",
     *P,
@@ -336,21 +364,17 @@ FROM (SELECT seed, policy, avg(pg) AS gain FROM outc GROUP BY ALL) a JOIN (SELEC
 )
 
 
-def placed(p: str) -> str:
-    return f"""SELECT a.task, a.seed, a.mol_id, a.y, avg(CASE WHEN a.y = 1 THEN (sign(a.{p} - b.{p}) + 1) / cast(2 AS DOUBLE) ELSE (sign(b.{p} - a.{p}) + 1) / cast(2 AS DOUBLE) END) AS x
-FROM c a JOIN c b ON a.task = b.task AND a.seed = b.seed AND a.y <> b.y GROUP BY ALL"""
-
-
 add(
     "delong_stat",
-    f"""SELECT task, seed::BIGINT AS seed, {r('avg(m)')} AS gain, {r('sum(v / n)')} AS variance, {r('avg(m) / sqrt(sum(v / n))')} AS z FROM (
-  SELECT task, seed, y, avg(a.x - b.x) AS m, var_samp(a.x - b.x) AS v, count(*) AS n FROM ({placed('pred3d')}) a JOIN ({placed('pred2d')}) b USING (task, seed, mol_id, y) GROUP BY ALL) GROUP BY task, seed""",
-    PAIRED, "c AS (SELECT * FROM paired WHERE split = 'val' AND task_type = 'classification')",
+    f"SELECT task, seed::BIGINT AS seed, {r('gain')} AS gain, {r('variance')} AS variance, {r('gain / sqrt(variance)')} AS z, ok AS permission FROM delong JOIN tests USING (task, seed, gain)",
+    PAIRED, TESTS,
 )
 add(
     "paired_t_stat",
-    f"SELECT task, seed::BIGINT AS seed, count(*) AS n, {r('avg(d)')} AS gain, {r('avg(d) / (stddev_samp(d) / sqrt(count(*)))')} AS t FROM (SELECT *, abs(y - pred2d) - abs(y - pred3d) AS d FROM v WHERE task_type = 'regression') GROUP BY task, seed",
-    PAIRED, VAL,
+    f"""SELECT task, seed::BIGINT AS seed, n, {r('a.gain')} AS gain, {r('t')} AS t, ok AS permission FROM (
+  SELECT task, seed, count(*) AS n, avg(d) AS gain, avg(d) / (stddev_samp(d) / sqrt(count(*))) AS t FROM (SELECT *, abs(y - pred2d) - abs(y - pred3d) AS d FROM v WHERE task_type = 'regression') GROUP BY task, seed) a
+JOIN tests USING (task, seed)""",
+    PAIRED, VAL, TESTS,
 )
 add(
     "holm_bh",
@@ -362,12 +386,145 @@ FROM (SELECT *, count(*) OVER (PARTITION BY s_nationkey) AS m, row_number() OVER
 add("hashed_bootstrap_lcb", f"SELECT task, seed::BIGINT AS seed, n, {r('mean')} AS mean, {r('lcb')} AS lcb FROM bounds", *B)
 add(
     "hashed_sign_perm",
-    f"""SELECT task, seed::BIGINT AS seed, any_value(n) AS n, {r('any_value(mean)')} AS mean, {r('greatest(avg((round(m, 12) >= round(mean, 12))::DOUBLE), 1 / 40::DOUBLE)')} AS p FROM (
+    f"""SELECT task, seed::BIGINT AS seed, any_value(n) AS n, {r('any_value(mean)')} AS mean,
+  {r('greatest(avg((CASE WHEN round(mean, 12) >= 0 THEN round(m, 12) >= round(mean, 12) ELSE round(m, 12) <= round(mean, 12) END)::DOUBLE), 1 / 500::DOUBLE)')} AS p,
+  {r('greatest(avg((abs(round(m, 12)) >= abs(round(mean, 12)))::DOUBLE), 1 / 500::DOUBLE)')} AS p_two FROM (
   SELECT task, seed, turn, avg(CASE WHEN coin = 1 THEN utility ELSE -utility END) AS m, avg(utility) AS mean, count(*) AS n FROM (
-    SELECT *, {hashed('place', 'turn', 0, '2')} AS coin FROM (SELECT *, row_number() OVER (PARTITION BY task, seed ORDER BY mol_id) AS place FROM uv), (SELECT unnest(range(0, 40)) AS turn)) GROUP BY ALL
+    SELECT *, {hashed('place', 'turn', 0, '2')} AS coin FROM (SELECT *, row_number() OVER (PARTITION BY task, seed ORDER BY mol_id) AS place FROM uv), (SELECT unnest(range(0, 500)) AS turn)) GROUP BY ALL
 ) GROUP BY task, seed""",
     PAIRED, UTIL, UV,
 )
+add(
+    "paired_test_decisions",
+    "SELECT task, count(*) FILTER (ok) AS permitted, round(avg((ok = coalesce(lcb > 0, FALSE))::DOUBLE), 8) AS agreement, count(*) AS n FROM tests JOIN bounds USING (task, seed) GROUP BY task",
+    *B, TESTS,
+)
+
+
+def booted(source: str, keys: str, value: str, item: str, quantiles: str) -> str:
+    """keys, n, mean and the quantiles of means over 200 hashed resamples of the source."""
+    same = " AND ".join(f"d.{k.strip()} = s.{k.strip()}" for k in keys.split(","))
+    mine = ", ".join(f"d.{k.strip()}" for k in keys.split(","))
+    slots = f"SELECT {keys}, {value} AS v, row_number() OVER (PARTITION BY {keys} ORDER BY {item}) - 1 AS slot, count(*) OVER (PARTITION BY {keys}) AS n FROM {source}"
+    return f"""SELECT * FROM (SELECT {keys}, {quantiles} FROM (
+    SELECT {mine}, d.turn, avg(s.v) AS m FROM (SELECT {keys}, turn, {hashed('slot', 'turn', 0, 'n')} AS pick FROM ({slots}), (SELECT unnest(range(0, 200)) AS turn)) d
+    JOIN ({slots}) s ON {same} AND d.pick = s.slot GROUP BY ALL) GROUP BY {keys}) JOIN (SELECT {keys}, count(*) AS n, avg({value}) AS mean FROM {source} GROUP BY {keys}) USING ({keys})"""
+
+
+CHOSEN = f"chosen AS (SELECT * FROM {top('ut', 'score', '20')} WHERE sel)"
+add(
+    "lcb_alpha_sweep",
+    f"""SELECT task, seed::BIGINT AS seed, n, {r('mean')} AS mean, alpha::DOUBLE AS alpha, {r('lcb')} AS lcb, lcb > 0 AS permit, lcb > 0 AND mean <= 0 AS false_safe FROM (
+  SELECT task, seed, n, mean, unnest([0.01, 0.025, 0.05, 0.1]) AS alpha, unnest(q) AS lcb FROM ({booted('chosen', 'task, seed', 'utility', 'mol_id', 'quantile_cont(m, [0.01, 0.025, 0.05, 0.1]) AS q')}))""",
+    PAIRED, UTIL, UT, CHOSEN,
+)
+add(
+    "utility_lcb_permission",
+    f"""SELECT task, seed::BIGINT AS seed, n, {r('mean')} AS mean, {r('CASE WHEN n >= 8 THEN lcb END')} AS lcb, CASE WHEN n >= 8 AND lcb > 0 AND mean > 0 THEN 'call' ELSE 'abstain' END AS decision
+FROM ({booted('chosen', 'task, seed', 'utility', 'mol_id', 'quantile_cont(m, 0.025) AS lcb')})""",
+    PAIRED, UTIL, UV, f"chosen AS (SELECT * FROM {top('uv', 'score', '20')} WHERE sel)",
+)
+add(
+    "paired_delta_ci",
+    f"""SELECT contrast, n, {r('mean')} AS mean, {r('CASE WHEN n >= 8 THEN q[1] END')} AS low, {r('CASE WHEN n >= 8 THEN q[2] END')} AS high
+FROM ({booted('pairs', 'contrast', 'delta', 'pair', 'quantile_cont(m, [0.025, 0.975]) AS q')})""",
+    *G, WIDE, "pairs AS (SELECT 'score-uncertain' AS contrast, score - uncertain AS delta, ascii(substr(task, 3, 1)) * 10 + seed AS pair FROM wide)",
+)
+add(
+    "oof_fold_scores",
+    f"""SELECT task, seed::BIGINT AS seed, count(*) AS n, {r('sum(coalesce(s, fill))')} AS total, {r('min(coalesce(s, fill))')} AS least FROM (
+  SELECT *, median(s) OVER w AS fill, count(s) OVER w AS known, count(*) OVER w AS rows FROM (
+    SELECT task, seed, CASE WHEN count(*) OVER (PARTITION BY task, seed) - count(*) OVER (PARTITION BY task, seed, fold_id) >= 16 AND (fold_id <> 2 OR mol_id % 4 = 0) THEN score END AS s FROM tr)
+  WINDOW w AS (PARTITION BY task, seed)) WHERE known >= greatest(16, floor(rows / 2)) AND known >= 0.8::DOUBLE * rows GROUP BY task, seed""",
+    PAIRED, "tr AS (SELECT * FROM paired WHERE split = 'train')",
+)
+CANDIDATES = """cand AS (SELECT task, task_type, seed, mol_id, y, pred2d, pred3d, utility, unnest([0, 1, 2]) AS place, unnest(['score', 'cheap', 'shift']) AS candidate, unnest([score, -cost, abs(pred3d - pred2d)]) AS s FROM uv),
+gat AS (SELECT *, unnest([0, 1]) AS gate FROM (SELECT *, median(s) OVER (PARTITION BY task, seed, place) AS half, row_number() OVER (PARTITION BY task, seed, place ORDER BY s DESC, mol_id) AS k, count(*) OVER (PARTITION BY task, seed, place) AS n FROM cand)),
+gr AS (SELECT *, CASE WHEN k <= round_even(n * budget / cast(100 AS DOUBLE), 0) AND (gate = 0 OR s >= half) THEN pred3d ELSE pred2d END AS p FROM gat, (SELECT unnest([0, 5, 10, 20, 40, 60, 80, 100]) AS budget)),
+ga AS (""" + auc("(SELECT * FROM gr WHERE task_type = 'classification')", "task, seed, place, gate, budget", "y", "p") + """),
+perf AS (SELECT task, seed, place, gate, budget, CASE WHEN any_value(task_type) = 'classification' THEN any_value(AUROC) ELSE -avg(abs(y - p)) END AS v FROM gr LEFT JOIN ga USING (task, seed, place, gate, budget) GROUP BY task, seed, place, gate, budget),
+big AS (SELECT task, seed, place, gate, round(coalesce(sum((budget - lb) / cast(100 AS DOUBLE) * (d + ld) / 2), 0), 10) AS big FROM (
+  SELECT *, lag(budget) OVER w AS lb, lag(d) OVER w AS ld FROM (SELECT *, v - first_value(v) OVER (PARTITION BY task, seed, place, gate ORDER BY budget) AS d FROM perf) WINDOW w AS (PARTITION BY task, seed, place, gate ORDER BY budget)) GROUP BY ALL)"""
+
+
+def ndcg_of(source: str, keys: str, score: str) -> str:
+    return f"""SELECT {keys}, sum(CASE WHEN rn <= k THEN ar / log2(rn + 1) ELSE 0 END) / nullif(sum(CASE WHEN ri <= k THEN rel / log2(ri + 1) ELSE 0 END), 0) AS ndcg
+FROM (SELECT *, avg(rel) OVER (PARTITION BY {keys}, s_) AS ar, row_number() OVER (PARTITION BY {keys} ORDER BY s_ DESC) AS rn, row_number() OVER (PARTITION BY {keys} ORDER BY rel DESC) AS ri,
+    greatest(1, round_even(count(*) OVER (PARTITION BY {keys}) * 20 / cast(100 AS DOUBLE), 0)) AS k
+  FROM (SELECT {keys}, greatest(utility, 0) AS rel, {score} AS s_ FROM {source})) GROUP BY {keys}"""
+
+
+add(
+    "oof_router_selection",
+    f"""SELECT task, seed::BIGINT AS seed, candidate, gate::BIGINT AS gate, {r('big')} AS big, {r('ndcg')} AS ndcg FROM (
+  SELECT *, row_number() OVER (PARTITION BY task, seed ORDER BY big DESC NULLS LAST, ndcg DESC NULLS LAST, place, gate) AS rk FROM big
+  JOIN (SELECT task, seed, place, candidate, round(ndcg, 10) AS ndcg FROM ({ndcg_of('cand', 'task, seed, place, candidate', 's')})) USING (task, seed, place)) WHERE rk = 1""",
+    PAIRED, UTIL, UV, CANDIDATES,
+)
+add(
+    "risk_weight_grid",
+    f"""SELECT task, seed::BIGINT AS seed, weight, {r('ndcg')} AS ndcg FROM (
+  SELECT *, row_number() OVER (PARTITION BY task, seed ORDER BY round(ndcg, 10) DESC, weight) AS rk FROM ({ndcg_of('zz', 'task, seed, weight', 'c')}) WHERE ndcg IS NOT NULL) WHERE rk = 1""",
+    PAIRED, UTIL, UV,
+    """zz AS (SELECT task, seed, utility, weight::DOUBLE AS weight, (score - ms) / ds - weight::DOUBLE * ((cost - mc) / dc) AS c FROM (
+  SELECT *, avg(score) OVER w AS ms, stddev_pop(score) OVER w AS ds, avg(cost) OVER w AS mc, stddev_pop(cost) OVER w AS dc FROM uv WINDOW w AS (PARTITION BY task, seed)), (SELECT unnest([0, 0.25, 0.5, 0.75, 1, 1.5]) AS weight))""",
+)
+PARTS = """un AS (SELECT * FROM u WHERE split = 'train'), fl AS (SELECT task, seed, list_sort(list(DISTINCT fold_id)) AS f FROM un GROUP BY ALL),
+ca AS (SELECT un.*, fold_id = CASE WHEN len(f) >= 3 THEN f[seed % len(f) + 1] ELSE f[len(f)] END AS c FROM un JOIN fl USING (task, seed)),
+parts AS (SELECT *, CASE WHEN n - k < 32 OR k < 8 THEN (place - 1) % 5 = 0 ELSE c END AS cal FROM (
+  SELECT *, count(*) OVER (PARTITION BY task, seed) AS n, count(*) FILTER (c) OVER (PARTITION BY task, seed) AS k, row_number() OVER (PARTITION BY task, seed ORDER BY mol_id) AS place FROM ca))"""
+add(
+    "nested_calibration",
+    f"""SELECT task, seed::BIGINT AS seed, count(*) AS n, count(*) FILTER (sel AND score >= threshold) AS called, {r('avg(utility) FILTER (sel AND score >= threshold)')} AS mean, {r('any_value(threshold)')} AS threshold
+FROM {top('cal', 'score', '60')} JOIN (SELECT task, seed, quantile_cont(score, 0.5) AS threshold FROM parts WHERE NOT cal GROUP BY ALL) USING (task, seed) GROUP BY task, seed""",
+    PAIRED, UTIL, PARTS, "cal AS (SELECT task, seed, mol_id, score, utility FROM parts WHERE cal)",
+)
+add(
+    "guardrail_route",
+    f"""SELECT task, seed::BIGINT AS seed, count(*) FILTER (sel AND c AND score >= 0.3::DOUBLE) AS called, {r('coalesce(sum(utility) FILTER (sel AND c AND score >= 0.3::DOUBLE), 0)')} AS gain
+FROM {top('ut', 'score', '20')} JOIN (SELECT task, seed, coalesce(n >= 8 AND lcb > 0 AND mean > 0, FALSE) AS c FROM bounds) USING (task, seed) GROUP BY task, seed""",
+    *B, UT,
+)
+add(
+    "gate1_policies",
+    f"""SELECT task, seed::BIGINT AS seed, policy, {r('avg(CASE WHEN on_ THEN utility ELSE 0 END)')} AS gain, {r('avg(on_::DOUBLE)')} AS call_rate FROM (
+  SELECT task, seed, utility, unnest(['reference', 'alternative', 'TaskSelect', 'TaskLCB', 'SimpleUtility', 'HoldoutLCB', 'Oracle@20']) AS policy,
+    unnest([FALSE, TRUE, coalesce(mean > 0, FALSE), coalesce(lcb > 0, FALSE), sel AND score > 0.5, sel AND coalesce(lcb > 0, FALSE), best AND utility > 0]) AS on_
+  FROM {top('ut', 'score', '20')} JOIN (SELECT task, seed, mol_id, sel AS best FROM {top('ut', 'utility', '20')}) USING (task, seed, mol_id) JOIN (SELECT task, seed, mean, lcb FROM bounds) USING (task, seed)) GROUP BY task, seed, policy""",
+    *B, UT,
+)
+add(
+    "baseline_aware_candidate",
+    f"""SELECT task, metric, {r('CASE WHEN use THEN bv ELSE value END')} AS selected, CASE WHEN use THEN method ELSE 'routed' END AS source, {r('CASE WHEN use THEN 0 ELSE call_rate END')} AS call_rate,
+  CASE WHEN use THEN 'abstain' ELSE 'keep' END AS action FROM (
+  SELECT f.*, b.bv, b.method, CASE WHEN metric = 'AUROC' THEN bv > value ELSE bv < value END AS use FROM (
+    SELECT task, metric, avg(value) AS value, avg(call_rate) AS call_rate FROM curves WHERE router = 'score' AND budget = 20 GROUP BY ALL) f JOIN (
+    SELECT task, method, bv, row_number() OVER (PARTITION BY task ORDER BY round(CASE WHEN m = 'AUROC' THEN bv ELSE -bv END, 10) DESC, method) AS rk FROM (
+      SELECT task, any_value(metric) AS m, CASE budget WHEN 0 THEN 'cheap' ELSE 'costly' END AS method, avg(value) AS bv FROM curves WHERE router = 'score' AND budget IN (0, 100) GROUP BY task, budget
+      HAVING count(DISTINCT seed) >= 5)) b ON f.task = b.task AND rk = 1)""",
+    *C,
+)
+add(
+    "budget_rounding_audit",
+    f"""SELECT task, seed::BIGINT AS seed, n, budget::BIGINT AS budget, called::BIGINT AS called, rounded_up, {r('called / n')} AS call_rate, {r('called / n - budget / cast(100 AS DOUBLE)')} AS excess FROM (
+  SELECT *, round_even(n * budget / cast(100 AS DOUBLE), 0) AS called, cast(ceil(n * budget / cast(100 AS DOUBLE)) AS BIGINT) AS rounded_up
+  FROM (SELECT task, seed, count(*) AS n FROM t GROUP BY ALL), (SELECT unnest([0, 5, 10, 20, 40, 60, 80, 100]) AS budget))""",
+    PAIRED, TEST,
+)
+add(
+    "feature_spearman",
+    f"""SELECT task, feature, {r('corr(a, b)')} AS spearman FROM (
+  SELECT task, feature, rank() OVER (PARTITION BY task, feature ORDER BY value) + (count(*) OVER (PARTITION BY task, feature, value) - 1) / cast(2 AS DOUBLE) AS a,
+    rank() OVER (PARTITION BY task, feature ORDER BY utility) + (count(*) OVER (PARTITION BY task, feature, utility) - 1) / cast(2 AS DOUBLE) AS b
+  FROM (SELECT task, utility, unnest(['y', 'pred2d', 'cost', 'score']) AS feature, unnest([y, pred2d, cost, score]) AS value FROM ut)) GROUP BY task, feature""",
+    PAIRED, UTIL, UT,
+)
+add(
+    "conformer_control",
+    f"""SELECT task, count(*) AS n, {r('avg(rotatable / cast(10 AS DOUBLE))')} AS difference, {r('avg((energy_min - (energy_min - rotatable / cast(10 AS DOUBLE)) > 0)::DOUBLE)')} AS gained
+FROM manifest WHERE energy_min IS NOT NULL AND success AND rotatable < 9 GROUP BY task""",
+    MANIFEST,
+)
 # --- splits
 KEY = "('0x' || substr(md5('{s}:' || mol_id), 1, 8))::BIGINT"
 ONE = "s0 AS (SELECT * FROM paired WHERE seed = 0)"
@@ -405,6 +562,11 @@ add(
   {r('avg(y)')} AS y_mean, {r('stddev_samp(y)')} AS y_std, {r('min(y)')} AS y_min, {r('max(y)')} AS y_max FROM s0 GROUP BY task, task_type""",
     PAIRED, ONE,
 )
+add(
+    "subsample_exact",
+    f"SELECT task, count(*) AS n, cast(sum(mol_id) AS BIGINT) AS ids FROM (SELECT task, mol_id, row_number() OVER (PARTITION BY task ORDER BY {KEY.format(s=9)}, mol_id) AS k FROM s0) WHERE k <= 40 GROUP BY task",
+    PAIRED, ONE,
+)
 # --- wrangling
 add(
     "clean_dedup",
@@ -490,3 +652,16 @@ add(
     "stream_resource_window",
     f"""SELECT epoch(date_trunc('day', ts))::BIGINT AS start, event_type, count(*) AS samples, {r('max(value)')} AS peak FROM events GROUP BY ALL""",
 )
+add(
+    "first_known_values",
+    f"""SELECT o_custkey, {r("arg_min(o_totalprice, o_orderkey) FILTER (o_orderkey % 3 = 0)")} AS price, arg_min(o_orderstatus, o_orderkey) FILTER (o_orderkey % 2 = 0) AS status FROM orders GROUP BY o_custkey""",
+)
+add("duplicate_key_means", f"SELECT p_brand, count(*) AS n, {r('avg(p_size)')} AS size, {r('avg(p_retailprice)')} AS price FROM part GROUP BY p_brand")
+add("head_rows", f"SELECT task, seed::BIGINT AS seed, mol_id, {r('score')} AS score FROM t ORDER BY t.score DESC, mol_id, t.seed LIMIT 12", PAIRED, TEST)
+add(
+    "prefix_and_json",
+    """SELECT lower(c_mktsegment) AS name, CASE WHEN c_mktsegment LIKE 'B%' THEN 'b-' || substr(c_mktsegment, 2) ELSE c_mktsegment END AS other,
+  '{"' || lower(c_mktsegment) || '":' || count(*) || ',"all":1}' AS weights FROM customer GROUP BY c_mktsegment""",
+)
+add("multi_csv_concat", "SELECT n_nationkey::BIGINT AS n_nationkey, n_name, n_regionkey::BIGINT AS n_regionkey FROM nation")
+add("flexibility_score", f"SELECT task, {r('sum(rotatable + cast(0.05 AS DOUBLE) * length(task))')} AS flexibility, count(*) AS n FROM manifest GROUP BY task", MANIFEST)

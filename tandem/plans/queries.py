@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tandem.functions import scalars as S
-from tandem.operators import ensembles, inference, metrics, relational, routing, splits
+from tandem.operators import ensembles, inference, metrics, relational, routing, selection, splits
 from tandem.sources.tables import read_table, scratch_path
 from tandem.streaming import monitor
 
@@ -65,11 +65,11 @@ def routing_curve(spark, sf):
 
 @query
 def gated_curve(spark, sf):
-    """Error of the gated route at 20 and 60 percent, gated at the median of the training scores."""
+    """Error of the gated route at every budget, gated at the median of the training scores."""
     p = paired(spark, sf).where("task_type = 'regression'")
     gate = routing.gate_thresholds(p.where("split = 'train'"), ["task", "seed"], "score", 0.5)
     out = []
-    for b in (20, 60):
+    for b in routing.BUDGETS:
         r = routing.routed(routing.top_gated(p.where("split = 'test'"), gate, ["task", "seed"], "score", b))
         r = r.groupBy("task", "seed").agg(F.avg(F.abs(F.col("y") - F.col("routed"))).alias("mae"), F.avg(F.col("selected").cast("double")).alias("call_rate"), F.first("threshold").alias("threshold"))
         out.append(r.withColumn("budget", F.lit(b)))
@@ -311,7 +311,7 @@ def risk_coverage(spark, sf):
     t = routing.with_utilities(test_rows(spark, sf))
     out = [
         metrics.selection_diagnostics(routing.top_budget(t, ["task", "seed"], "score", b), ["task", "seed"], "selected", "utility").withColumn("budget", F.lit(b))
-        for b in (0, 20)
+        for b in routing.BUDGETS
     ]
     return rounded(relational.union_all(out))
 
@@ -329,23 +329,43 @@ def selected_contrast(spark, sf):
 
 def hashed_bounds(spark, sf) -> DataFrame:
     v = routing.with_utilities(paired(spark, sf).where("split = 'val'"))
-    return inference.hashed_lcb(v, ["task", "seed"], "utility", "mol_id", repeats=50)
+    return inference.hashed_lcb(v, ["task", "seed"], "utility", "mol_id")
+
+
+def endpoint_gains(rows: DataFrame) -> DataFrame:
+    """task, task_type, seed, the reference's metric and the gain of the alternative."""
+    a, b = metrics.endpoint_metric(rows, GROUP, "y", "pred2d"), metrics.endpoint_metric(rows, GROUP, "y", "pred3d")
+    both = a.withColumnRenamed("value", "ref").join(b.withColumnRenamed("value", "alt"), [*GROUP, "metric"])
+    return both.select(*GROUP, "ref", S.signed_gain("metric", "ref", "alt").alias("gain"))
+
+
+def paired_tests(rows: DataFrame) -> DataFrame:
+    """task, seed, p, lower and permission of the paired test that suits the task."""
+    saved = F.abs(F.col("y") - F.col("pred2d")) - F.abs(F.col("y") - F.col("pred3d"))
+    reg = inference.paired_t(rows.where("task_type = 'regression'"), ["task", "seed"], saved)
+    cls = inference.paired_delong(rows.where("task_type = 'classification'"), ["task", "seed"])
+    cols = ["task", "seed", "p", "lower", F.col("permission").alias("paired_permission")]
+    return reg.select(*cols).unionByName(cls.select(*cols))
+
+
+def evidence(spark, sf, bounds: DataFrame) -> DataFrame:
+    """Endpoint gains on both sides, the paired test and a lower bound for each task and seed."""
+    p = paired(spark, sf)
+    val, test = p.where("split = 'val'"), p.where("split = 'test'")
+    out = endpoint_gains(val).select(*GROUP, F.col("gain").alias("validation_gain"), S.ratio("gain", F.abs("ref")).alias("relative_validation_gain"))
+    out = out.join(endpoint_gains(test).select("task", "seed", F.col("gain").alias("test_gain")), ["task", "seed"])
+    return out.join(paired_tests(val), ["task", "seed"]).join(bounds.select("task", "seed", "lcb"), ["task", "seed"])
 
 
 def states(spark, sf) -> DataFrame:
-    """Validation evidence and test gain of each task and seed."""
-    p = routing.with_utilities(paired(spark, sf))
-    gain = lambda split, name: p.where(F.col("split") == split).groupBy("task", "seed").agg(F.avg("utility").alias(name), F.avg(S.item_loss("task_type", "y", "pred2d")).alias(f"{name}_base"))
-    val = gain("val", "validation_gain").withColumn("relative_validation_gain", S.ratio("validation_gain", "validation_gain_base"))
-    out = val.join(gain("test", "test_gain"), ["task", "seed"]).join(hashed_bounds(spark, sf).select("task", "seed", "lcb"), ["task", "seed"])
-    # a stand-in for a test's p value that SQL has too
-    return out.withColumn("p_value", F.when(F.col("lcb") > 0, 0.01).otherwise(0.5))
+    """Validation evidence and test gain of each task and seed; the bound is the hashed one, of the mean utility."""
+    return evidence(spark, sf, hashed_bounds(spark, sf))
 
 
 @query
 def policy_states(spark, sf):
     s = routing.policy_outcomes(routing.task_policies(states(spark, sf)))
-    return rounded(s.select("task", "seed", "policy", "permission", "test_gain", "policy_gain", "decision_correct", "negative_transfer", "missed_gain", "regret"))
+    return rounded(s.select("task", "seed", "policy", "permission", "test_gain", "policy_gain", "decision_correct", "false_activation", "false_rejection", "negative_transfer", "missed_gain", "regret"))
 
 
 @query
@@ -375,14 +395,14 @@ def selector_split_level(spark, sf):
 @query
 def delong_stat(spark, sf):
     t = paired(spark, sf).where("split = 'val' and task_type = 'classification'")
-    return rounded(inference.paired_delong(t, ["task", "seed"]).drop("p"))
+    return rounded(inference.paired_delong(t, ["task", "seed"]).drop("p", "lower"))
 
 
 @query
 def paired_t_stat(spark, sf):
     t = paired(spark, sf).where("split = 'val' and task_type = 'regression'")
     d = F.abs(F.col("y") - F.col("pred2d")) - F.abs(F.col("y") - F.col("pred3d"))
-    return rounded(inference.paired_t(t, ["task", "seed"], d).drop("p"))
+    return rounded(inference.paired_t(t, ["task", "seed"], d).drop("p", "lower"))
 
 
 @query
@@ -400,19 +420,189 @@ def hashed_bootstrap_lcb(spark, sf):
 @query
 def hashed_sign_perm(spark, sf):
     t = routing.with_utilities(paired(spark, sf).where("split = 'val'"))
-    return rounded(inference.hashed_sign_test(t, ["task", "seed"], "utility", "mol_id", repeats=40))
+    return rounded(inference.hashed_sign_test(t, ["task", "seed"], "utility", "mol_id"))
 
 
 @query
 def exact_bootstrap_lcb(spark, sf):
     v = paired(spark, sf).where("split = 'val'")
-    return rounded(inference.exact_lcb(v, ["task", "seed"], repeats=500))
+    return rounded(inference.exact_lcb(v, ["task", "seed"]))
 
 
 @query
 def cluster_bootstrap_ci(spark, sf):
     s = routing.policy_outcomes(routing.task_policies(states(spark, sf))).withColumn("right", F.col("decision_correct").cast("double"))
-    return rounded(inference.cluster_intervals(s, ["policy"], "seed", ["policy_gain", "regret", "right"]))
+    s = s.withColumn("positive", F.greatest("test_gain", F.lit(0.0))).withColumn("kept", F.when(F.col("permission"), F.col("positive")).otherwise(0.0))
+    return rounded(inference.cluster_intervals(s, ["policy"], "seed", ["policy_gain", "regret", "right"], ratios={"gain_retention": ("kept", "positive")}))
+
+
+@query
+def cluster_contrast_ci(spark, sf):
+    """Differences of every policy to TaskSelect, clusters drawn together."""
+    s = routing.policy_outcomes(routing.task_policies(states(spark, sf))).select("task", "seed", "policy", "policy_gain", "regret")
+    other = s.where("policy = 'TaskSelect'").select("task", "seed", F.col("policy_gain").alias("g"), F.col("regret").alias("r"))
+    d = s.where("policy <> 'TaskSelect'").join(other, ["task", "seed"])
+    d = d.select("policy", "seed", (F.col("policy_gain") - F.col("g")).alias("gain_difference"), (F.col("regret") - F.col("r")).alias("regret_difference"))
+    return rounded(inference.cluster_intervals(d, ["policy"], "seed", ["gain_difference", "regret_difference"]))
+
+
+@query
+def taskmetric_replay(spark, sf):
+    """The decision table with the exact bootstrap of the endpoint gain: 5,000 resamples, seeds from 44,000."""
+    exact = inference.exact_lcb(paired(spark, sf).where("split = 'val'"), ["task", "seed"])
+    s = routing.policy_outcomes(routing.task_policies(evidence(spark, sf, exact)))
+    return rounded(s.select("task", "seed", "policy", "permission", F.col("test_gain").alias("gain"), "policy_gain", F.col("lcb").alias("validation_lcb"), F.col("p").alias("pvalue")))
+
+
+@query
+def paired_test_decisions(spark, sf):
+    """Permission of the paired tests and how often it agrees with the bound's."""
+    s = states(spark, sf).withColumn("bound", F.coalesce(F.col("lcb") > 0, F.lit(False)))
+    return rounded(s.groupBy("task").agg(F.count_if("paired_permission").alias("permitted"), F.avg((F.col("paired_permission") == F.col("bound")).cast("double")).alias("agreement"), F.count("*").alias("n")))
+
+
+@query
+def lcb_alpha_sweep(spark, sf):
+    """Bounds of the selected items' mean utility at four levels, and whether they would permit."""
+    t = routing.top_budget(routing.with_utilities(test_rows(spark, sf)), ["task", "seed"], "score", 20).where("selected")
+    levels = {"a010": 0.01, "a025": 0.025, "a050": 0.05, "a100": 0.1}
+    b = inference.hashed_quantiles(t, ["task", "seed"], "utility", "mol_id", levels, least=1)
+    rows = F.array(*[F.struct(F.lit(v).alias("alpha"), F.col(k).alias("lcb")) for k, v in levels.items()])
+    out = b.select("task", "seed", "n", "mean", F.inline(rows))
+    return rounded(out.withColumn("permit", F.col("lcb") > 0).withColumn("false_safe", (F.col("lcb") > 0) & (F.col("mean") <= 0)))
+
+
+@query
+def utility_lcb_permission(spark, sf):
+    """Call or abstain on the bound of the utility of what would be selected on the validation side."""
+    v = routing.top_budget(routing.with_utilities(paired(spark, sf).where("split = 'val'")), ["task", "seed"], "score", 20).where("selected")
+    b = inference.hashed_lcb(v, ["task", "seed"], "utility", "mol_id")
+    return rounded(selection.safe_decision(b, F.col("mean")))
+
+
+@query
+def paired_delta_ci(spark, sf):
+    """Interval of the area difference between two routers over all pairs of task and seed."""
+    g = relational.pivot_mean(gains(spark, sf), ["task", "seed"], "router", ["score", "uncertain"], "area")
+    g = g.withColumn("delta", F.col("score") - F.col("uncertain")).withColumn("contrast", F.lit("score-uncertain"))
+    g = g.withColumn("pair", F.ascii(F.substring("task", 3, 1)) * 10 + F.col("seed"))
+    return rounded(inference.hashed_quantiles(g, ["contrast"], "delta", "pair", {"low": 0.025, "high": 0.975}))
+
+
+@query
+def hierarchical_gain_ci(spark, sf):
+    return rounded(inference.hierarchical_interval(paired(spark, sf).where("split = 'test'"), ["task_type"], ["task", "seed"], repeats=400))
+
+
+@query
+def label_permutation_null(spark, sf):
+    t = routing.top_budget(routing.with_utilities(test_rows(spark, sf)), ["task", "seed"], "score", 20)
+    return rounded(inference.permutation_null(t, ["task", "seed"], "selected", "utility"))
+
+
+@query
+def random_budget_control(spark, sf):
+    return rounded(inference.random_budget_gain(test_rows(spark, sf), GROUP, 20))
+
+
+@query
+def oof_fold_scores(spark, sf):
+    """Out-of-fold scores, one fold in part unknown, filled by the rules."""
+    v = paired(spark, sf).where("split = 'train'").withColumn("score", F.when((F.col("fold_id") != 2) | (F.col("mol_id") % 4 == 0), F.col("score")))
+    s = selection.fold_scores(v, ["task", "seed"], "fold_id", "score")
+    return rounded(s.groupBy("task", "seed").agg(F.count("*").alias("n"), F.sum("score").alias("total"), F.min("score").alias("least")))
+
+
+@query
+def oof_router_selection(spark, sf):
+    """The candidate and gate of highest area, then NDCG, on the validation side; the first wins ties."""
+    v = routing.with_utilities(paired(spark, sf).where("split = 'val'"))
+    names = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(n).alias("candidate"), c.alias("s")) for i, (n, c) in enumerate((("score", F.col("score")), ("cheap", -F.col("cost")), ("shift", F.abs(F.col("pred3d") - F.col("pred2d")))))])
+    rows = v.select(*GROUP, "mol_id", "y", "pred2d", "pred3d", "utility", F.inline(names))
+    best = [*GROUP, "place", "candidate"]
+    gates = rows.groupBy(*best).agg(F.percentile("s", F.lit(0.5)).alias("half"))
+    gates = gates.select(*best, F.inline(F.array(F.struct(F.lit(0).alias("gate"), F.lit(None).cast("double").alias("threshold")), F.struct(F.lit(1).alias("gate"), F.col("half").alias("threshold")))))
+    curve = selection.gated_performance(rows.join(gates, best), [*best, "gate"], "s", "threshold")
+    big = metrics.integrated_gain(curve, [*best, "gate"]).select(*best, "gate", F.round("area", 10).alias("big"))
+    n = metrics.ndcg(rows, best, "s", "utility", 20).withColumn("ndcg", F.round("ndcg", 10))
+    return rounded(selection.lexicographic_best(big.join(n, best), GROUP, "big", "ndcg", ["place", "gate"]).select("task", "seed", "candidate", "gate", "big", "ndcg"))
+
+
+@query
+def risk_weight_grid(spark, sf):
+    """The weight of the risk against the score with the best NDCG."""
+    v = routing.with_utilities(paired(spark, sf).where("split = 'val'"))
+    return rounded(selection.risk_weight(v, ["task", "seed"], "score", "cost", "utility"))
+
+
+@query
+def nested_calibration(spark, sf):
+    """Calibration parts, thresholds from the training part, and what the calibration part would call."""
+    v = selection.calibration_part(routing.with_utilities(paired(spark, sf).where("split = 'train'")), ["task", "seed"], "fold_id", "seed")
+    gate = routing.gate_thresholds(v.where("part = 'train'"), ["task", "seed"], "score", 0.5)
+    c = routing.top_gated(v.where("part = 'cal'"), gate, ["task", "seed"], "score", 60)
+    return rounded(c.groupBy("task", "seed").agg(F.count("*").alias("n"), F.count_if("selected").alias("called"), F.avg(F.when(F.col("selected"), F.col("utility"))).alias("mean"), F.first("threshold").alias("threshold")))
+
+
+@query
+def guardrail_route(spark, sf):
+    """The gated route where the task may call, a threshold above everything where it abstains."""
+    t = routing.with_utilities(test_rows(spark, sf))
+    decided = selection.safe_decision(hashed_bounds(spark, sf), F.col("mean")).select("task", "seed", F.when(F.col("decision") == "call", 0.3).otherwise(float("inf")).alias("threshold"))
+    g = routing.top_gated(t, decided, ["task", "seed"], "score", 20)
+    return rounded(g.groupBy("task", "seed").agg(F.count_if("selected").alias("called"), F.coalesce(F.sum(F.when(F.col("selected"), F.col("utility"))), F.lit(0.0)).alias("gain")))
+
+
+@query
+def gate1_policies(spark, sf):
+    """Utility for each item under policies that call none, all, by a task's validation mean or bound, or by score."""
+    t = routing.with_utilities(test_rows(spark, sf)).withColumn("centred", F.col("score") - 0.5)
+    t = routing.top_budget(t, ["task", "seed"], "centred", 20).drop("position").withColumnRenamed("selected", "top")
+    t = routing.top_budget(t, ["task", "seed"], "utility", 20).drop("position").withColumnRenamed("selected", "best")
+    t = t.join(hashed_bounds(spark, sf).select("task", "seed", "mean", "lcb"), ["task", "seed"])
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    rules = {
+        "reference": F.lit(False), "alternative": F.lit(True), "TaskSelect": yes(F.col("mean") > 0), "TaskLCB": yes(F.col("lcb") > 0),
+        "SimpleUtility": F.col("top") & (F.col("centred") > 0), "HoldoutLCB": F.col("top") & yes(F.col("lcb") > 0), "Oracle@20": F.col("best") & (F.col("utility") > 0),
+    }
+    rows = t.select("task", "seed", "utility", F.inline(F.array(*[F.struct(F.lit(k).alias("policy"), v.alias("on")) for k, v in rules.items()])))
+    return rounded(rows.groupBy("task", "seed", "policy").agg(F.avg(F.when(F.col("on"), F.col("utility")).otherwise(0.0)).alias("gain"), F.avg(F.col("on").cast("double")).alias("call_rate")))
+
+
+@query
+def baseline_aware_candidate(spark, sf):
+    """The routed result at 20 percent against both fixed predictors, by the metric's direction."""
+    c = curves(spark, sf)
+    final = c.where("router = 'score' and budget = 20").groupBy("task", "metric").agg(F.avg("value").alias("value"), F.avg("call_rate").alias("call_rate"))
+    ends = c.where("router = 'score' and budget in (0, 100)").withColumn("method", F.when(F.col("budget") == 0, "cheap").otherwise("costly"))
+    return rounded(selection.baseline_aware(final, ends.groupBy("task", "method").agg(F.avg("value").alias("value"), F.countDistinct("seed").alias("n_seeds"))))
+
+
+@query
+def budget_rounding_audit(spark, sf):
+    """What each budget asks for and what whole items make of it."""
+    t = test_rows(spark, sf).groupBy("task", "seed").agg(F.count("*").alias("n")).withColumn("budget", F.explode(F.array(*map(F.lit, routing.BUDGETS))))
+    called = S.half_even(F.col("n") * F.col("budget") / 100)
+    t = t.withColumn("called", called.cast("long")).withColumn("rounded_up", F.ceil(F.col("n") * F.col("budget") / 100).cast("long"))
+    return rounded(t.withColumn("call_rate", F.col("called") / F.col("n")).withColumn("excess", F.col("called") / F.col("n") - F.col("budget") / 100))
+
+
+@query
+def feature_spearman(spark, sf):
+    """Rank correlation of every feature with the utility."""
+    t = routing.with_utilities(test_rows(spark, sf)).unpivot(["task", "utility"], ["y", "pred2d", "cost", "score"], "feature", "value")
+    return rounded(metrics.spearman(t, ["task", "feature"], "value", "utility"))
+
+
+@query
+def conformer_control(spark, sf):
+    """Few against many conformers: paired by item, mean difference and share of items that gain."""
+    m = manifest(spark, sf).where("energy_min is not null")
+    one = m.where("success").select("task", "mol_id", F.col("energy_min").alias("few"))
+    ten = m.where("success and rotatable < 9").select("task", "mol_id", (F.col("energy_min") - F.col("rotatable") / 10).alias("many"))
+    j = relational.join_one_to_one([one, ten], ["task", "mol_id"])
+    d = F.col("few") - F.col("many")
+    return rounded(j.groupBy("task").agg(F.count("*").alias("n"), F.avg(d).alias("difference"), F.avg((d > 0).cast("double")).alias("gained")))
 
 
 @query
@@ -473,6 +663,19 @@ def dataset_card(spark, sf):
     return rounded(splits.dataset_card(paired(spark, sf).where("seed = 0"), ["task", "task_type"]))
 
 
+@query
+def subsample_exact(spark, sf):
+    p = splits.subsample(paired(spark, sf).where("seed = 0"), ["task"], 40, 9)
+    return p.groupBy("task").agg(F.count("*").alias("n"), F.sum("mol_id").alias("ids"))
+
+
+@query
+def scaffold_balanced_split(spark, sf):
+    p = paired(spark, sf).where("seed = 0 and task_type = 'classification'")
+    s = splits.group_split(p, ["task"], "group_key", "balanced", seed=4, positive=F.col("y") > 0)
+    return rounded(s.groupBy("task", "split").agg(F.count("*").alias("n"), F.sum("y").alias("positives")))
+
+
 # --- wrangling ---------------------------------------------------------------------------------------------------
 
 
@@ -487,6 +690,51 @@ def clean_dedup(spark, sf):
     return n.select("mol_id", "n_chars", F.concat_ws("_", "task", F.lpad((F.col("n") - 1).cast("string"), 6, "0")).alias("name"))
 
 
+@query
+def first_known_values(spark, sf):
+    """Of every customer's orders the first value of each column that is known."""
+    o = read_table(spark, sf, "orders").select("o_custkey", "o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, F.col("o_totalprice")).alias("price"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderstatus")).alias("status"))
+    return rounded(relational.first_known(o, ["o_custkey"], ["o_orderkey"]).select("o_custkey", "price", "status"))
+
+
+@query
+def duplicate_key_means(spark, sf):
+    """Repeated keys averaged to a map, and looked up from another table without a miss."""
+    p = read_table(spark, sf, "part").select("p_brand", F.col("p_size").cast("double").alias("size"), F.col("p_retailprice").cast("double").alias("price"))
+    found = relational.lookup(read_table(spark, sf, "part").select("p_partkey", "p_brand"), relational.mean_map(p, "p_brand", ["size", "price"]), ["p_brand"])
+    return rounded(found.groupBy("p_brand").agg(F.count("*").alias("n"), F.first("size").alias("size"), F.first("price").alias("price")))
+
+
+@query
+def head_rows(spark, sf):
+    return rounded(relational.head(test_rows(spark, sf).select("task", "seed", "mol_id", "score"), 12, [F.desc("score"), F.col("mol_id"), F.col("seed")]))
+
+
+@query
+def prefix_and_json(spark, sf):
+    """Router names without their prefix, and an ensemble's weights as JSON."""
+    c = read_table(spark, sf, "customer").groupBy("c_mktsegment").agg(F.count("*").alias("n"))
+    name = S.replaced_prefix(F.concat(F.lit("R8_"), F.lower("c_mktsegment")), "R8_", "")
+    return c.select(name.alias("name"), S.replaced_prefix("c_mktsegment", "B", "b-").alias("other"), S.weights_json(F.array(name, F.lit("all")), F.array("n", F.lit(1).cast("long"))).alias("weights"))
+
+
+@query
+def multi_csv_concat(spark, sf):
+    """Two CSV files with headers, written and read back as one table."""
+    from tandem.sources.tables import read_csv, write_table
+
+    out = scratch_path(spark, "csv")
+    for part, t in (("a", "n_nationkey < 10"), ("b", "n_nationkey >= 10")):
+        write_table(read_table(spark, sf, "nation").select("n_nationkey", "n_name", "n_regionkey").where(t), f"{out}/{part}", kind="csv")
+    return rounded(read_csv(spark, [f"{out}/a", f"{out}/b"], "n_nationkey long, n_name string, n_regionkey long"))
+
+
+@query
+def flexibility_score(spark, sf):
+    m = manifest(spark, sf).withColumn("flexibility", F.col("rotatable") + 0.05 * F.length("task"))
+    return rounded(m.groupBy("task").agg(F.sum("flexibility").alias("flexibility"), F.count("*").alias("n")))
+
+
 @query
 def column_fallback(spark, sf):
     p = read_table(spark, sf, "part")
@@ -642,7 +890,7 @@ def best_single(spark, sf):
 
 @query
 def greedy_ensemble(spark, sf):
-    return rounded(ensembles.greedy_ensemble(members(spark, sf).where("seed < 2"), ["task", "seed"], rounds=10))
+    return rounded(ensembles.greedy_ensemble(members(spark, sf), ["task", "seed"]))
 
 
 # --- streams -----------------------------------------------------------------------------------------------------

@@ -86,13 +86,15 @@ def test_bootstrap_against_loop():
     got = inference.bootstrap_gains(y, a, b, True, 99, 33)
     rng, want = np.random.default_rng(33), []
     up, down = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
-    w, v = rng.multinomial(4, np.full(4, 0.25), 99), rng.multinomial(3, np.full(3, 1 / 3), 99)
-    for i in range(99):
-        ps, ns = np.repeat(up, w[i]), np.repeat(down, v[i])
+    for _ in range(99):  # the protocol draws positions of positives, then of negatives, for each resample
+        ps, ns = up[rng.choice(4, 4, replace=True)], down[rng.choice(3, 3, replace=True)]
         auc = lambda p: np.mean([[(p[j] > p[k]) + 0.5 * (p[j] == p[k]) for k in ns] for j in ps])
         want.append(auc(b) - auc(a))
     assert got == pytest.approx(want)
     assert np.isnan(inference.bootstrap_gains(np.ones(3), a[:3], b[:3], True, 5, 0)).all()
+    old, new = np.abs(y - a), np.abs(y - b)
+    at = np.random.default_rng(7).integers(0, 7, size=(200, 7))
+    assert inference.bootstrap_gains(y, a, b, False, 200, 7) == pytest.approx(old[at].mean(1) - new[at].mean(1))
     swapped = inference.bootstrap_gains(y, b, a, True, 99, 33)
     assert got == pytest.approx(-swapped)
 
