@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import small_batches
 
 RANKS = "byte_bpe_50k.tiktoken"
-LEAF = 512
+LEAF = 1024
 #: Characters to look for a cut in before a window grows by tokens.
 NEAR = 256
 #: A cut lies between the two characters of a match.
