@@ -226,3 +226,55 @@ def test_stream_appends_closed_windows(spark, tmp_path):
     monitor.run_available(monitor.window_peaks(stream, "kind", "value"), f"file://{tmp_path}/out", f"file://{tmp_path}/cp", "append")
     got = spark.read.parquet(f"file://{tmp_path}/out").orderBy("start").collect()
     assert [(r.samples, r.peak) for r in got] == [(2, 12.0), (2, 22.0)]
+
+
+@pytest.mark.parametrize("kind", ["long tail", "constant", "with nulls"])
+@pytest.mark.parametrize("down", [False, True])
+def test_running_cuts_evenly(spark, kind, down):
+    value = {"long tail": "exp(pmod(hash(id), 97) / 3D)", "constant": "7D", "with nulls": "if(id % 3 = 0, null, pmod(hash(id), 11) * 1D)"}[kind]
+    df = spark.range(3000).selectExpr("id % 2 AS g", "id", f"{value} AS x")
+    got = ordered.running(df, ["g"], "x", {"n": F.lit(1).cast("long")}, down, ["id"], rows=100)
+    for g in (0, 1):
+        rows = [(r.x, r.id, r.n) for r in got.where(F.col("g") == g).collect()]
+        want = sorted(rows, key=lambda r: (r[0] is None, 0 if r[0] is None else -r[0] if down else r[0], r[1]))
+        assert [r[2] for r in want] == list(range(1, 1501))
+    place = ordered._place(df, "x", down, ["id"])
+    sizes = df.join(ordered._cuts(df, ["g"], place, 100, 4096), "g").withColumn("s", ordered._stretch(place)).groupBy("g", "s").count()
+    counts = sorted(r["count"] for r in sizes.collect())
+    assert sum(counts) == 3000 and len(counts) >= 26 and counts[-1] <= 4 * 100
+
+
+def test_many_stretches(spark):
+    df = spark.range(20_000).selectExpr("0 AS g", "id AS i", "cast(pmod(hash(id), 5000) as double) AS x")
+    got = ordered.running(df, ["g"], "x", {"n": F.lit(1).cast("long")}, rows=50)
+    counts = {}
+    for r in df.collect():
+        counts[r.x] = counts.get(r.x, 0) + 1
+    to, total = {}, 0
+    for x in sorted(counts):
+        total += counts[x]
+        to[x] = total
+    assert all(r.n == to[r.x] for r in got.collect())
+
+
+def test_discounts_of_long_runs(spark):
+    runs = [(1, 10), (1, 64), (1, 65), (3, 70), (1, 1000), (500, 200_000), (5, 4)]
+    df = spark.createDataFrame(runs, "a long, b long").select("a", "b", metrics._discounts(F.col("a"), F.col("b")).alias("d"))
+    for r in df.collect():
+        assert r.d == pytest.approx(sum(1 / math.log2(k + 1) for k in range(r.a, r.b + 1)), rel=1e-10, abs=1e-10)
+    assert df.sparkSession.range(1).select(metrics._discounts(F.lit(1), F.lit(10**12)).alias("d")).first().d > 2.4e10
+
+
+def test_reports_are_whole(spark):
+    assert tables.markdown(spark.range(3)).count("\n") == 4
+    with pytest.raises(ValueError):
+        tables.markdown(spark.range(4), rows=3)
+
+
+def test_repeated_stream_batches(spark, tmp_path):
+    spark.range(6).selectExpr("timestamp_seconds(id * 86400) AS ts", "'a' AS kind", "id * 1D AS v").write.parquet(str(tmp_path / "in"))
+    stream = monitor.window_peaks(monitor.samples(spark, str(tmp_path / "in"), "ts timestamp, kind string, v double"), "kind", "v")
+    for run in ("one", "two"):  # a new checkpoint gives the same batches again
+        monitor.run_available(stream, str(tmp_path / "out"), str(tmp_path / run), "append")
+    rows = spark.read.parquet(str(tmp_path / "out")).groupBy("start", "kind").count()
+    assert rows.count() and rows.where("count > 1").count() == 0
