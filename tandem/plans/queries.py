@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tandem.functions import scalars as S
@@ -259,11 +259,10 @@ def pareto_auc(spark, sf):
 @query
 def oracle_recovery(spark, sf):
     """Share of the oracle's gain at 20 percent that each router gets."""
-    c = curves(spark, sf)
-    at = lambda b: c.where(S.is_close(F.col("budget").cast("double"), b)).select(*GROUP, "router", F.col("performance").alias(f"p{b}"))
-    g = at(20).join(at(0), [*GROUP, "router"]).withColumn("gain", F.col("p20") - F.col("p0"))
-    top = g.where("router = 'oracle'").select(*GROUP, F.col("gain").alias("oracle_gain"))
-    g = g.join(top, GROUP, "left")
+    at = lambda b: F.max(F.when(S.is_close(F.col("budget").cast("double"), b), F.col("performance")))
+    g = curves(spark, sf).groupBy(*GROUP, "router").agg((at(20) - at(0)).alias("gain")).where("gain is not null")
+    top = F.max(F.when(F.col("router") == "oracle", F.col("gain"))).over(Window.partitionBy(*GROUP))
+    g = g.withColumn("oracle_gain", top)
     return rounded(g.select(*GROUP, "router", "gain", F.when(F.abs("oracle_gain") > 1e-12, F.col("gain") / F.col("oracle_gain")).alias("recovered")))
 
 
@@ -294,8 +293,6 @@ def best_router(spark, sf):
 @query
 def rank_routers(spark, sf):
     """Routers by mean area within a task, equal means sharing the best rank."""
-    from pyspark.sql import Window
-
     g = gains(spark, sf).groupBy("task", "router").agg(F.round(F.avg("area"), 10).alias("area"))
     return rounded(g.withColumn("rank", F.rank().over(Window.partitionBy("task").orderBy(F.desc("area")))))
 

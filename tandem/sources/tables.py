@@ -22,8 +22,10 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new folder in the one that all executors share: spark.checkpoint.dir, set here only where it is unset."""
+    """A new folder in the one that all executors share: spark.checkpoint.dir, set here only where it is unset and all is local."""
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
     if not named:
         named = f"file://{tempfile.mkdtemp(prefix='tandem-')}"
         spark.conf.set("spark.checkpoint.dir", named)
@@ -127,9 +129,12 @@ def check_manifest(found: DataFrame, manifest: DataFrame) -> DataFrame:
 
 
 def markdown(df: DataFrame, rows: int = 200) -> str:
-    """A report of the first rows as a Markdown table; for summaries, not for data."""
+    """A summary as a Markdown table. A table of more than `rows` rows is data, not a summary, and raises."""
+    found = df.limit(rows + 1).collect()
+    if len(found) > rows:
+        raise ValueError(f"a report has at most {rows} rows")
     cell = lambda v: "" if v is None else f"{v:.6g}" if isinstance(v, float) else str(v).replace("|", "\\|")
-    lines = [df.columns, ["---"] * len(df.columns), *[[cell(v) for v in r] for r in df.limit(rows).collect()]]
+    lines = [df.columns, ["---"] * len(df.columns), *[[cell(v) for v in r] for r in found]]
     return "\n".join("| " + " | ".join(line) + " |" for line in lines)
 
 

@@ -19,9 +19,10 @@ def window_peaks(stream: DataFrame, kind: str, value: str, window: str = "1 day"
 
 
 def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "complete") -> None:
-    """Processes what is there and stops. Every batch replaces the table at `path`, so a repeated batch changes nothing."""
+    """Processes what is there and stops. A repeated batch changes nothing: a complete table is replaced, and what a
+    batch appends has a folder of its own, `batch=<number>`, which the batch replaces when it is run again."""
 
-    def put(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(path)
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(path if mode == "complete" else f"{path}/batch={number}")
 
     stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
