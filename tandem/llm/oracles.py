@@ -37,5 +37,54 @@ its AS (
 SELECT d.doc_id, cast(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
+""",
+    "op13_filter_audit": r"""
+WITH t AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+),
+firsts AS (SELECT text, min(doc_id) AS first FROM t GROUP BY text),
+marks AS (SELECT doc_id, max(cast(quality = 1 AS INT)) AS good, max(cast(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY doc_id),
+m AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, {
+    'A': len(w) < 100,
+    'B': 100 * len(list_distinct(w)) < 80 * len(w),
+    'C': 10 * length(regexp_replace(t.text, '[^A-Z]', '', 'g')) > length(t.text),
+    'D': regexp_matches(t.text, '[#$%&*|]'),
+    'E': coalesce(t.doc_id > first, false)} AS f
+  FROM t JOIN firsts ON t.text = firsts.text LEFT JOIN marks ON t.doc_id = marks.doc_id
+),
+long AS (
+  SELECT part, good, toxic, unnest(['A', 'B', 'C', 'D', 'E']) AS name, unnest([f.A, f.B, f.C, f.D, f.E]) AS failed, row FROM (SELECT *, row_number() OVER () AS row FROM m)
+),
+cells AS (
+  SELECT part, names, count(*) AS n, sum(good) AS n_good, sum(toxic) AS n_toxic FROM (
+    SELECT row, part, any_value(good) AS good, any_value(toxic) AS toxic, coalesce(string_agg(name, '') FILTER (WHERE failed), '') AS names FROM long GROUP BY row, part
+  ) GROUP BY part, names
+),
+letter AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l),
+perms AS (
+  SELECT a.l || b.l || c.l || d.l || e.l AS filter_order FROM letter a, letter b, letter c, letter d, letter e
+  WHERE len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5
+),
+runs AS (SELECT filter_order, step, filter_order[step] AS own, filter_order[1 : step - 1] AS before FROM perms, (SELECT unnest(range(1, 6)) AS step)),
+met AS (
+  SELECT cells.*, filter_order, step, own, contains(names, own) AS fails, names = own AS alone,
+    len(list_filter(string_split(names, ''), lambda x: x <> '' AND contains(before, x))) > 0 AS gone FROM cells, runs
+),
+steps AS (
+  SELECT part, filter_order, cast(step AS INT) AS step, own,
+    sum(CASE WHEN NOT gone AND NOT fails THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN NOT gone AND fails THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN gone AND fails THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN alone THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN NOT gone AND fails THEN n_good ELSE 0 END) AS good_lost,
+    sum(CASE WHEN NOT gone AND fails THEN n_toxic ELSE 0 END) AS toxic_lost
+  FROM met GROUP BY part, filter_order, step, own
+)
+SELECT part, filter_order, step, cast(kept AS BIGINT) AS kept, cast(removed AS BIGINT) AS removed, cast(redundant AS BIGINT) AS redundant,
+  cast(unique_fails AS BIGINT) AS unique_fails, cast(good_lost AS BIGINT) AS good_lost, cast(toxic_lost AS BIGINT) AS toxic_lost,
+  cast(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM steps
 """,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bit_packing, byte_bpe, decontamination, line_quality, near_dedup, sharding, substring_dedup, token_counts, top_k, url_filter
+from . import bit_packing, byte_bpe, decontamination, filter_audit, line_quality, near_dedup, sharding, substring_dedup, token_counts, top_k, url_filter
 from .common import table
 
 URL_RULES = [
@@ -88,6 +88,10 @@ def op10_bit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_exact_top_k": op1_exact_top_k,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -99,4 +103,5 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_decontamination": op9_decontamination,
     "op10_bit_packing": op10_bit_packing,
+    "op13_filter_audit": op13_filter_audit,
 }
