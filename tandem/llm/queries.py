@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bit_packing, byte_bpe, decontamination, filter_audit, line_quality, near_dedup, sharding, substring_dedup, token_counts, top_k, url_filter
+from . import bit_packing, byte_bpe, decontamination, filter_audit, language_id, line_quality, near_dedup, ranked_search, sharding, substring_dedup, token_counts, top_k, url_filter
 from .common import table
 
 URL_RULES = [
@@ -88,6 +88,16 @@ def op10_bit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language_id.identify(docs.select("doc_id", "text"), language_id.train(docs))
+    return found.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -103,5 +113,7 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_decontamination": op9_decontamination,
     "op10_bit_packing": op10_bit_packing,
+    "op11_language_id": op11_language_id,
+    "op12_ranked_search": op12_ranked_search,
     "op13_filter_audit": op13_filter_audit,
 }
