@@ -34,7 +34,7 @@ BLOCK = 1 << 16
 PIECES, PARTS = 600_000, 50_000
 #: Characters of a text up to which it is split into pieces at once.
 LONG = 1_000_000
-#: Below this character NFC changes nothing and lower case goes character by character.
+#: Below this character NFC changes nothing and lower case goes character by character, but may lead above it.
 LATIN = "\u0250"
 
 
@@ -69,8 +69,13 @@ class Kept(dict):
         return got
 
 
+def latin_characters() -> list[str]:
+    """Those below LATIN whose lower case is below it, too."""
+    return [c for c in map(chr, range(ord(LATIN))) if max(c.lower()) < LATIN]
+
+
 def latin_splitter():
-    """Splits a lower-cased text whose characters were below LATIN, as the tokenizer's pattern does."""
+    """Splits a lower-cased text of latin_characters, as the tokenizer's pattern does."""
     kinds: dict[str, str] = {"L": "", "N": "", " ": ""}
     for c in map(chr, range(ord(LATIN))):
         kind = " " if c.isspace() and c not in "\x1c\x1d\x1e\x1f" else unicodedata.category(c)[0]
@@ -93,7 +98,7 @@ class Words:
 
         self.library = Tokenizer.from_str(vocabulary.decode())
         self.special = [t["content"] for t in json.loads(vocabulary)["added_tokens"]]
-        self.split, self.foreign = latin_splitter(), re.compile(f"[^\0-{chr(ord(LATIN) - 1)}]").search
+        self.split, self.foreign = latin_splitter(), re.compile(f"[^{''.join(map(re.escape, latin_characters()))}]").search
         self.symbols, self.kind = byte_characters(), {2: "H", 4: "I"}[width]
         self.parts, self.pieces = Kept(self.of, PARTS), Kept(self.piece, PIECES)
 

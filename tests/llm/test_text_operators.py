@@ -131,6 +131,37 @@ def test_words_equal_the_library():
         assert np.frombuffer(got, "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_every_latin_character_equals_the_library():
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(path("word_bpe_49k.json"))
+    known = bit_packing.Words(open(path("word_bpe_49k.json"), "rb").read())
+    texts = [form.format(chr(c)) for c in range(0x250) for form in ("{}", "{}b", "a{}", "a{}b", "A{0}{0}B c{0}", "3{}4", "{0} {0}")]
+    texts += ["\u018fli B\u0259y", "K\u0186K\u0186 d\u0254", "\u0181\u018a h\u0198"]
+    for t, got in zip(texts, known.ids(texts), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, ascii(t)
+
+
+def test_packing_query_against_the_library(spark, tmp_path):
+    import zlib
+
+    from tokenizers import Tokenizer
+
+    from tandem.llm import queries
+
+    library = Tokenizer.from_file(path("word_bpe_49k.json"))
+    texts = [None, "", "\u018fli B\u0259y, \u0181a\u0199i", "two  words\n", "\u65e5\u672c\u8a9e", "a b " * 70_000, "two  words\n"]
+    rows = [(k * 37 % 101, t) for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in queries.op10_bit_packing(spark, str(tmp_path)).collect()}
+    start, want = 0, {}
+    for doc_id, text in sorted(rows):
+        ids = np.array([*library.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
+        want[doc_id] = (start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+    assert got == want
+
+
 def greedy(word, pieces):
     n = at = 0
     while at < len(word):
