@@ -51,8 +51,8 @@ class Prepared:
         return (filled(x, group, self.medians) - self.mean[group]) / self.deviation[group]
 
 
-def prepare(df: DataFrame, keys: Keys, features: Sequence[str], label: str, item: str | None = None) -> Prepared:
-    """Writes the rows with a label, numbered by group, and takes each group's sums of them.
+def prepare(df: DataFrame, keys: Keys, features: Sequence[str], label: str, item: str | None = None, weight: str | None = None) -> Prepared:
+    """Writes the rows with a label, numbered by group, and takes each group's sums of them, without the rows' weights.
 
     NULL and NaN features count as their group's (approximate) median; a feature that does not vary has deviation 1. Rows
     without a label or with a NULL key are left out.
@@ -63,7 +63,8 @@ def prepare(df: DataFrame, keys: Keys, features: Sequence[str], label: str, item
     y = F.col(label).cast("double")
     rows = df.select(
         *keys, F.array(*[F.coalesce(c, F.lit(float("nan"))) for c in value]).alias("_x"), F.when(~F.isnan(y), y).alias("_y"),
-        (F.col(item).cast("string") if item else F.lit(None).cast("string")).alias("_item"), *[c.alias(f"_f{i}") for i, c in enumerate(value)],
+        (F.col(item).cast("string") if item else F.lit(None).cast("string")).alias("_item"),
+        (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("_w"), *[c.alias(f"_f{i}") for i, c in enumerate(value)],
     ).where(F.col("_y").isNotNull())
     for k in keys:
         rows = rows.where(F.col(k).isNotNull())
@@ -78,12 +79,12 @@ def prepare(df: DataFrame, keys: Keys, features: Sequence[str], label: str, item
     n, medians = np.array([r.n for r in known], float), pick("m")
     mean = (pick("s") + (n[:, None] - pick("k")) * medians) / n[:, None]
     path = scratch_path(spark, "linear")
-    _numbered(rows, keys, groups).select("_g", "_x", "_y", "_item").write.parquet(path)
-    rows = spark.read.schema("_g int, _x array<double>, _y double, _item string").parquet(path)
+    _numbered(rows, keys, groups).select("_g", "_x", "_y", "_item", "_w").write.parquet(path)
+    rows = spark.read.schema("_g int, _x array<double>, _y double, _item string, _w double").parquet(path)
     out = Prepared(keys, features, groups, rows, n, np.array([r.ones for r in known], float), np.array([r.y for r in known], float) / n, medians, mean, np.ones_like(mean), np.zeros(mean.shape, bool))
     if groups:
         light = out.light()
-        squares = grouped_sums(rows, len(groups), d, lambda g, x, y: (light.scaled(x, np.full(len(x), g)) ** 2).sum(0))
+        squares = grouped_sums(rows, len(groups), d, lambda g, x, y, w: (light.scaled(x, np.full(len(x), g)) ** 2).sum(0))
         spread = np.sqrt(squares / n[:, None])
         # what is left of a constant after rounding is no deviation
         out.varies = spread > 1e-12 * np.maximum(1, np.abs(mean))
@@ -91,22 +92,22 @@ def prepare(df: DataFrame, keys: Keys, features: Sequence[str], label: str, item
     return out
 
 
-def grouped_sums(rows: DataFrame, n_groups: int, size: int, add: Callable[[int, pa.Array, np.ndarray], np.ndarray]) -> np.ndarray:
-    """For each group the sum of `size` numbers that add(group, features, labels) gives for some of its rows."""
+def grouped_sums(rows: DataFrame, n_groups: int, size: int, add: Callable[[int, pa.Array, np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """For each group the sum of `size` numbers that add(group, features, labels, weights) gives for some of its rows."""
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[int, np.ndarray] = {}
         for batch in batches:
-            group, y = batch["_g"].to_numpy(), batch["_y"].to_numpy()
+            group, y, w = (batch[c].to_numpy() for c in ("_g", "_y", "_w"))
             for g in np.unique(group).tolist():
                 at = np.flatnonzero(group == g)
-                totals[g] = totals.get(g, 0.0) + add(g, batch["_x"].take(pa.array(at)), y[at])
+                totals[g] = totals.get(g, 0.0) + add(g, batch["_x"].take(pa.array(at)), y[at], w[at])
         for g, total in totals.items():
             at = np.flatnonzero(total)
             yield pa.record_batch({"g": np.full(len(at), g, np.int32), "at": at.astype(np.int32), "v": total[at]})
 
     out = np.zeros((n_groups, size))
-    found = rows.select("_g", "_x", "_y").mapInArrow(summed, "g int, at int, v double").groupBy("g", "at").agg(F.sum("v").alias("v")).toArrow()
+    found = rows.select("_g", "_x", "_y", "_w").mapInArrow(summed, "g int, at int, v double").groupBy("g", "at").agg(F.sum("v").alias("v")).toArrow()
     out[found["g"].to_numpy(), found["at"].to_numpy()] = found["v"].to_numpy()
     return out
 
@@ -198,12 +199,12 @@ def newton(
         taken += 1
         now = at + step
 
-        def add(g: int, x: pa.Array, y: np.ndarray, now=now, open_=open_) -> np.ndarray:
+        def add(g: int, x: pa.Array, y: np.ndarray, w: np.ndarray, now=now, open_=open_) -> np.ndarray:
             if not open_[g]:
                 return np.zeros(1 + (D + 1) * (D + 2))
             z = np.column_stack([features(g, light.scaled(x, np.full(len(x), g))), np.full(len(x), float(intercept))])
             value, slope, curve = loss(z @ now[g], y)
-            w = row_weight[g][(y == 1).astype(int)] if balanced else np.ones(len(y))
+            w = w * row_weight[g][(y == 1).astype(int)] if balanced else w
             return np.concatenate([[(w * value).sum()], z.T @ (w * slope), ((z * (w * curve)[:, None]).T @ z).ravel()])
 
         sums = grouped_sums(p.rows, G, 1 + (D + 1) * (D + 2), add)
@@ -253,7 +254,7 @@ def ridge_cv(df: DataFrame, keys: Keys, features: Sequence[str], label: str = "y
     G, d, penalties = len(p.groups), len(p.features), np.asarray(penalties, float)
     light = p.light()
 
-    def outer(g: int, x: pa.Array, y: np.ndarray) -> np.ndarray:
+    def outer(g: int, x: pa.Array, y: np.ndarray, w: np.ndarray) -> np.ndarray:
         z = light.scaled(x, np.full(len(x), g))
         return np.concatenate([(z.T @ z).ravel(), z.T @ (y - light.mean_y[g])])
 
@@ -264,7 +265,7 @@ def ridge_cv(df: DataFrame, keys: Keys, features: Sequence[str], label: str = "y
         shrink = 1 / (np.maximum(values, 0)[:, None] + penalties)
         solved.append((vectors, shrink, vectors @ (shrink * (vectors.T @ sums[g, d * d :])[:, None])))
 
-    def left_out(g: int, x: pa.Array, y: np.ndarray) -> np.ndarray:
+    def left_out(g: int, x: pa.Array, y: np.ndarray, w: np.ndarray) -> np.ndarray:
         vectors, shrink, weights = solved[g]
         z = light.scaled(x, np.full(len(x), g))
         leverage = 1 / light.n[g] + (z @ vectors) ** 2 @ shrink
@@ -302,7 +303,7 @@ def nystroem(p: Prepared, landmarks: int = 128, gamma: float | None = None, seed
     """At most `landmarks` different rows of every group, those of the lowest hashes of their items; gamma is 1 / (features * variance) unless given."""
     spark, G, d = p.rows.sparkSession, len(p.groups), len(p.features)
     fields = ", ".join(["_g int", "_part double"])
-    shares = F.broadcast(spark.createDataFrame([(g, min(1.0, 4 * landmarks / p.n[g])) for g in range(G)], fields))
+    shares = F.broadcast(spark.createDataFrame([(g, min(1.0, float(4 * landmarks / p.n[g]))) for g in range(G)], fields))
     # a few times too many by a threshold of the hash, then the lowest of them
     drawn = p.rows.withColumn("_h", hash_key(seed, F.coalesce("_item", F.col("_x").cast("string"))))
     drawn = drawn.join(shares, "_g").where(F.col("_h") < F.col("_part") * float(1 << 32)).select("_g", "_h", "_x").distinct()

@@ -191,14 +191,14 @@ def extra_trees(
             break
         tried_f, tried_c = drawn_cuts(seed, tree[ids], heap[ids], low[ids], high[ids], m)
         best = _best_cuts(rows, factors, nodes, medians, first + ids, group[ids].astype(np.int32), tried_f, tried_c, level, K, bool(classes), leaf)
-        if not best:
+        if not len(best["slot"]):
             break
-        best.sort(key=lambda r: r.slot)
-        at = ids[[r.slot for r in best]]
-        nodes.feature[first + at] = [tried_f[r.slot, r.k] for r in best]
-        nodes.cut[first + at] = [tried_c[r.slot, r.k] for r in best]
-        nodes.left[first + at] = first + len(sums) + 2 * np.arange(len(best))
-        side = lambda s, n: np.array([[r[f"{s}{x}{i}"] for i in range(n)] for r in best for x in "lr"])
+        slot, k = best["slot"], best["k"]
+        at = ids[slot]
+        nodes.feature[first + at] = tried_f[slot, k]
+        nodes.cut[first + at] = tried_c[slot, k]
+        nodes.left[first + at] = first + len(sums) + 2 * np.arange(len(at))
+        side = lambda s, n: np.stack([np.stack([best[f"{s}{x}{i}"] for i in range(n)], 1) for x in "lr"], 1).reshape(-1, n)
         group, tree = np.repeat(group[at], 2), np.repeat(tree[at], 2)
         heap = (2 * heap[at][:, None] + np.arange(2)).ravel()
         first += len(sums)
@@ -248,8 +248,8 @@ def side_sums(x: np.ndarray, t: np.ndarray, at: np.ndarray, slot_of: np.ndarray,
     return cols
 
 
-def _best_cuts(rows, factors, nodes, medians, ids, owner, tried_f, tried_c, level, K, classes, leaf) -> list:
-    """For each node that has a cut which helps, the best one with both sides' sums and ranges."""
+def _best_cuts(rows, factors, nodes, medians, ids, owner, tried_f, tried_c, level, K, classes, leaf) -> dict[str, np.ndarray]:
+    """For each node that has a cut which helps, the best one with both sides' sums and ranges, by slot."""
     spark, d = rows.sparkSession, medians.shape[1]
     slot_of = np.full(len(nodes.feature), -1, np.int64)
     slot_of[ids] = np.arange(len(ids))
@@ -287,4 +287,5 @@ def _best_cuts(rows, factors, nodes, medians, ids, owner, tried_f, tried_c, leve
     found = found.where((size("l") >= leaf) & (size("r") >= leaf)).withColumn("gain", gain).where(F.col("gain") > 1e-12 * whole)
     # the first of equal ones; gains of whole numbers are the same in every run
     best = found.groupBy("slot").agg(F.max_by(F.struct(*names[1:]), F.struct("gain", -F.col("k"))).alias("best"))
-    return best.select("slot", "best.*").collect()
+    found = best.select("slot", "best.*").toArrow().sort_by("slot")
+    return {n: found[n].to_numpy() for n in found.column_names}

@@ -155,3 +155,58 @@ members AS (
 
 def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+
+
+CHEAP, COSTLY = ("c_chars", "c_source", "c_lines"), ("g_capital", "g_symbol", "g_distinct", "g_long")
+
+
+def modalities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """task, task_type, seed, mol_id, split, fold_id, y, cheap features (CHEAP) and costly ones (COSTLY), which need the whole text's words.
+
+    Tasks by language: Q_ is a document's quality label, D_ its share of distinct words, which is then no feature.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    words = F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), 0)
+    share = lambda a, b: a.cast("double") / F.greatest(F.lit(1), b).cast("double")
+    gone = lambda kept: F.length(F.regexp_replace(text, kept, ""))
+    distinct = share(F.size(F.array_distinct(words)), F.size(words))
+    d = read_table(spark, sf_dir, "documents").join(read_table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
+    d = d.select(
+        "doc_id", "lang", "quality", distinct.alias("distinct"), (F.length(text).cast("double") / 10000).alias("c_chars"),
+        (F.substring("source", 4, 9).cast("double") / 20).alias("c_source"), (gone(r"[^\n]+").cast("double") / 100).alias("c_lines"),
+        share(gone("[^A-Z]+"), F.length(text)).alias("g_capital"), share(gone("[^#$%&*|]+"), F.length(text)).alias("g_symbol"),
+        (share(gone(r"[\x20\x09-\x0D]+"), F.size(words)) / 10).alias("g_long"),
+    )
+    kinds = F.array(
+        F.struct(F.concat(F.lit("Q_"), "lang").alias("task"), F.lit("classification").alias("task_type"), F.col("quality").cast("double").alias("y"), F.col("distinct").alias("g_distinct")),
+        F.struct(F.concat(F.lit("D_"), "lang").alias("task"), F.lit("regression").alias("task_type"), F.col("distinct").alias("y"), F.lit(0.0).alias("g_distinct")),
+    )
+    rows = d.select("*", F.inline(kinds)).where("y is not null").withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(SEEDS - 1))))
+    part = (F.col("doc_id") * 31 + F.col("seed") * 7 + 3) % 10
+    return rows.select(
+        "task", "task_type", "seed", F.col("doc_id").alias("mol_id"), F.when(part < 6, "train").when(part < 8, "val").otherwise("test").alias("split"),
+        ((F.col("doc_id") * 17 + F.col("seed")) % 5).cast("int").alias("fold_id"), "y", *CHEAP, *COSTLY,
+    )
+
+
+MODALITIES = r"""texts AS (
+  SELECT doc_id, lang, source, quality, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+  FROM documents LEFT JOIN (SELECT doc_id, quality FROM labels) USING (doc_id)
+),
+facts AS (
+  SELECT doc_id, lang, cast(quality AS DOUBLE) AS quality, cast(len(list_distinct(w)) AS DOUBLE) / greatest(1, len(w)) AS distinct_share,
+    cast(length(t) AS DOUBLE) / 10000 AS c_chars, cast(substring(source, 4) AS DOUBLE) / 20 AS c_source,
+    cast(length(regexp_replace(t, '[^\n]+', '', 'g')) AS DOUBLE) / 100 AS c_lines,
+    cast(length(regexp_replace(t, '[^A-Z]+', '', 'g')) AS DOUBLE) / greatest(1, length(t)) AS g_capital,
+    cast(length(regexp_replace(t, '[^#$%&*|]+', '', 'g')) AS DOUBLE) / greatest(1, length(t)) AS g_symbol,
+    cast(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS DOUBLE) / greatest(1, len(w)) / 10 AS g_long
+  FROM texts
+),
+modalities AS (
+  SELECT task, task_type, seed, doc_id AS mol_id, y, c_chars, c_source, c_lines, g_capital, g_symbol, g_distinct, g_long,
+    CASE WHEN (doc_id * 31 + seed * 7 + 3) % 10 < 6 THEN 'train' WHEN (doc_id * 31 + seed * 7 + 3) % 10 < 8 THEN 'val' ELSE 'test' END AS split
+  FROM (
+    SELECT *, 'Q_' || lang AS task, 'classification' AS task_type, quality AS y, distinct_share AS g_distinct FROM facts
+    UNION ALL SELECT *, 'D_' || lang, 'regression', distinct_share, cast(0 AS DOUBLE) FROM facts
+  ), (SELECT cast(unnest(range(0, 5)) AS INT) AS seed) WHERE y IS NOT NULL
+)"""

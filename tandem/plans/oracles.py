@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .fixtures import EXPERTS, ITEMS, MANIFEST, MEMBERS, PAIRED
+from .fixtures import CHEAP, COSTLY, EXPERTS, ITEMS, MANIFEST, MEMBERS, MODALITIES, PAIRED
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -665,3 +665,26 @@ add(
 )
 add("multi_csv_concat", "SELECT n_nationkey::BIGINT AS n_nationkey, n_name, n_regionkey::BIGINT AS n_regionkey FROM nation")
 add("flexibility_score", f"SELECT task, {r('sum(rotatable + cast(0.05 AS DOUBLE) * length(task))')} AS flexibility, count(*) AS n FROM manifest GROUP BY task", MANIFEST)
+# --- models
+_COLS = ["cast(1 AS DOUBLE)", *CHEAP, *COSTLY, "y"]
+add(
+    "stacker_gram_sums",
+    "SELECT task, task_type, seed::BIGINT AS seed, i, j, value FROM ("
+    + " UNION ALL ".join(
+        f"SELECT task, task_type, seed, {i}::BIGINT AS i, {j}::BIGINT AS j, {r(f'sum({_COLS[i]} * {_COLS[j]})')} AS value FROM modalities WHERE split = 'val' GROUP BY task, task_type, seed"
+        for i in range(len(_COLS))
+        for j in range(i, len(_COLS))
+    )
+    + ")",
+    MODALITIES,
+)
+_P = clip("pred")
+add(
+    "mixture_em_step",
+    f"""SELECT task, task_type, seed::BIGINT AS seed, member, {r('avg(r)')} AS weight, {r('sqrt(sum(r * e) / sum(r))')} AS deviation FROM (
+  SELECT *, own / sum(own) OVER (PARTITION BY task, seed, mol_id) AS r FROM (
+    SELECT *, CASE WHEN task_type = 'classification' THEN CASE WHEN y = 1 THEN {_P} ELSE 1 - {_P} END ELSE greatest(1e-300, exp(-e / (2 * s * s)) / s) END AS own FROM (
+      SELECT *, sqrt(avg(e) OVER (PARTITION BY task, seed, member)) AS s FROM (SELECT *, (y - pred) * (y - pred) AS e FROM members JOIN (SELECT DISTINCT task, task_type FROM paired) USING (task) WHERE split = 'val'))))
+GROUP BY task, task_type, seed, member""",
+    MEMBERS,
+)

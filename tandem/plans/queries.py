@@ -8,11 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tandem.functions import scalars as S
-from tandem.operators import ensembles, inference, metrics, relational, routing, selection, splits
-from tandem.sources.tables import read_table, scratch_path
+from tandem.operators import ensembles, fusion, inference, linear, metrics, relational, routing, selection, splits, trees
+from tandem.operators.routers import OBJECTIVES, out_of_fold_scores
+from tandem.sources.tables import read_table, scratch_path, written
 from tandem.streaming import monitor
 
-from .fixtures import experts, fingerprints, items, manifest, members, paired
+from .fixtures import CHEAP, COSTLY, experts, fingerprints, items, manifest, members, modalities, paired
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -890,6 +891,93 @@ def greedy_ensemble(spark, sf):
     return rounded(ensembles.greedy_ensemble(members(spark, sf), ["task", "seed"]))
 
 
+# --- models ------------------------------------------------------------------------------------------------------
+
+#: Trees and depth of the registered fits.
+TREES, DEPTH = 20, 6
+
+
+@query
+def fusion_methods(spark, sf):
+    """Every metric of nine ways to fuse cheap and costly features."""
+    fused = fusion.fuse(modalities(spark, sf), GROUP, CHEAP, COSTLY, TREES, DEPTH)
+    return rounded(fusion.fusion_metrics(fused, GROUP))
+
+
+@query
+def stacker_gram_sums(spark, sf):
+    """The sums from which all penalties of the stacker are solved."""
+    rows = modalities(spark, sf).where("split = 'val'")
+    return rounded(linear.gram_sums(rows, GROUP, [*CHEAP, *COSTLY]))
+
+
+@query
+def mixture_em_step(spark, sf):
+    """Members' weights after one round of expectation and maximisation."""
+    return rounded(fusion.mixture_weights(members(spark, sf), GROUP, rounds=1))
+
+
+@query
+def baseline_matrix(spark, sf):
+    """The endpoint metric of linear, kernel and tree models on all features."""
+    rows = modalities(spark, sf)
+    features, out = [*CHEAP, *COSTLY], None
+    for kind in ("classification", "regression"):
+        train, test = (rows.where((F.col("task_type") == kind) & (F.col("split") == s)) for s in ("train", "test"))
+        if kind == "classification":
+            forest = trees.extra_trees(train, GROUP, features, "y", [0.0, 1.0], trees=TREES, leaf=1, depth=DEPTH)
+            got = forest.predict(test, "ExtraTrees").withColumn("ExtraTrees", F.col("ExtraTrees")[1])
+            got = linear.balanced_logistic(train, GROUP, features).predict(got, "LR")
+            got = linear.kernel_classifier(train, GROUP, features, landmarks=32).predict(got, "SVM_RBF")
+            names = ["ExtraTrees", "LR", "SVM_RBF"]
+        else:
+            got = trees.extra_trees(train, GROUP, features, "y", trees=TREES, leaf=1, depth=DEPTH).predict(test, "ExtraTrees")
+            got = linear.ridge_cv(train, GROUP, features, penalties=[1.0]).predict(got, "Ridge")
+            got = linear.kernel_regressor(train, GROUP, features, strength=30.0, epsilon=0.05, gamma=0.1, landmarks=32).predict(got, "SVR_RBF")
+            got = linear.kernel_ridge(train, GROUP, features, penalty=0.03, gamma=0.1, landmarks=32).predict(got, "KRR_RBF")
+            names = ["ExtraTrees", "Ridge", "SVR_RBF", "KRR_RBF"]
+        long = got.select(*GROUP, "y", F.inline(F.array(*[F.struct(F.lit(n).alias("method"), F.col(n).alias("pred")) for n in names]))).where("pred is not null")
+        scored = metrics.endpoint_metric(long, [*GROUP, "method"])
+        out = scored if out is None else out.unionByName(scored)
+    return rounded(out)
+
+
+ROUTER_FEATURES = {"prediction": ["pred2d", "uncertainty"], "full": ["pred2d", "uncertainty", "score", "cost"]}
+
+
+def objective_rows(spark, sf, group: str) -> DataFrame:
+    """Validation rows with every objective's out-of-fold score."""
+    v = routing.with_utilities(paired(spark, sf).where("split = 'val'"))
+    v = routing.uncertainty(v, ["task", "seed"], v).withColumn("fold_id", (F.col("mol_id") % 5).cast("int"))
+    rows = out_of_fold_scores(v, GROUP, "fold_id", 5, ROUTER_FEATURES[group], trees=TREES // 2, depth=DEPTH)
+    return written(rows, "objectives")
+
+
+@query
+def router_objectives(spark, sf):
+    """Integrated gain of six objectives' out-of-fold scores."""
+    rows = objective_rows(spark, sf, "full")
+    c = routing.routing_curves(rows, GROUP, {n: F.coalesce(F.col(n), F.lit(0.0)) for n in OBJECTIVES})
+    return rounded(metrics.integrated_gain(c, [*GROUP, "router"]))
+
+
+@query
+def objective_grid(spark, sf):
+    """The best of objective, feature group and gate by out-of-fold gain, then NDCG."""
+    path, best = scratch_path(spark, "grid"), [*GROUP, "candidate", "place"]
+    for i, group in enumerate(ROUTER_FEATURES):
+        each = F.array(*[F.struct(F.lit(f"{n}/{group}").alias("candidate"), F.lit(k * len(ROUTER_FEATURES) + i).alias("place"), F.col(n).alias("s")) for k, n in enumerate(OBJECTIVES)])
+        rows = objective_rows(spark, sf, group).select(*GROUP, "mol_id", "fold_id", "y", "pred2d", "pred3d", "utility", F.inline(each))
+        rows.write.mode("append").parquet(path)
+    rows = selection.fold_scores(spark.read.schema(rows.schema).parquet(path), best, "fold_id", "s")
+    gates = rows.groupBy(*best).agg(F.percentile("s", F.lit(0.5)).alias("half"))
+    gates = gates.select(*best, F.inline(F.array(F.struct(F.lit(0).alias("gate"), F.lit(None).cast("double").alias("threshold")), F.struct(F.lit(1).alias("gate"), F.col("half").alias("threshold")))))
+    curve = selection.gated_performance(rows.join(gates, best), [*best, "gate"], "s", "threshold")
+    big = metrics.integrated_gain(curve, [*best, "gate"]).select(*best, "gate", F.round("area", 10).alias("big"))
+    n = metrics.ndcg(rows, best, "s", "utility", 20).withColumn("ndcg", F.round("ndcg", 10))
+    return rounded(selection.lexicographic_best(big.join(n, best), GROUP, "big", "ndcg", ["place", "gate"]).select("task", "seed", "candidate", "gate", "big", "ndcg"))
+
+
 # --- streams -----------------------------------------------------------------------------------------------------
 
 

@@ -32,6 +32,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The table as written to a new folder of scratch_path: its lineage is cut there, and it outlives lost executors."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_csv(spark: SparkSession, paths: str | Sequence[str], schema: str, recursive: bool = False) -> DataFrame:
     """CSV files with a header, gzipped or not, under a given schema; `nan` and empty fields are NULL.
 
