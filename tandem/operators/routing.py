@@ -221,18 +221,3 @@ def packed_bits(vector: str) -> Column:
         F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda a, i: a.bitwiseOR(F.call_function("shiftleft", bit(w, i), i))
     )
     return F.transform(words, word)
-
-
-def nearest_tanimoto(queries: DataFrame, train: DataFrame, item: str, words: str, block: int = 2048) -> DataFrame:
-    """item and `nearest`: the highest Tanimoto similarity with any other training item; 0 without common bits.
-
-    Blocks of queries meet blocks of training items; a task holds one pair of blocks.
-    """
-    n_train = max(1, -(-train.count() // block))
-    q = queries.select(F.col(item).alias("_q"), F.col(words).alias("_qw"), F.explode(F.sequence(F.lit(0), F.lit(n_train - 1))).alias("_block"))
-    t = train.select(F.col(item).alias("_t"), F.col(words).alias("_tw"), F.pmod(F.xxhash64(item), F.lit(n_train)).cast("int").alias("_block"))
-    bits = lambda a: F.aggregate(a, F.lit(0), lambda s, w: s + F.bit_count(w))
-    both = bits(F.zip_with("_qw", "_tw", lambda a, b: a.bitwiseAND(b)))
-    pairs = q.join(t, "_block").where("_q <> _t")
-    similarity = F.coalesce(F.try_divide(both.cast("double"), (bits("_qw") + bits("_tw") - both).cast("double")), F.lit(0.0))
-    return pairs.groupBy(F.col("_q").alias(item)).agg(F.max(similarity).alias("nearest"))

@@ -187,6 +187,13 @@ add(
 FROM f a JOIN f b ON a.vec_id <> b.vec_id AND b.vec_id % 10 < 8 GROUP BY a.vec_id""",
     "f AS (SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN cast(1 AS DOUBLE) ELSE cast(0 AS DOUBLE) END) AS b FROM embeddings)",
 )
+add(
+    "ood_support",
+    f"""SELECT a.vec_id, {r("ln(1 + (SELECT count(*) FROM embeddings c WHERE c.label = a.label AND c.vec_id % 10 < 8))")} AS support,
+  {r("1 - max(coalesce(list_inner_product(a.b, b.b) / nullif(list_sum(a.b) + list_sum(b.b) - list_inner_product(a.b, b.b), 0), 0))")} AS ood
+FROM f a JOIN f b ON a.vec_id <> b.vec_id AND b.vec_id % 10 < 8 WHERE a.vec_id % 10 >= 8 GROUP BY a.vec_id, a.label""",
+    "f AS (SELECT vec_id, label, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN cast(1 AS DOUBLE) ELSE cast(0 AS DOUBLE) END) AS b FROM embeddings)",
+)
 # --- metrics
 add(
     "mae_rmse_r2",

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tandem.functions import scalars as S
-from tandem.operators import ensembles, fusion, inference, linear, metrics, relational, routing, selection, splits, trees
+from tandem.operators import ensembles, fusion, inference, linear, metrics, nearest, relational, routing, selection, splits, trees
 from tandem.operators.routers import OBJECTIVES, out_of_fold_scores
 from tandem.sources.tables import read_table, scratch_path, written
 from tandem.streaming import monitor
@@ -170,7 +170,14 @@ def support_features(spark, sf):
 @query
 def tanimoto_nn(spark, sf):
     f = fingerprints(spark, sf).withColumn("bits", routing.packed_bits("embedding"))
-    return rounded(routing.nearest_tanimoto(f, f.where("vec_id % 10 < 8"), "vec_id", "bits"))
+    return rounded(nearest.nearest_tanimoto(f, f.where("vec_id % 10 < 8"), "vec_id", "bits"))
+
+
+@query
+def ood_support(spark, sf):
+    """How many training items share a vector's label, and how far its nearest one is."""
+    f = fingerprints(spark, sf).withColumn("bits", routing.packed_bits("embedding"))
+    return rounded(nearest.support_features(f.where("vec_id % 10 >= 8"), f.where("vec_id % 10 < 8"), "vec_id", "bits", "label"))
 
 
 # --- metrics -----------------------------------------------------------------------------------------------------
