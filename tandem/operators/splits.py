@@ -154,22 +154,71 @@ def group_split(df: DataFrame, keys: Keys, group: str, mode: str = "greedy", see
     return df.drop("split").join(dealt, [*keys, group])
 
 
-def group_folds(df: DataFrame, keys: Keys, group: str, n: int) -> DataFrame:
-    """`fold` with no group in two folds: largest group first, into the smallest fold."""
-    keys = list(keys)
-    summary = group_summary(df, keys, group)
-    fields = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in [*keys, group])
+def dealt_folds(shapes: np.ndarray, times: np.ndarray, n: int) -> list[tuple[list[int], list[int]]]:
+    """Deals groups one after the other to the fold that keeps the classes' shares most even: for every shape (a group's rows by class) the
+    first groups' folds, and the cycle that all later ones follow.
+
+    The fold of the least mean spread (the standard deviation over folds of each class's share) is taken, of equal ones that of fewest
+    rows, then the first. The choice depends on how folds differ only; once n groups of one shape in a row went to n folds, they differ as
+    before, so the same cycle follows for ever, however many groups there are.
+    """
+    have, whole = np.zeros((n, shapes.shape[1]), np.int64), np.maximum(1, (shapes * times[:, None]).sum(0))
+    out = []
+    for shape, m in zip(shapes, times.tolist(), strict=True):
+        first: list[int] = []
+        cycle: list[int] = []
+        while len(first) < m:
+            apart = have - have.min(0)
+            tried = apart[None] + np.eye(n, dtype=np.int64)[:, :, None] * shape
+            spread = (tried / whole).std(1).mean(1)
+            at = min(range(n), key=lambda k: (round(spread[k], 12), apart[k].sum(), k))  # noqa: B023
+            have[at] += shape
+            first.append(at)
+            if len(first) >= n and len(set(first[-n:])) == n:
+                cycle = first[-n:]
+                rounds, rest = divmod(m - len(first), n)
+                have += rounds * shape
+                have[cycle[:rest]] += shape
+                break
+        out.append((first, cycle))
+    return out
 
-    def deal(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["size", group], ascending=[False, True], kind="stable")
-        have, out = [0] * n, []
-        for s in rows["size"].tolist():
-            at = have.index(min(have))
-            have[at] += s
-            out.append(at)
-        return rows[[*keys, group]].assign(fold=np.array(out, np.int32))
-
-    return df.join(summary.groupBy(*keys).applyInPandas(deal, f"{fields}, fold int"), [*keys, group])
+
+def group_folds(df: DataFrame, keys: Keys, group: str, n: int, label: str | None = None) -> DataFrame:
+    """`fold` with no group in two folds; with a label, the classes' shares are kept even. NULL groups and labels are values like others.
+
+    Groups whose rows are most unequal over the classes are dealt first (without a label, the largest), into the fold where they do least harm
+    (dealt_folds). Groups with equal numbers of rows by class are alike, so the driver sees how many there are of each kind and never the groups,
+    and which of them goes where follows from its place among them.
+    """
+    keys = list(keys)
+    kind = F.to_json(F.struct(F.col(label))) if label else F.lit("")
+    cells = df.groupBy(*keys, group, kind.alias("_kind")).agg(F.count("*").alias("_n"))
+    shaped = cells.groupBy(*keys, group).agg(F.array_sort(F.collect_list(F.struct("_kind", "_n"))).alias("_cells"))
+    shaped = shaped.withColumn("_shape", F.to_json("_cells"))
+    kinds = shaped.groupBy(*keys, "_shape").agg(F.count("*").alias("_times"), F.first("_cells").alias("_cells")).collect()
+    by: dict[tuple, list] = {}
+    for r in kinds:
+        by.setdefault(tuple(r[k] for k in keys), []).append(r)
+    plans = []
+    for values, rows in by.items():
+        names = sorted({c._kind for r in rows for c in r._cells})
+        table = {r._shape: [dict((c._kind, c._n) for c in r._cells).get(x, 0) for x in names] for r in rows}
+        unequal = lambda r: np.std(table[r._shape]) if len(names) > 1 else table[r._shape][0]  # noqa: B023, E731
+        rows.sort(key=lambda r: (-round(float(unequal(r)), 12), [-x for x in table[r._shape]]))  # noqa: B023
+        shapes = np.array([table[r._shape] for r in rows], np.int64)
+        for r, (first, cycle) in zip(rows, dealt_folds(shapes, np.array([r._times for r in rows]), n), strict=True):
+            plans.append((*values, r._shape, first, cycle))
+    fields = "".join(f"`{k}` {df.schema[k].dataType.simpleString()}, " for k in keys)
+    plans = df.sparkSession.createDataFrame(plans, f"{fields}_shape string, _first array<int>, _cycle array<int>")
+    same = [*keys, "_shape"]
+    at = running(shaped.select(*same, group).withColumn("_none", F.lit(0.0)), same, "_none", {"_at": F.lit(1).cast("long")}, ties=[group])
+    at = at.join(plans, same)
+    later = F.get("_cycle", F.pmod(F.col("_at") - 1 - F.size("_first"), F.greatest(F.lit(1), F.size("_cycle"))).cast("int"))
+    fold = F.when(F.col("_at") <= F.size("_first"), F.get("_first", (F.col("_at") - 1).cast("int"))).otherwise(later)
+    found = at.select(*keys, F.col(group).alias("_group"), fold.cast("int").alias("fold"))
+    met = df.drop("fold").withColumn("_group", F.col(group))
+    return met.join(found, [*[met[k] == found[k] for k in keys], met["_group"].eqNullSafe(found["_group"])]).select(*[met[c] for c in met.columns if c != "_group"], found["fold"])
 
 
 def leaking_groups(df: DataFrame, keys: Keys, group: str) -> DataFrame:

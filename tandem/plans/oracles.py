@@ -695,3 +695,7 @@ add(
 GROUP BY task, task_type, seed, member""",
     MEMBERS,
 )
+add(
+    "array_files",
+    f"""SELECT vec_id, {r('list_sum(list_transform(embedding, lambda x: cast(x AS DOUBLE)))')} AS total, len(embedding)::BIGINT AS n FROM embeddings WHERE embedding IS NOT NULL""",
+)

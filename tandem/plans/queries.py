@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tandem.functions import scalars as S
 from tandem.operators import ensembles, fusion, inference, linear, metrics, nearest, relational, routing, selection, splits, trees
 from tandem.operators.routers import OBJECTIVES, out_of_fold_scores
+from tandem.sources.arrays import ArrayFiles
 from tandem.sources.tables import read_table, scratch_path, written
 from tandem.streaming import monitor
 
@@ -874,6 +875,29 @@ def zscore(spark, sf):
     return rounded(z.select("task", "mol_id", "z"))
 
 
+@query
+def stratified_group_folds(spark, sf):
+    """Sizes of folds of whole customers, classes kept even where the task has them."""
+    t = paired(spark, sf).where("split = 'train'")
+    cls = splits.group_folds(t.where("task_type = 'classification'").drop("fold_id"), ["task", "seed"], "group_key", 5, "y")
+    reg = splits.group_folds(t.where("task_type = 'regression'").drop("fold_id"), ["task", "seed"], "group_key", 5)
+    per = cls.unionByName(reg).groupBy("task", "seed", "fold").agg(F.count("*").alias("n"), F.countDistinct("group_key").alias("groups"), F.avg(F.when(F.col("task_type") == "classification", F.col("y"))).alias("share"))
+    return rounded(per)
+
+
+@query
+def array_files(spark, sf):
+    """Vectors as array files and back: the sum of each, found by its id in front."""
+    spark.dataSource.register(ArrayFiles)
+    path = scratch_path(spark, "arrays")
+    e = fingerprints(spark, sf).where("embedding is not null")
+    numbers = F.concat(F.array(F.col("vec_id").cast("double")), F.col("embedding").cast("array<double>"))
+    e.select(numbers.alias("values")).write.format("arrays").mode("append").save(path)
+    back = spark.read.format("arrays").load(path)
+    total = F.aggregate(F.slice("values", 2, 1 << 20), F.lit(0.0), lambda a, x: a + x)
+    return rounded(back.select(F.col("values")[0].cast("long").alias("vec_id"), total.alias("total"), (F.size("values") - 1).cast("long").alias("n")))
+
+
 # --- ensembles ---------------------------------------------------------------------------------------------------
 
 
