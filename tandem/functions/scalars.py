@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from itertools import chain
+from math import exp, factorial
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -123,3 +124,13 @@ def hashed(row: Column | str, turn: Column | str, seed: int, modulus: Column | s
     x1 = (x * x + _c(turn)) % p
     x2 = (x1 * 16807 + _c(row)) % p
     return ((x2 * x2 + 1) % p) % _c(modulus)
+
+
+#: Millionths of the Poisson distribution with mean 1 up to 0, 1, 2, ... events.
+POISSON = tuple(int(1e6 * sum(exp(-1) / factorial(i) for i in range(k + 1))) for k in range(9))
+
+
+def poisson_weight(item: Column | str, turn: Column | str, seed: int) -> Column:
+    """How often a resample draws an item: a Poisson number of mean 1 from a hash of both, so no row has to know of another."""
+    u = hashed(F.pmod(_c(item).cast("long"), F.lit(2147483647)), _c(turn).cast("long"), seed, F.lit(1_000_000))
+    return sum(((u >= cut).cast("int") for cut in POISSON[1:]), (u >= POISSON[0]).cast("int"))

@@ -2,7 +2,7 @@
 
 Two kinds of bootstrap: the exact one draws with numpy's generator inside a grouped function, rows in the order of their
 ids and draws in the order of the published protocol, so its numbers can be compared with a loop; the hashed one draws
-by integer congruences in SQL, so that a database can check it and a group of any size is spread over the cluster.
+by integer congruences in SQL, each item by itself, so that a database can check it and a group of any size stays where it lies.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from tandem.functions.scalars import hashed, ratio
+from tandem.functions.scalars import hashed, poisson_weight, ratio
 
 from .ordered import running
 from .routing import placements
@@ -124,37 +124,44 @@ def adjusted(df: DataFrame, keys: Keys, p: str, ties: Sequence[str]) -> DataFram
     ).drop("_h", "_b")
 
 
-def hashed_lcb(df: DataFrame, keys: Keys, value: str, item: str, repeats: int = 200, quantile: float = 0.025, seed: int = 0, least: int = 8) -> DataFrame:
-    """n, mean and lcb: the quantile of means over hashed resamples. Groups below `least` have no bound.
-
-    A resample is a multiset of places, so rows are weighted by how often their place is drawn: repeats and rows
-    multiply, but only counts by (group, repeat) are kept after partial aggregation.
-    """
+def hashed_lcb(df: DataFrame, keys: Keys, value: str, item: str, repeats: int = 1000, quantile: float = 0.025, seed: int = 0, least: int = 8) -> DataFrame:
+    """n, mean and lcb: the quantile of means over hashed resamples. Groups below `least` have no bound."""
     return hashed_quantiles(df, keys, value, item, {"lcb": quantile}, repeats, seed, least)
 
 
-def hashed_quantiles(df: DataFrame, keys: Keys, value: str, item: str, quantiles: Mapping[str, float], repeats: int = 200, seed: int = 0, least: int = 8) -> DataFrame:
-    """n, mean and, by name, quantiles of the means over the same hashed resamples; NULL in groups below `least`."""
+def hashed_quantiles(df: DataFrame, keys: Keys, value: str, item: str, quantiles: Mapping[str, float], repeats: int = 1000, seed: int = 0, least: int = 8) -> DataFrame:
+    """n, mean and, by name, quantiles of the means over the same hashed resamples; NULL in groups below `least`.
+
+    A resample takes each item a Poisson number of times, by a hash of the item (a whole number) and the resample, so a row
+    is weighted where it lies: nothing is joined or ordered, and what is shuffled is two sums for each group and resample.
+    NULL values count in n only.
+    """
     keys = list(keys)
-    own = running(df.withColumn("_own", F.col(item).cast("double")), keys, "_own", {"_at": F.lit(1).cast("long")}, ties=[item])
     sizes = df.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
-    draws = own.join(sizes.select(*keys, "n"), keys).select(*keys, "n", (F.col("_at") - 1).alias("_slot"), F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("_turn"))
-    draws = draws.withColumn("_pick", hashed(F.col("_slot").cast("long"), F.col("_turn").cast("long"), seed, F.col("n").cast("long")))
-    picks = draws.groupBy(*keys, "_turn", "_pick").agg(F.count("*").alias("_times"))
-    drawn = picks.join(own.select(*keys, (F.col("_at") - 1).alias("_pick"), F.col(value).alias("_v")), [*keys, "_pick"])
-    means = drawn.groupBy(*keys, "_turn").agg((F.sum(F.col("_times") * F.col("_v")) / F.sum("_times")).alias("_mean"))
+    turns = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"), F.col(item).alias("_i"), F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("_turn"))
+    drawn = turns.withColumn("_w", poisson_weight("_i", "_turn", seed))
+    means = drawn.groupBy(*keys, "_turn").agg(F.try_divide(F.sum(F.col("_w") * F.col("_v")), F.sum("_w")).alias("_mean"))
     bound = means.groupBy(*keys).agg(*[F.percentile("_mean", F.lit(q)).alias(name) for name, q in quantiles.items()])
     out = sizes.join(bound, keys)
     return out.select(*keys, "n", "mean", *[F.when(F.col("n") >= least, F.col(name)).alias(name) for name in quantiles])
 
 
-def hashed_sign_test(df: DataFrame, keys: Keys, value: str, item: str, repeats: int = 500, seed: int = 0) -> DataFrame:
-    """n, mean, p (one-sided, towards the mean's own side) and p_two: how many hashed sign flips reach the mean; never below 1 / repeats."""
-    keys = list(keys)
-    own = running(df.withColumn("_own", F.col(item).cast("double")), keys, "_own", {"_at": F.lit(1).cast("long")}, ties=[item])
-    flips = own.select(*keys, F.col(value).alias("_v"), "_at", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("_turn"))
-    coin = hashed(F.col("_at"), F.col("_turn").cast("long"), seed, F.lit(2).cast("long"))
-    sums = flips.groupBy(*keys, "_turn").agg(F.avg(F.when(coin == 1, F.col("_v")).otherwise(-F.col("_v"))).alias("_m"))
+#: Coins that one hash gives.
+COINS = 16
+
+
+def hashed_sign_test(df: DataFrame, keys: Keys, value: str, item: str, repeats: int = 20_000, seed: int = 0) -> DataFrame:
+    """n, mean, p (one-sided, towards the mean's own side) and p_two: how many hashed sign flips reach the mean; never below 1 / repeats.
+
+    A hash of an item (a whole number) has the signs of COINS flips, so a row is met once for each COINS of them, where it lies.
+    """
+    keys, blocks = list(keys), -(-repeats // COINS)
+    flips = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"), F.col(item).alias("_i"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"))
+    coins = flips.withColumn("_coins", hashed(F.pmod(F.col("_i").cast("long"), F.lit(2147483647)), F.col("_block").cast("long"), seed, F.lit(1 << COINS)))
+    up = lambda b: F.col("_coins").bitwiseAND(1 << b) != 0
+    means = [F.avg(F.when(up(b), F.col("_v")).otherwise(-F.col("_v"))).alias(f"_m{b}") for b in range(COINS)]
+    each = F.posexplode(F.array(*[F.col(f"_m{b}") for b in range(COINS)])).alias("_b", "_m")
+    sums = coins.groupBy(*keys, "_block").agg(*means).select(*keys, "_block", each).where(F.col("_block") * COINS + F.col("_b") < repeats)
     seen = df.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
     m, mean = F.round("_m", 12), F.round("mean", 12)
     share = lambda c: F.greatest(F.avg(c.cast("double")), F.lit(1 / repeats))

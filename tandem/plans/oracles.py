@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from .fixtures import CHEAP, COSTLY, EXPERTS, ITEMS, MANIFEST, MEMBERS, MODALITIES, PAIRED
 
 ORACLE_SQL: dict[str, str] = {}
@@ -287,9 +289,18 @@ add(
     *G,
 )
 add("rank_routers", f"SELECT task, router, {r('area')} AS area, rank() OVER (PARTITION BY task ORDER BY area DESC) AS rank FROM (SELECT task, router, round(avg(area), 10) AS area FROM gains GROUP BY ALL)", *G)
-BOOT = f"""slots AS (SELECT task, seed, utility, row_number() OVER (PARTITION BY task, seed ORDER BY mol_id) - 1 AS slot, count(*) OVER (PARTITION BY task, seed) AS n FROM uv),
-draws AS (SELECT task, seed, n, turn, {hashed('slot', 'turn', 0, 'n')} AS pick FROM slots, (SELECT unnest(range(0, 200)) AS turn)),
-means AS (SELECT d.task, d.seed, d.turn, avg(s.utility) AS m FROM draws d JOIN slots s ON d.task = s.task AND d.seed = s.seed AND d.pick = s.slot GROUP BY ALL),
+POISSON = [math.floor(1e6 * sum(math.exp(-1) / math.factorial(i) for i in range(k + 1))) for k in range(9)]
+
+
+def weighted(columns: str, item: str, source: str, repeats: int) -> str:
+    """The source once for each resample, with w, how often the resample draws the item."""
+    u = hashed(f"({item} % 2147483647)", "turn", 0, "1000000")
+    w = " + ".join(f"(u >= {c})::INT" for c in POISSON)
+    return f"SELECT *, {w} AS w FROM (SELECT {columns}, turn, {u} AS u FROM {source}, (SELECT unnest(range(0, {repeats})) AS turn))"
+
+
+BOOT = f"""weighted AS ({weighted('task, seed, utility', 'mol_id', 'uv', 1000)}),
+means AS (SELECT task, seed, turn, sum(w * utility) / sum(w) AS m FROM weighted GROUP BY ALL),
 bounds AS (
   SELECT task, seed, n, mean, CASE WHEN n >= 8 THEN lcb END AS lcb FROM (SELECT task, seed, quantile_cont(m, 0.025) AS lcb FROM means GROUP BY ALL)
   JOIN (SELECT task, seed, count(*) AS n, avg(utility) AS mean FROM uv GROUP BY ALL) USING (task, seed)
@@ -394,10 +405,11 @@ add("hashed_bootstrap_lcb", f"SELECT task, seed::BIGINT AS seed, n, {r('mean')}
 add(
     "hashed_sign_perm",
     f"""SELECT task, seed::BIGINT AS seed, any_value(n) AS n, {r('any_value(mean)')} AS mean,
-  {r('greatest(avg((CASE WHEN round(mean, 12) >= 0 THEN round(m, 12) >= round(mean, 12) ELSE round(m, 12) <= round(mean, 12) END)::DOUBLE), 1 / 500::DOUBLE)')} AS p,
-  {r('greatest(avg((abs(round(m, 12)) >= abs(round(mean, 12)))::DOUBLE), 1 / 500::DOUBLE)')} AS p_two FROM (
+  {r('greatest(avg((CASE WHEN round(mean, 12) >= 0 THEN round(m, 12) >= round(mean, 12) ELSE round(m, 12) <= round(mean, 12) END)::DOUBLE), 1 / 20000::DOUBLE)')} AS p,
+  {r('greatest(avg((abs(round(m, 12)) >= abs(round(mean, 12)))::DOUBLE), 1 / 20000::DOUBLE)')} AS p_two FROM (
   SELECT task, seed, turn, avg(CASE WHEN coin = 1 THEN utility ELSE -utility END) AS m, avg(utility) AS mean, count(*) AS n FROM (
-    SELECT *, {hashed('place', 'turn', 0, '2')} AS coin FROM (SELECT *, row_number() OVER (PARTITION BY task, seed ORDER BY mol_id) AS place FROM uv), (SELECT unnest(range(0, 500)) AS turn)) GROUP BY ALL
+    SELECT *, (coins >> (turn % 16)) & 1 AS coin FROM (SELECT *, {hashed('(mol_id % 2147483647)', 'block', 0, '65536')} AS coins FROM uv, (SELECT unnest(range(0, 1250)) AS block))
+    JOIN (SELECT unnest(range(0, 20000)) AS turn) ON block = turn // 16) GROUP BY ALL
 ) GROUP BY task, seed""",
     PAIRED, UTIL, UV,
 )
@@ -408,33 +420,29 @@ add(
 )
 
 
-def booted(source: str, keys: str, value: str, item: str, quantiles: str) -> str:
-    """keys, n, mean and the quantiles of means over 200 hashed resamples of the source."""
-    same = " AND ".join(f"d.{k.strip()} = s.{k.strip()}" for k in keys.split(","))
-    mine = ", ".join(f"d.{k.strip()}" for k in keys.split(","))
-    slots = f"SELECT {keys}, {value} AS v, row_number() OVER (PARTITION BY {keys} ORDER BY {item}) - 1 AS slot, count(*) OVER (PARTITION BY {keys}) AS n FROM {source}"
-    return f"""SELECT * FROM (SELECT {keys}, {quantiles} FROM (
-    SELECT {mine}, d.turn, avg(s.v) AS m FROM (SELECT {keys}, turn, {hashed('slot', 'turn', 0, 'n')} AS pick FROM ({slots}), (SELECT unnest(range(0, 200)) AS turn)) d
-    JOIN ({slots}) s ON {same} AND d.pick = s.slot GROUP BY ALL) GROUP BY {keys}) JOIN (SELECT {keys}, count(*) AS n, avg({value}) AS mean FROM {source} GROUP BY {keys}) USING ({keys})"""
+def booted(source: str, keys: str, value: str, item: str, quantiles: str, repeats: int) -> str:
+    """keys, n, mean and the quantiles of means over hashed resamples of the source."""
+    return f"""SELECT * FROM (SELECT {keys}, {quantiles} FROM (SELECT {keys}, turn, sum(w * v) / sum(w) AS m FROM ({weighted(f'{keys}, {value} AS v', item, source, repeats)}) GROUP BY ALL) GROUP BY {keys})
+  JOIN (SELECT {keys}, count(*) AS n, avg({value}) AS mean FROM {source} GROUP BY {keys}) USING ({keys})"""
 
 
 CHOSEN = f"chosen AS (SELECT * FROM {top('ut', 'score', '20')} WHERE sel)"
 add(
     "lcb_alpha_sweep",
     f"""SELECT task, seed::BIGINT AS seed, n, {r('mean')} AS mean, alpha::DOUBLE AS alpha, {r('lcb')} AS lcb, lcb > 0 AS permit, lcb > 0 AND mean <= 0 AS false_safe FROM (
-  SELECT task, seed, n, mean, unnest([0.01, 0.025, 0.05, 0.1]) AS alpha, unnest(q) AS lcb FROM ({booted('chosen', 'task, seed', 'utility', 'mol_id', 'quantile_cont(m, [0.01, 0.025, 0.05, 0.1]) AS q')}))""",
+  SELECT task, seed, n, mean, unnest([0.01, 0.025, 0.05, 0.1]) AS alpha, unnest(q) AS lcb FROM ({booted('chosen', 'task, seed', 'utility', 'mol_id', 'quantile_cont(m, [0.01, 0.025, 0.05, 0.1]) AS q', 2000)}))""",
     PAIRED, UTIL, UT, CHOSEN,
 )
 add(
     "utility_lcb_permission",
     f"""SELECT task, seed::BIGINT AS seed, n, {r('mean')} AS mean, {r('CASE WHEN n >= 8 THEN lcb END')} AS lcb, CASE WHEN n >= 8 AND lcb > 0 AND mean > 0 THEN 'call' ELSE 'abstain' END AS decision
-FROM ({booted('chosen', 'task, seed', 'utility', 'mol_id', 'quantile_cont(m, 0.025) AS lcb')})""",
+FROM ({booted('chosen', 'task, seed', 'utility', 'mol_id', 'quantile_cont(m, 0.025) AS lcb', 500)})""",
     PAIRED, UTIL, UV, f"chosen AS (SELECT * FROM {top('uv', 'score', '20')} WHERE sel)",
 )
 add(
     "paired_delta_ci",
     f"""SELECT contrast, n, {r('mean')} AS mean, {r('CASE WHEN n >= 8 THEN q[1] END')} AS low, {r('CASE WHEN n >= 8 THEN q[2] END')} AS high
-FROM ({booted('pairs', 'contrast', 'delta', 'pair', 'quantile_cont(m, [0.025, 0.975]) AS q')})""",
+FROM ({booted('pairs', 'contrast', 'delta', 'pair', 'quantile_cont(m, [0.025, 0.975]) AS q', 1000)})""",
     *G, WIDE, "pairs AS (SELECT 'score-uncertain' AS contrast, score - uncertain AS delta, ascii(substr(task, 3, 1)) * 10 + seed AS pair FROM wide)",
 )
 add(

@@ -472,7 +472,7 @@ def lcb_alpha_sweep(spark, sf):
     """Bounds of the selected items' mean utility at four levels, and whether they would permit."""
     t = routing.top_budget(routing.with_utilities(test_rows(spark, sf)), ["task", "seed"], "score", 20).where("selected")
     levels = {"a010": 0.01, "a025": 0.025, "a050": 0.05, "a100": 0.1}
-    b = inference.hashed_quantiles(t, ["task", "seed"], "utility", "mol_id", levels, least=1)
+    b = inference.hashed_quantiles(t, ["task", "seed"], "utility", "mol_id", levels, repeats=2000, least=1)
     rows = F.array(*[F.struct(F.lit(v).alias("alpha"), F.col(k).alias("lcb")) for k, v in levels.items()])
     out = b.select("task", "seed", "n", "mean", F.inline(rows))
     return rounded(out.withColumn("permit", F.col("lcb") > 0).withColumn("false_safe", (F.col("lcb") > 0) & (F.col("mean") <= 0)))
@@ -482,7 +482,7 @@ def lcb_alpha_sweep(spark, sf):
 def utility_lcb_permission(spark, sf):
     """Call or abstain on the bound of the utility of what would be selected on the validation side."""
     v = routing.top_budget(routing.with_utilities(paired(spark, sf).where("split = 'val'")), ["task", "seed"], "score", 20).where("selected")
-    b = inference.hashed_lcb(v, ["task", "seed"], "utility", "mol_id")
+    b = inference.hashed_lcb(v, ["task", "seed"], "utility", "mol_id", repeats=500)
     return rounded(selection.safe_decision(b, F.col("mean")))
 
 
