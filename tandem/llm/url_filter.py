@@ -2,9 +2,10 @@
 
 Every host has a tree of path segments. Level by level, a segment becomes the wildcard `*` where it is one of many
 rare siblings or looks like a number; labelled sibling branches whose share of bad URLs does not differ from the rest
-of their siblings (a two-sided z test) are merged under the wildcard too. A path that is alone under its node takes
-the rest of its segments at once, as its branch has no siblings any more; so levels end where no two paths of a host
-share a beginning, whatever the depth. The leaves are templates.
+of their siblings (a two-sided z test) are merged under the wildcard too. Where all paths under a node go on alike, as
+far as they go on, the whole stretch up to the next branching is taken at once, and a path that is alone takes all its
+segments; so there are as many levels as branchings on a path, whatever its depth: two paths that share a thousand
+segments take one level. The leaves are templates.
 
 A template's purity is its share of bad labels, smoothed towards the share that the same template has on all hosts,
 that towards the host's share, and that towards the overall one. So a template without labels of its own is judged by
@@ -56,10 +57,10 @@ def _part(*columns: str) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(SALTS)).cast("int")
 
 
-def _summed(rows: DataFrame, key: list[str], part: Column, sums: dict[str, Column]) -> DataFrame:
-    """key, part and the sums over all rows of a key, a row for each part that the key has."""
+def _summed(rows: DataFrame, key: list[str], part: Column, sums: dict[str, Column], add=F.sum) -> DataFrame:
+    """key, part and the sums (or what `add` makes of the parts') over all rows of a key, a row for each part that the key has."""
     parts = rows.groupBy(*key, part.alias("part")).agg(*(c.alias(n) for n, c in sums.items()))
-    whole = parts.groupBy(*key).agg(*(F.sum(n).alias(n) for n in sums), F.collect_set("part").alias("parts"))
+    whole = parts.groupBy(*key).agg(*(add(n).alias(n) for n in sums), F.collect_set("part").alias("parts"))
     return whole.withColumn("part", F.explode("parts")).drop("parts")
 
 
@@ -67,10 +68,9 @@ def _step(seg: Column) -> Column:
     return F.when(seg.rlike(r"^[0-9]+(\.[a-z0-9]+)?$"), F.lit("*")).otherwise(seg)
 
 
-def _level(tree: DataFrame, depth: int, many: int, rare: float, z: float, least: int) -> DataFrame:
-    """Appends the segment at this depth, or `*`, to the templates, and the rest of the segments where a path is alone."""
-    seg = F.get("segments", F.lit(depth))
-    node = ["host", "template"]
+def _level(tree: DataFrame, many: int, rare: float, z: float, least: int) -> DataFrame:
+    """Moves every path's next segment, or `*`, from its rest to its template."""
+    node, seg = ["host", "template"], F.get("rest", F.lit(0))
     kids = tree.groupBy(*node, seg.alias("seg")).agg(
         F.count("*").alias("paths"), F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")
     )
@@ -86,34 +86,47 @@ def _level(tree: DataFrame, depth: int, many: int, rare: float, z: float, least:
     )
     steps = kids.withColumn("part", _part("seg")).join(parents, [*node, "part"])
     steps = steps.select(*node, "seg", F.when(scarce | alike, F.lit("*")).otherwise(_step(F.col("seg"))).alias("step"))
-    # a path is alone where no other goes through the node that it is at now: wildcards bring paths together
-    grown = tree.withColumn("seg", seg).join(steps, [*node, "seg"]).withColumn("template", F.concat("template", F.lit("/"), "step"))
-    return grown.drop("seg", "step")
-
-
-def _alone(tree: DataFrame, depth: int) -> DataFrame:
-    """Paths that are alone under their template (and those that end at it) as `done`, with the template finished."""
-    more = F.size("segments") > depth
-    counts = tree.where(more).groupBy("host", "template").agg(F.count("*").alias("through")).where("through > 1")
-    shared = tree.join(counts.select("host", "template", F.lit(True).alias("shared")), ["host", "template"], "left")
-    done = ~more | F.col("shared").isNull()
-    tail = F.transform(F.slice("segments", depth + 1, F.greatest(F.size("segments") - depth, F.lit(0))), _step)
-    whole = F.when(done & more, F.concat_ws("/", "template", F.array_join(tail, "/"))).otherwise(F.col("template"))
-    return shared.select("host", "path", "n", "labelled", "bad", "segments", whole.alias("template"), done.alias("done"))
+    # a segment that many paths share meets its step in parts of the paths
+    wide = _summed(tree.withColumn("seg", seg), [*node, "seg"], _part("path"), {"_n": F.count("*")}).join(steps, [*node, "seg"])
+    grown = tree.withColumns({"seg": seg, "part": _part("path")}).join(wide.drop("_n"), [*node, "seg", "part"])
+    left = F.slice("rest", 2, F.greatest(F.size("rest") - 1, F.lit(0)))
+    return grown.withColumns({"template": F.concat("template", F.lit("/"), "step"), "rest": left}).select(*tree.columns)
+
+
+def _stretch(tree: DataFrame) -> DataFrame:
+    """Moves from each path's rest to its template what all paths under its node have in common, as far as they reach; a path that is alone,
+    or only the beginning of others, moves all its segments."""
+    node, kept = ["host", "template"], tree.columns
+    rows = tree.withColumn("part", _part("path"))
+    longest = _summed(rows, node, F.col("part"), {"last": F.max("rest")}, F.max)
+    met = rows.join(longest, [*node, "part"])
+    # where a path parts from the last one in order; any two that part do so where one of them parts from that
+    apart = F.array_position(F.zip_with("rest", "last", lambda a, b: F.coalesce(a == b, F.lit(False))), F.lit(False)) - 1
+    met = met.withColumn("apart", F.when((apart >= 0) & (apart < F.size("rest")), apart.cast("int"))).drop("last")
+    first = _summed(met, node, F.col("part"), {"common": F.min("apart")}, F.min)
+    met = met.drop("apart").join(first, [*node, "part"])
+    size = F.least(F.coalesce("common", F.size("rest")), F.size("rest"))
+    taken = F.transform(F.slice("rest", 1, size), _step)
+    return met.withColumns(
+        {
+            "template": F.when(size > 0, F.concat_ws("/", "template", F.array_join(taken, "/"))).otherwise(F.col("template")),
+            "rest": F.slice("rest", size + 1, F.size("rest") - size),
+        }
+    ).select(*kept)
 
 
 def template_tree(paths: DataFrame, scratch: Scratch, many: int = 8, rare: float = 0.1, z: float = 1.96, least: int = 5) -> DataFrame:
     """paths: host, path, n, labelled, bad. Adds the template."""
     segments = F.filter(F.split("path", "/"), lambda s: s != "")
-    tree, level = paths.withColumn("segments", segments).withColumn("template", F.lit("")), 0
+    tree, level = paths.withColumn("rest", segments).withColumn("template", F.lit("")), 0
     while True:
-        split = scratch.keep(_alone(tree, level), f"level{level}")
-        scratch.append(split.where("done").drop("done", "segments"), "leaves")
+        split = scratch.keep(_stretch(tree), f"level{level}")
+        scratch.append(split.where(F.size("rest") == 0).drop("rest"), "leaves")
         scratch.drop(f"level{level - 1}")
-        tree = split.where("not done").drop("done")
+        tree = split.where(F.size("rest") > 0)
         if tree.isEmpty():
             return scratch.read("leaves")
-        tree, level = _level(tree, level, many, rare, z, least), level + 1
+        tree, level = _level(tree, many, rare, z, least), level + 1
 
 
 def _purity(leaves: DataFrame, smoothing: float, overall: float) -> DataFrame:
@@ -165,7 +178,9 @@ def judge_urls(
     overall = ((total[1] or 0) + 1) / ((total[0] or 0) + 2)
     reject = (F.col("evidence") >= least) & (F.col("purity") >= threshold)
     judged = _purity(leaves, smoothing, overall).select("host", "template", "purity", F.when(reject, "block").otherwise("allow").alias("learnt"))
-    verdicts = tree.select("host", "path", "template").join(judged, ["host", "template"])
+    # a template that many paths have meets them in parts
+    wide = _summed(tree, ["host", "template"], _part("path"), {"_n": F.count("*")}).drop("_n").join(judged, ["host", "template"])
+    verdicts = tree.select("host", "path", "template", _part("path").alias("part")).join(wide, ["host", "template", "part"]).drop("part")
     return parsed.join(verdicts, ["host", "path"], "left").select(
         "page_id", "host", "path", "rule", "template", "purity", F.coalesce("ruled", "learnt", F.lit("allow")).alias("verdict")
     )

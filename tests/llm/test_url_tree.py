@@ -101,6 +101,31 @@ def test_deep_paths_null_and_repeated_urls(spark):
     assert compare(spark, urls, {i: 1 for i in range(6, 20)})["block"] == 20
 
 
+def test_long_shared_stretches_take_few_levels(spark, monkeypatch):
+    levels, level = [], url_filter._level
+    monkeypatch.setattr(url_filter, "_level", lambda *a: levels.append(1) or level(*a))
+    long = "http://x.y/" + "".join(f"s{k}/" if k % 7 else f"{k}/" for k in range(1000))
+    urls = [(0, long + "a/b"), (1, long + "c"), (2, long[:40]), (3, long), (4, "http://x.y/s1"), (5, "http://x.y/other/1/2"), (6, long + "c/d")]
+    # a comb: paths of one chain that end at every depth
+    urls += [(100 + k, "http://comb.y" + "".join(f"/t{i}" for i in range(k))) for k in range(60)]
+    compare(spark, urls, {0: 1, 4: 0})
+    assert len(levels) <= 4
+
+
+def test_learnt_verdicts_hold_for_pages_that_are_held_out(spark, sf):
+    """Rules teach four fifths of the pages that they decide; the tree is then asked about the others."""
+    from tandem.llm.queries import URL_RULES
+
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url")
+    host, path = url_filter.host_and_path(F.col("url"))
+    ruled = pages.select("page_id", url_filter.longest_rule(host, path, URL_RULES).alias("fit")).where("fit is not null")
+    ruled = ruled.select("page_id", (F.col("fit.verdict") == "block").cast("int").alias("bad")).cache()
+    held = F.pmod(F.xxhash64("page_id"), F.lit(5)) == 0
+    got = url_filter.judge_urls(pages, [], ruled.where(~held)).join(ruled.where(held), "page_id").select("verdict", "bad").collect()
+    blocked = [r.bad for r in got if r.verdict == "block"]
+    assert len(got) >= 10 and blocked and sum(blocked) / len(blocked) >= 0.7, (len(got), blocked)
+
+
 def test_query_blocks_pages_that_no_rule_covers(spark, sf):
     got = QUERIES["op3_url_filter"](spark, sf).where("rule is null").groupBy("verdict").agg(F.count("*").alias("n")).collect()
     assert {r.verdict for r in got} == {"allow", "block"}
