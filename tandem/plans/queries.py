@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tandem.functions import scalars as S
-from tandem.operators import ensembles, fusion, inference, linear, metrics, nearest, relational, routing, selection, splits, trees
+from tandem.operators import ensembles, fusion, gate, inference, linear, metrics, nearest, relational, routing, selection, splits, trees
 from tandem.operators.routers import OBJECTIVES, out_of_fold_scores
 from tandem.sources.arrays import ArrayFiles
 from tandem.sources.tables import read_table, scratch_path, written
@@ -948,6 +948,14 @@ def mixture_em_step(spark, sf):
     return rounded(fusion.mixture_weights(members(spark, sf), GROUP, rounds=1))
 
 
+@query
+def gate_conditions(spark, sf):
+    """Policies under true, absent and permuted costly features, with random controls: means over repeats."""
+    rows = gate.gate(modalities(spark, sf).drop("fold_id").withColumn("group_key", F.col("mol_id") % 97), GROUP, CHEAP, COSTLY, "group_key", folds=3, repeats=5, trees=8, depth=5)
+    per = rows.groupBy(*GROUP, "condition", "policy", "metric").agg(*[F.avg(c).alias(c) for c in ("value", "gain", "call_rate", "mean_utility", "harm", "captured")])
+    return rounded(per)
+
+
 @query
 def baseline_matrix(spark, sf):
     """The endpoint metric of linear, kernel and tree models on all features."""
