@@ -20,8 +20,9 @@ not travel with the lists; pairs with such a set leave the block and are confirm
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -151,32 +152,70 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[np.minimum(at, len(b) - 1)] == a).sum())
 
 
+#: Pairs whose signatures are compared at a time.
+PAIRS = 1 << 16
+LINK = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("sure", pa.bool_())])
+
+
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The values of all lists, and where each begins and ends."""
+    return column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+
+
 def _across(match: int, similarity: int):
-    """Links between members of one block pair of a list, and pairs that are too large to be judged here (sure: false)."""
-
-    def compare(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        left = frame[frame.side == 0]
-        right = left if key[1] == key[2] else frame[frame.side == 1]
-        out: list[tuple[int, int, bool]] = []
-        if len(left) and len(right):
-            s, t = (np.stack(x["signature"].to_list()) for x in (left, right))
-            ids, labels, sizes, shared = (right[c].to_numpy() for c in ("id", "label", "n_shingles", "n_shared"))
-            sets, keys = right["shingles"].to_list(), [set(k.tolist()) for k in right["keys"]]
-            for i, row in enumerate(left.itertuples(index=False)):
-                fits = _bounds(row.n_shingles, sizes, row.n_shared, shared, similarity, np.minimum, np.maximum) & (labels != row.label)
-                fits &= (ids > row.id) if right is left else True
-                at = np.flatnonzero(fits)
-                own = row.keys.tolist()
-                for j in at[(s[i] == t[at]).sum(1) >= match].tolist():
-                    if min(k for k in own if k in keys[j]) != key[0]:
-                        continue
-                    sure = row.shingles is not None and sets[j] is not None
-                    if sure:
-                        both = _common(row.shingles, sets[j])
-                        if 100 * both < similarity * (row.n_shingles + sizes[j] - both):
+    """From rows in the order of key, i and j: links between members of one block pair of a list, and pairs that are too large to be judged
+    here (sure: false)."""
+
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+        """Whole block pairs, and where each begins and ends; one that a batch cuts waits for the rest."""
+        held = None
+        for batch in batches:
+            if held is not None and len(held):
+                batch = pa.concat_batches([held, batch])
+            key, i, j = (batch[c].to_numpy() for c in ("key", "i", "j"))
+            new = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+            last = int(new[-1]) if len(new) else 0
+            if last:
+                yield batch.slice(0, last), np.concatenate([[0], new])
+            held = batch.slice(last)
+        if held is not None and len(held):
+            yield held, np.array([0, len(held)])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, cuts in groups(batches):
+            whole = pa.Table.from_batches([batch]).combine_chunks().to_batches()[0]
+            key, i, j, side, ids, labels, sizes, shared = (whole[c].to_numpy() for c in ("key", "i", "j", "side", "id", "label", "n_shingles", "n_shared"))
+            signs = whole["signature"].flatten().to_numpy().reshape(len(whole), -1)
+            carried = whole["shingles"].is_valid().to_numpy(zero_copy_only=False)
+            sets, at_sets = _lists(whole["shingles"])
+            keys, at_keys = _lists(whole["keys"])
+            out: list[tuple[int, int, bool]] = []
+            for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                rows = np.arange(low, high)
+                left = rows[side[low:high] == 0]
+                right = left if i[low] == j[low] else rows[side[low:high] == 1]
+                if not len(left) or not len(right) or (right is left and len(left) < 2):
+                    continue
+                of = lambda x: (x[left][:, None], x[right][None, :])  # noqa: B023, E731
+                fits = _bounds(*of(sizes), *of(shared), similarity, np.minimum, np.maximum)
+                fits &= labels[left][:, None] != labels[right][None, :]
+                if right is left:
+                    fits &= ids[left][:, None] < ids[left][None, :]
+                x, y = np.nonzero(fits)
+                x, y = left[x], right[y]
+                for n in range(0, len(x), PAIRS):
+                    near = (signs[x[n : n + PAIRS]] == signs[y[n : n + PAIRS]]).sum(1) >= match
+                    for p, q in zip(x[n : n + PAIRS][near].tolist(), y[n : n + PAIRS][near].tolist(), strict=True):
+                        mine, others = keys[at_keys[p] : at_keys[p + 1]], keys[at_keys[q] : at_keys[q + 1]]
+                        if np.intersect1d(mine, others, assume_unique=True)[0] != key[low]:
                             continue
-                    out.append((min(row.id, ids[j]), max(row.id, ids[j]), sure))
-        return pd.DataFrame(out, columns=["a", "b", "sure"])
+                        sure = bool(carried[p] and carried[q])
+                        if sure:
+                            both = _common(sets[at_sets[p] : at_sets[p + 1]], sets[at_sets[q] : at_sets[q + 1]])
+                            if 100 * both < similarity * (sizes[p] + sizes[q] - both):
+                                continue
+                        out.append((min(ids[p], ids[q]), max(ids[p], ids[q]), sure))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], LINK.types[k]) for k in range(3)], schema=LINK)
 
     return compare
 
@@ -226,7 +265,9 @@ def similar_links(classes: DataFrame, texts: DataFrame, scratch: Scratch, width:
             F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"),
         )
     )
-    across = scratch.keep(dealt.groupBy("key", "i", "j").applyInPandas(_across(match, similarity), "a long, b long, sure boolean"), "across")
+    # block pairs lie one after the other in a partition, so many small ones are read together
+    ordered = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    across = scratch.keep(ordered.mapInArrow(_across(match, similarity), "a long, b long, sure boolean"), "across")
     unsure = _confirm(across.where("not sure").select("a", "b").distinct(), classes, sets, match, similarity)
     more = scratch.keep(across.where("sure").select("a", "b").unionByName(unsure), "links")
     scratch.drop("posts", "fit", "rest0", "sets", "met")
