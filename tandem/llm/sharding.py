@@ -5,7 +5,9 @@ the next virtual node clockwise; where that shard is full it continues clockwise
 Keys arrive in the order (bucket, slot, hash, key). All keys of one (bucket, slot) cell prefer the shards in the
 same order, so whether they fit follows from the cells' counts alone: Spark counts the cells (a fixed number, however
 many rows there are), the driver walks over these counts and finds where each shard fills, and every row then looks
-its cell up. At most one cell for each shard is split, by the rows' order within it.
+its cell up. At most one cell for each shard is split, by the rows' order within it. A cell of more than PART rows, as one of a
+key that many rows have, is numbered in parts: rows are dealt out by a hash of their place in the table, parts are counted, and a
+row's number is its number in its part after the rows of the parts before.
 
 With slack 0 the capacities add up to the number of rows, so row counts differ by one at most; with a slack they are
 ceil((1 + slack) * rows / shards), and fewer keys move when a shard is added.
@@ -21,7 +23,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import Scratch
+
 SLOTS, BUCKETS = 4096, 64
+#: Rows of a cell that one task numbers, on average.
+PART = 16_384
 
 
 def ring(shards: int, virtual_nodes: int = 128, slots: int = SLOTS) -> np.ndarray:
@@ -85,6 +91,25 @@ def fill(counts: np.ndarray, order: np.ndarray, room: np.ndarray) -> pd.DataFram
     return out
 
 
+def _numbered(rows: DataFrame, counts: np.ndarray, order: list[str], scratch: Scratch) -> DataFrame:
+    """Adds `_nth`, the row's number in its cell from 0. Cells of up to PART rows are numbered in the given order."""
+    hot = np.flatnonzero(counts > PART)
+    if not len(hot):
+        nth = F.row_number().over(Window.partitionBy("_cell").orderBy(*order)) - 1
+        return rows.withColumn("_nth", nth.cast("long"))
+    spark = rows.sparkSession
+    # a row's place has to be the same whenever it is computed, so it is taken from the table as written
+    rows = scratch.keep(rows.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    parts = F.broadcast(spark.createDataFrame([(int(c), int(-(-counts[c] // PART))) for c in hot], "_cell int, _parts long"))  # as many as cells, at most
+    dealt = rows.join(parts, "_cell", "left").withColumn("_part", F.when(F.col("_parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("_row"), "_parts")))
+    sizes = dealt.where("_parts is not null").groupBy("_cell", "_part").agg(F.count("*").alias("_n_part"))
+    before = Window.partitionBy("_cell").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("_cell", "_part", F.coalesce(F.sum("_n_part").over(before), F.lit(0)).alias("_start"))
+    own = F.row_number().over(Window.partitionBy("_cell", "_part").orderBy(*order, "_row")) - 1
+    found = dealt.withColumn("_own", own).join(sizes, ["_cell", "_part"], "left")
+    return found.withColumn("_nth", (F.col("_own") + F.coalesce("_start", F.lit(0))).cast("long")).drop("_own", "_start", "_part", "_parts", "_row")
+
+
 def assign_shards(
     docs: DataFrame, shards: int = 8, key: str = "doc_id", virtual_nodes: int = 128, slack: float = 0.0
 ) -> DataFrame:
@@ -110,9 +135,9 @@ def assign_shards(
     counts[seen["_cell"].to_numpy(dtype=np.int64)] = seen["count"].to_numpy(dtype=np.int64)
     pieces = fill(counts, ring(shards, virtual_nodes, SLOTS), capacities(int(counts.sum()), shards, slack))
     pieces = spark.createDataFrame(pieces, "_at int, shard int, _first long, _n long, _base long")
-    nth = F.row_number().over(Window.partitionBy("_cell").orderBy("_hash", key, "size", "text_crc32")) - 1
-    rows = rows.withColumn("_nth", nth.cast("long"))
+    rows = _numbered(rows, counts, ["_hash", key, "size", "text_crc32"], Scratch(spark, "sharding"))
     near = (F.col("_nth") >= F.col("_first")) & (F.col("_nth") < F.col("_first") + F.col("_n"))
-    return rows.join(pieces, (F.col("_cell") == F.col("_at")) & near).select(
+    # as many pieces as cells and shards, at most
+    return rows.join(F.broadcast(pieces), (F.col("_cell") == F.col("_at")) & near).select(
         key, "size", "text_crc32", "shard", (F.col("_base") + F.col("_nth") - F.col("_first")).alias("slot")
     )

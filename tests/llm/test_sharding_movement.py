@@ -1,7 +1,12 @@
-"""How many rows move when a ninth shard is added."""
+"""How many rows move when a ninth shard is added, and keys that many rows have."""
 
+import zlib
+
+import numpy as np
 from pyspark.sql import functions as F
 
+from tandem.llm import sharding
+from tandem.llm.common import Scratch
 from tandem.llm.sharding import assign_shards
 
 
@@ -18,3 +23,21 @@ def test_slack_limits_movement(spark):
     print(moved)
     assert 1 / 9 * 0.5 < moved[0.25] < 0.3  # the ninth shard's own share is 0.11
     assert moved[0.25] < moved[0.0] < 0.6
+
+
+def test_a_hot_key_is_numbered_in_parts(spark, monkeypatch):
+    """A third of the rows have one id, a third none, some of them equal in all columns."""
+    monkeypatch.setattr(sharding, "PART", 40)
+    rows = [(7, f"t{i % 50}") for i in range(900)] + [(None, "same") for _ in range(900)] + [(i, f"t{i}") for i in range(1000, 1900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = sharding.assign_shards(docs, 8).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.shard, []).append(r.slot)
+    assert len(got) == 2700 and {len(v) for v in by.values()} <= {337, 338}
+    assert all(sorted(v) == list(range(len(v))) for v in by.values())
+    assert sorted((r.doc_id or 0, r.text_crc32) for r in got) == sorted((i or 0, zlib.crc32(t.encode())) for i, t in rows)
+    cells = sharding._numbered(docs.selectExpr("doc_id", "text", "cast(coalesce(doc_id, 0) % 3 as int) as _cell"), np.array([900 + 300, 900 + 300, 300]), ["doc_id", "text"], Scratch(spark, "t"))
+    for cell in range(3):
+        mine = sorted(r._nth for r in cells.where(cells._cell == cell).collect())
+        assert mine == list(range(len(mine)))
