@@ -322,8 +322,8 @@ def mean_lcb(values: np.ndarray, alpha: float, rng: np.random.Generator, repeats
     return float(np.quantile(values[rng.integers(0, len(values), (repeats, len(values)))].mean(1), alpha))
 
 
-def permutation_null(df: DataFrame, keys: Keys, selected: str, value: str, permutations: int = 300, repeats: int = 250, seed: int = 0, item: str = "mol_id") -> DataFrame:
-    """n_selected, permit_rate and mean_bound: the lower bounds that as many items picked at random would have.
+def permutation_null(df: DataFrame, keys: Keys, selected: str, value: str, permutations: int = 300, repeats: int = 500, seed: int = 0, item: str = "mol_id") -> DataFrame:
+    """n_selected, permit_rate, mean_bound and p95_bound: the lower bounds that as many items picked at random would have.
 
     One group's values meet in one task; groups are a task's test items.
     """
@@ -334,13 +334,13 @@ def permutation_null(df: DataFrame, keys: Keys, selected: str, value: str, permu
         rows, rng = rows.sort_values(item), np.random.default_rng(seed)
         values, n = rows[value].to_numpy(float), int(rows[selected].sum())
         bounds = np.array([mean_lcb(rng.permutation(values)[:n], 0.025, rng, repeats) for _ in range(permutations if n else 0)])
-        found = ((bounds > 0).mean(), bounds.mean()) if n else (None, None)
-        return pd.DataFrame([(*[rows[k].iloc[0] for k in keys], n, *found)], columns=[*keys, "n_selected", "permit_rate", "mean_bound"])
+        found = ((bounds > 0).mean(), bounds.mean(), np.percentile(bounds, 95)) if n else (None, None, None)
+        return pd.DataFrame([(*[rows[k].iloc[0] for k in keys], n, *found)], columns=[*keys, "n_selected", "permit_rate", "mean_bound", "p95_bound"])
 
-    return df.groupBy(*keys).applyInPandas(shuffle, f"{fields}n_selected long, permit_rate double, mean_bound double")
+    return df.groupBy(*keys).applyInPandas(shuffle, f"{fields}n_selected long, permit_rate double, mean_bound double, p95_bound double")
 
 
-def random_budget_gain(df: DataFrame, keys: Keys, budget: float, repeats: int = 200, seed: int = 0, item: str = "mol_id") -> DataFrame:
+def random_budget_gain(df: DataFrame, keys: Keys, budget: float, repeats: int = 500, seed: int = 0, item: str = "mol_id") -> DataFrame:
     """called, mean and sd of the endpoint gain when budget percent of the items, rounded up, are called at random.
 
     One group's items meet in one task; groups are a task's test items.

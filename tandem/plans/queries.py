@@ -497,7 +497,7 @@ def paired_delta_ci(spark, sf):
 
 @query
 def hierarchical_gain_ci(spark, sf):
-    return rounded(inference.hierarchical_interval(paired(spark, sf).where("split = 'test'"), ["task_type"], ["task", "seed"], repeats=400))
+    return rounded(inference.hierarchical_interval(paired(spark, sf).where("split = 'test'"), ["task_type"], ["task", "seed"], repeats=1000))
 
 
 @query
