@@ -300,7 +300,7 @@ def weighted(columns: str, item: str, source: str, repeats: int) -> str:
 
 
 BOOT = f"""weighted AS ({weighted('task, seed, utility', 'mol_id', 'uv', 1000)}),
-means AS (SELECT task, seed, turn, sum(w * utility) / sum(w) AS m FROM weighted GROUP BY ALL),
+means AS (SELECT task, seed, turn, sum(w * utility) / nullif(sum(w), 0) AS m FROM weighted GROUP BY ALL),
 bounds AS (
   SELECT task, seed, n, mean, CASE WHEN n >= 8 THEN lcb END AS lcb FROM (SELECT task, seed, quantile_cont(m, 0.025) AS lcb FROM means GROUP BY ALL)
   JOIN (SELECT task, seed, count(*) AS n, avg(utility) AS mean FROM uv GROUP BY ALL) USING (task, seed)
@@ -422,7 +422,7 @@ add(
 
 def booted(source: str, keys: str, value: str, item: str, quantiles: str, repeats: int) -> str:
     """keys, n, mean and the quantiles of means over hashed resamples of the source."""
-    return f"""SELECT * FROM (SELECT {keys}, {quantiles} FROM (SELECT {keys}, turn, sum(w * v) / sum(w) AS m FROM ({weighted(f'{keys}, {value} AS v', item, source, repeats)}) GROUP BY ALL) GROUP BY {keys})
+    return f"""SELECT * FROM (SELECT {keys}, {quantiles} FROM (SELECT {keys}, turn, sum(w * v) / nullif(sum(w), 0) AS m FROM ({weighted(f'{keys}, {value} AS v', item, source, repeats)}) GROUP BY ALL) GROUP BY {keys})
   JOIN (SELECT {keys}, count(*) AS n, avg({value}) AS mean FROM {source} GROUP BY {keys}) USING ({keys})"""
 
 

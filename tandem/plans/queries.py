@@ -951,7 +951,7 @@ def mixture_em_step(spark, sf):
 @query
 def gate_conditions(spark, sf):
     """Policies under true, absent and permuted costly features, with random controls: means over repeats."""
-    rows = gate.gate(modalities(spark, sf).drop("fold_id").withColumn("group_key", F.round(F.col("c_source") * 20).cast("long")), GROUP, CHEAP, COSTLY, "group_key", folds=3, repeats=5, trees=8, depth=5)
+    rows = gate.gate(modalities(spark, sf).drop("fold_id").withColumn("group_key", F.round(F.col("c_source") * 20).cast("long")), GROUP, CHEAP, COSTLY, "group_key", folds=3, repeats=5, trees=8, depth=4)
     per = rows.groupBy(*GROUP, "condition", "policy", "metric").agg(*[F.avg(c).alias(c) for c in ("value", "gain", "call_rate", "mean_utility", "harm", "captured")])
     return rounded(per)
 

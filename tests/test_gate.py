@@ -68,7 +68,7 @@ def test_predictions_do_not_see_their_fold(spark, df):
 
 
 def test_policies_and_controls(df):
-    out = gate.gate(df, KEYS, ["c1"], ["g1", "g2"], "group_key", folds=3, repeats=4, trees=10, depth=5).toPandas()
+    out = gate.gate(df, KEYS, ["c1"], ["g1", "g2"], "group_key", folds=2, repeats=4, trees=10, depth=4).toPandas()
     assert len(out) == 2 * 3 * (7 + 8)
     per = out.set_index(["task", "condition", "policy", "repeat"])
     for task in "cr":
