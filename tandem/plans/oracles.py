@@ -707,3 +707,4 @@ add(
     "array_files",
     f"""SELECT vec_id, {r('list_sum(list_transform(embedding, lambda x: cast(x AS DOUBLE)))')} AS total, len(embedding)::BIGINT AS n FROM embeddings WHERE embedding IS NOT NULL""",
 )
+add("feature_cache", r"SELECT doc_id, length(text) AS size, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS n_words FROM documents")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tandem.functions import scalars as S
 from tandem.operators import ensembles, fusion, gate, inference, linear, metrics, nearest, relational, routing, selection, splits, trees
 from tandem.operators.routers import OBJECTIVES, out_of_fold_scores
+from tandem.sources import cache
 from tandem.sources.arrays import ArrayFiles
 from tandem.sources.tables import read_table, scratch_path, written
 from tandem.streaming import monitor
@@ -898,6 +899,22 @@ def array_files(spark, sf):
     return rounded(back.select(F.col("values")[0].cast("long").alias("vec_id"), total.alias("total"), (F.size("values") - 1).cast("long").alias("n")))
 
 
+@query
+def feature_cache(spark, sf):
+    """Features of all texts, computed and put into a cache, then read from it by a second run that may not compute."""
+    path, d = scratch_path(spark, "cache"), read_table(spark, sf, "documents").select("doc_id", "text")
+
+    def compute(rows):
+        words = F.size(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), 0))
+        return rows.select("_key", F.length("text").cast("long").alias("size"), F.when(F.col("text").isNotNull(), words).cast("long").alias("n_words"))
+
+    def refuse(rows):
+        raise ValueError("everything is in the cache")
+
+    cache.cached(d, "doc_id", ["text"], compute, path, {"words": 1})
+    return rounded(cache.cached(d, "doc_id", ["text"], refuse, path, {"words": 1}).drop("text"))
+
+
 # --- ensembles ---------------------------------------------------------------------------------------------------
 
 
