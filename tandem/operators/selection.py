@@ -82,11 +82,15 @@ def calibration_part(df: DataFrame, keys: Keys, fold: str, seed: str, item: str
     size = F.size("_folds")
     picked = F.when(size >= 3, F.get("_folds", F.pmod(F.col(seed), size).cast("int"))).when(size > 0, F.get("_folds", size - 1)).otherwise(0)
     rows = df.join(held, keys).withColumn("_cal", F.coalesce(F.col(fold) == picked, F.lit(False)))
-    counts = rows.groupBy(*keys).agg(F.count_if("_cal").alias("_k"))
-    rows = running(rows.withColumn("_own", F.col(item).cast("double")), keys, "_own", {"_at": F.lit(1).cast("long")}, ties=[item]).join(counts, keys)
+    counts = held.join(rows.groupBy(*keys).agg(F.count_if("_cal").alias("_k")), keys)
     few = (F.col("_n") - F.col("_k") < least_train) | (F.col("_k") < least_cal)
-    cal = F.when(few, (F.col("_at") - 1) % 5 == 0).otherwise(F.col("_cal"))
-    return rows.withColumn("part", F.when(cal, "cal").otherwise("train")).drop("_folds", "_n", "_cal", "_own", "_at", "_k")
+    rows = rows.join(F.broadcast(counts.select(*keys, few.alias("_few"))), keys)
+    # only groups that lack rows on a side are put in order
+    kept = rows.where(~F.col("_few")).withColumn("part", F.when(F.col("_cal"), "cal").otherwise("train"))
+    placed = running(rows.where("_few").withColumn("_own", F.col(item).cast("double")), keys, "_own", {"_at": F.lit(1).cast("long")}, ties=[item])
+    placed = placed.withColumn("part", F.when((F.col("_at") - 1) % 5 == 0, "cal").otherwise("train"))
+    columns = [*df.columns, "part"]
+    return kept.select(*columns).unionByName(placed.select(*columns))
 
 
 def safe_decision(bounds: DataFrame, gain: Column, bound: str = "lcb", n: str = "n", least: int = 8, floor: float = 0.0) -> DataFrame:

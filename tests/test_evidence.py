@@ -155,3 +155,11 @@ def test_calibration_falls_back_on_every_fifth_row(spark):
     got = {(r.task, r.mol_id): r.part for r in selection.calibration_part(df, ["task"], "fold", "seed").collect()}
     assert all(got["t", i] == ("cal" if i % 5 == 2 else "train") for i in range(100))
     assert all(got["u", i] == ("cal" if i % 5 == 0 else "train") for i in range(20))
+
+
+def test_calibration_orders_only_groups_that_lack_rows(spark, monkeypatch):
+    df = spark.createDataFrame([("t", 7, i, i % 5) for i in range(100)] + [("u", 7, i, i % 5) for i in range(20)], "task string, seed int, mol_id long, fold int")
+    ordered, plain = [], selection.running
+    monkeypatch.setattr(selection, "running", lambda rows, *rest, **more: ordered.append(rows.count()) or plain(rows, *rest, **more))
+    assert selection.calibration_part(df, ["task"], "fold", "seed").count() == 120
+    assert ordered == [20]
