@@ -35,22 +35,29 @@ def fold_scores(df: DataFrame, keys: Keys, fold: str, score: str, least: int = 1
     return rows.withColumn(score, F.coalesce("_s", "_fill")).drop("_own", "_n", "_folds", "_s", "_known", "_fill")
 
 
-def gated_performance(df: DataFrame, keys: Keys, score: str, gate: str, budgets: Sequence[int] = BUDGETS, item: str = "mol_id") -> DataFrame:
+def gated_performance(df: DataFrame, keys: Keys, score: str, gate: str, budgets: Sequence[int] = BUDGETS, item: str = "mol_id", gates: DataFrame | None = None) -> DataFrame:
     """keys, budget, call_rate and performance when the best budget percent are called that reach the threshold in `gate`.
 
-    Keys hold task_type and whatever tells candidates apart; a NULL gate lets everything pass.
+    Keys hold task_type and whatever tells candidates apart; a NULL gate lets everything pass. With `gates` (keys, names of gates
+    and the threshold) every group is ordered once for all its gates, and their names join the keys of the result. Errors keep
+    a sum for each budget; only classes are multiplied by budgets.
     """
     keys = list(keys)
     sizes = df.groupBy(*keys).agg(F.count("*").alias("_n"))
     rows = positions(df, keys, score, [item], "_at").join(sizes, keys)
+    if gates is not None:
+        rows = rows.join(F.broadcast(gates), keys)
+        keys += [c for c in gates.columns if c not in (*keys, gate)]
     passes = F.col(gate).isNull() | (F.col(score) >= F.col(gate))
-    rows = rows.withColumn("budget", F.explode(F.array(*map(F.lit, budgets))))
-    rows = rows.withColumn("_on", passes & (F.col("_at") <= half_even(F.col("_n") * F.col("budget") / 100)))
-    rows = rows.withColumn("_p", F.when(F.col("_on"), F.col("pred3d")).otherwise(F.col("pred2d")))
+    on = lambda b: passes & (F.col("_at") <= half_even(F.col("_n") * b / 100))
+    miss = lambda b: F.abs(F.col("y") - F.when(on(b), F.col("pred3d")).otherwise(F.col("pred2d")))
+    wide = rows.groupBy(*keys).agg(*[F.avg(on(b).cast("double")).alias(f"r{b}") for b in budgets], *[F.avg(miss(b)).alias(f"e{b}") for b in budgets])
+    points = F.array(*[F.struct(F.lit(b).alias("budget"), F.col(f"r{b}").alias("call_rate"), F.col(f"e{b}").alias("_mae")) for b in budgets])
     group = [*keys, "budget"]
-    out = rows.groupBy(*group).agg(F.avg(F.col("_on").cast("double")).alias("call_rate"), F.avg(F.abs(F.col("y") - F.col("_p"))).alias("_mae"))
-    auc = auroc(rows.where("task_type = 'classification'"), group, "y", "_p")
-    out = out.join(auc, group, "left")
+    out = wide.select(*keys, F.inline(points))
+    cls = rows.where("task_type = 'classification'").withColumn("budget", F.explode(F.array(*map(F.lit, budgets))))
+    cls = cls.withColumn("_p", F.when(on(F.col("budget")), F.col("pred3d")).otherwise(F.col("pred2d")))
+    out = out.join(auroc(cls, group, "y", "_p"), group, "left")
     return out.select(*group, "call_rate", F.when(F.col("task_type") == "classification", F.col("AUROC")).otherwise(-F.col("_mae")).alias("performance"))
 
 

@@ -529,7 +529,7 @@ def oof_router_selection(spark, sf):
     best = [*GROUP, "place", "candidate"]
     gates = rows.groupBy(*best).agg(F.percentile("s", F.lit(0.5)).alias("half"))
     gates = gates.select(*best, F.inline(F.array(F.struct(F.lit(0).alias("gate"), F.lit(None).cast("double").alias("threshold")), F.struct(F.lit(1).alias("gate"), F.col("half").alias("threshold")))))
-    curve = selection.gated_performance(rows.join(gates, best), [*best, "gate"], "s", "threshold")
+    curve = selection.gated_performance(rows, best, "s", "threshold", gates=gates)
     big = metrics.integrated_gain(curve, [*best, "gate"]).select(*best, "gate", F.round("area", 10).alias("big"))
     n = metrics.ndcg(rows, best, "s", "utility", 20).withColumn("ndcg", F.round("ndcg", 10))
     return rounded(selection.lexicographic_best(big.join(n, best), GROUP, "big", "ndcg", ["place", "gate"]).select("task", "seed", "candidate", "gate", "big", "ndcg"))
@@ -1028,7 +1028,7 @@ def objective_grid(spark, sf):
     rows = selection.fold_scores(spark.read.schema(rows.schema).parquet(path), best, "fold_id", "s")
     gates = rows.groupBy(*best).agg(F.percentile("s", F.lit(0.5)).alias("half"))
     gates = gates.select(*best, F.inline(F.array(F.struct(F.lit(0).alias("gate"), F.lit(None).cast("double").alias("threshold")), F.struct(F.lit(1).alias("gate"), F.col("half").alias("threshold")))))
-    curve = selection.gated_performance(rows.join(gates, best), [*best, "gate"], "s", "threshold")
+    curve = selection.gated_performance(rows, best, "s", "threshold", gates=gates)
     big = metrics.integrated_gain(curve, [*best, "gate"]).select(*best, "gate", F.round("area", 10).alias("big"))
     n = metrics.ndcg(rows, best, "s", "utility", 20).withColumn("ndcg", F.round("ndcg", 10))
     return rounded(selection.lexicographic_best(big.join(n, best), GROUP, "big", "ndcg", ["place", "gate"]).select("task", "seed", "candidate", "gate", "big", "ndcg"))

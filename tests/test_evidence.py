@@ -163,3 +163,18 @@ def test_calibration_orders_only_groups_that_lack_rows(spark, monkeypatch):
     monkeypatch.setattr(selection, "running", lambda rows, *rest, **more: ordered.append(rows.count()) or plain(rows, *rest, **more))
     assert selection.calibration_part(df, ["task"], "fold", "seed").count() == 120
     assert ordered == [20]
+
+
+def test_gates_of_a_group_share_its_order(spark, monkeypatch):
+    """All gates of a group in one call give what each gives alone, and rows are put in order once."""
+    rows = [(k, t, i, float((i * 7) % 5 > 1) if t == "classification" else i % 3 + 0.5, i * 0.1 % 0.7, i * 0.3 % 0.9, i * 11 % 23 / 23) for k, t in (("a", "classification"), ("b", "regression")) for i in range(40)]
+    df = spark.createDataFrame(rows, "task string, task_type string, mol_id long, y double, pred2d double, pred3d double, s double")
+    kinds = ["task", "task_type"]
+    gates = spark.createDataFrame([(k, t, g, x) for k, t in (("a", "classification"), ("b", "regression")) for g, x in ((0, None), (1, 0.6))], "task string, task_type string, gate int, threshold double")
+    ordered, plain = [], selection.positions
+    monkeypatch.setattr(selection, "positions", lambda rows, *rest, **more: ordered.append(rows.count()) or plain(rows, *rest, **more))
+    both = {(r.task, r.gate, r.budget): (r.call_rate, r.performance) for r in selection.gated_performance(df, kinds, "s", "threshold", (0, 20, 100), gates=gates).collect()}
+    assert ordered == [80] and len(both) == 12
+    for gate in (0, 1):
+        for r in selection.gated_performance(df.join(gates.where(f"gate = {gate}"), kinds), kinds, "s", "threshold", (0, 20, 100)).collect():
+            assert both[r.task, gate, r.budget] == pytest.approx((r.call_rate, r.performance))
