@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,10 @@ Keys = Sequence[str]
 GROUPS = 10_000
 #: Rows times trees that a task walks at a time.
 WALKED = 1 << 19
+#: Bytes of sums and ranges that a task gathers over all its rows; more are passed on after each walk.
+HELD = 1 << 27
+#: Of those, the slots in a batch.
+PASSED = 1 << 14
 STEPS = 1 << 30
 
 
@@ -69,10 +74,11 @@ class Nodes:
     def walk(self, group: np.ndarray, x: np.ndarray, levels: int) -> np.ndarray:
         """Row by tree, the node that is reached."""
         at = group[:, None] * self.trees + np.arange(self.trees)
-        row = np.arange(len(x))[:, None]
+        flat, row = np.ascontiguousarray(x).ravel(), x.shape[1] * np.arange(len(x))[:, None]
         for _ in range(levels):
-            f = self.feature[at]
-            at = np.where(f < 0, at, self.left[at] + (x[row, f] > self.cut[at]))
+            f = self.feature.take(at)
+            # of a leaf the comparison is not used
+            at = np.where(f < 0, at, self.left.take(at) + (flat.take(row + f) > self.cut.take(at)))
         return at
 
 
@@ -216,36 +222,86 @@ def extra_trees(
     return Forest(keys, features, list(classes) if classes else None, groups, medians, nodes, value, depth)
 
 
-def side_sums(x: np.ndarray, t: np.ndarray, at: np.ndarray, slot_of: np.ndarray, tried_f: np.ndarray, tried_c: np.ndarray, K: int, classes: bool) -> dict[str, np.ndarray]:
-    """Sums and ranges of rows by slot (a node that is split), drawn cut and side. `at` is the node by row and tree, slot_of its slot or -1."""
-    slot = slot_of[at]
-    row, tree = np.nonzero(slot >= 0)
-    slot = slot[row, tree]
-    out = []
-    for k in range(tried_f.shape[1]):
-        f = tried_f[slot, k]
-        use = f >= 0
-        r, s, f = row[use], slot[use], f[use]
-        key = 2 * s + (x[r, f] > tried_c[s, k])
-        by = np.argsort(key, kind="stable")
-        key, r = key[by], r[by]
-        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, int)
-        if not len(starts):
-            continue
-        parts = [np.add.reduceat((t[r] == c).astype(np.int64), starts) for c in range(K)] if classes else [np.diff(np.append(starts, len(r))), np.add.reduceat(t[r], starts)]
-        out.append((key[starts] >> 1, np.full(len(starts), k), key[starts] & 1, np.stack(parts, 1), np.minimum.reduceat(x[r], starts), np.maximum.reduceat(x[r], starts)))
-    if not out:
-        return {}
-    slot, k, right, parts, low, high = (np.concatenate(c) for c in zip(*out, strict=True))
-    cols = {"slot": slot.astype(np.int64), "k": k.astype(np.int32)}
-    for side, name in enumerate("lr"):
-        mine = right == side
-        for i in range(K):
-            cols[f"s{name}{i}"] = np.where(mine, parts[:, i], 0)
-        for i in range(x.shape[1]):
-            cols[f"lo{name}{i}"] = np.where(mine, low[:, i], np.inf)
-            cols[f"hi{name}{i}"] = np.where(mine, high[:, i], -np.inf)
-    return cols
+def grouping(key: np.ndarray) -> np.ndarray:
+    """An order that puts equal keys together, by 16 bits at a time, which numpy sorts by their digits."""
+    by = np.argsort((key & 0xFFFF).astype(np.uint16), kind="stable")
+    for shift in range(16, int(key.max(initial=0)).bit_length(), 16):
+        by = by[np.argsort(((key >> shift) & 0xFFFF).astype(np.uint16).take(by), kind="stable")]
+    return by
+
+
+@dataclass
+class Sides:
+    """Sums and ranges of rows by side: number (slot * tried + k) * 2 + right for the k-th drawn cut of a slot (a node that is split)."""
+
+    parts: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    seen: np.ndarray
+
+    @classmethod
+    def of(cls, sides: int, K: int, d: int) -> Sides:
+        return cls(np.zeros((K, sides), np.int64), np.full((d, sides), np.inf), np.full((d, sides), -np.inf), np.zeros(sides, bool))
+
+    def add(self, x: np.ndarray, t: np.ndarray, at: np.ndarray, slot_of: np.ndarray, tried_f: np.ndarray, tried_c: np.ndarray, classes: bool) -> None:
+        """Adds rows; `at` is the node by row and tree, slot_of its slot or -1."""
+        slot = slot_of.take(at).ravel()
+        met = np.flatnonzero(slot >= 0)
+        slot, row = slot.take(met), met // at.shape[1]
+        flat, (d, m), K = np.ascontiguousarray(x).ravel(), (x.shape[1], tried_f.shape[1]), len(self.parts)
+        columns = np.ascontiguousarray(x.T)
+        for k in range(m):
+            f = tried_f[:, k].take(slot)
+            r, s = row, slot
+            if (f < 0).any():
+                use = np.flatnonzero(f >= 0)
+                r, s, f = row.take(use), slot.take(use), f.take(use)
+            if not len(r):
+                continue
+            key = 2 * s + (flat.take(r * d + f) > tried_c[:, k].take(s))
+            by = grouping(key)
+            key, r = key.take(by), r.take(by)
+            new = np.append(True, key[1:] != key[:-1])
+            starts = np.flatnonzero(new)
+            first = key[starts]
+            side = ((first >> 1) * m + k) * 2 + (first & 1)
+            if classes:
+                counts = np.bincount((np.cumsum(new) - 1) * K + t.take(r), minlength=K * len(starts)).reshape(-1, K)
+                self.parts[:, side] += counts.T
+            else:
+                self.parts[0, side] += np.diff(np.append(starts, len(r)))
+                self.parts[1, side] += np.add.reduceat(t.take(r), starts)
+            for i in range(d):
+                values = columns[i].take(r)
+                self.low[i, side] = np.minimum(self.low[i, side], np.minimum.reduceat(values, starts))
+                self.high[i, side] = np.maximum(self.high[i, side], np.maximum.reduceat(values, starts))
+            self.seen[side] = True
+
+    def columns(self, m: int) -> dict[str, np.ndarray]:
+        """A row for each slot and cut with rows on any side."""
+        cut = np.flatnonzero(self.seen.reshape(-1, 2).any(1))
+        cols = {"slot": (cut // m).astype(np.int64), "k": (cut % m).astype(np.int32)}
+        for right, name in enumerate("lr"):
+            side = 2 * cut + right
+            cols |= {f"s{name}{i}": part[side] for i, part in enumerate(self.parts)}
+            cols |= {f"lo{name}{i}": low[side] for i, low in enumerate(self.low)}
+            cols |= {f"hi{name}{i}": high[side] for i, high in enumerate(self.high)}
+        return cols
+
+
+def walks(batches: Iterator[pa.RecordBatch], medians: np.ndarray, rows: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Groups, targets and filled features of at most `rows` rows at a time, small batches put together."""
+    held, size = [], 0
+    for batch in chain(batches, [None]):
+        if batch is not None and batch.num_rows:
+            group = batch["_g"].to_numpy()
+            held.append((group, batch["_t"].to_numpy(), filled(batch["_x"], group, medians)))
+            size += batch.num_rows
+        if held and (batch is None or size >= rows):
+            group, t, x = (np.concatenate(c) for c in zip(*held, strict=True))
+            for a in range(0, size, rows):
+                yield group[a : a + rows], t[a : a + rows], x[a : a + rows]
+            held, size = [], 0
 
 
 def _best_cuts(rows, factors, nodes, medians, ids, owner, tried_f, tried_c, level, K, classes, leaf) -> dict[str, np.ndarray]:
@@ -260,14 +316,31 @@ def _best_cuts(rows, factors, nodes, medians, ids, owner, tried_f, tried_c, leve
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nodes, medians, slot_of, owner, tried_f, tried_c = kept.value
-        for batch in batches:
-            group, t = batch["_g"].to_numpy(), batch["_t"].to_numpy()
-            x = filled(batch["_x"], group, medians)
-            for a in range(0, len(x), step := max(1, WALKED // nodes.trees)):
-                at = nodes.walk(group[a : a + step], x[a : a + step], level)
-                cols = side_sums(x[a : a + step], t[a : a + step], at, slot_of, tried_f, tried_c, K, classes)
-                if cols:
-                    yield pa.record_batch({"g": owner[cols["slot"]], **{n: cols[n] for n in names}})
+        n, m = tried_f.shape
+        whole = 2 * n * m * (8 * (K + 2 * d) + 1) <= HELD
+        sides = Sides.of(2 * n * m if whole else 0, K, d)
+
+        def passed(sides: Sides) -> Iterator[pa.RecordBatch]:
+            cols = sides.columns(m)
+            for a in range(0, len(cols["slot"]), PASSED):
+                part = {name: cols[name][a : a + PASSED] for name in names}
+                yield pa.record_batch({"g": owner[part["slot"]], **part})
+
+        for group, t, x in walks(batches, medians, max(1, WALKED // nodes.trees)):
+            at = nodes.walk(group, x, level)
+            if whole:
+                sides.add(x, t, at, slot_of, tried_f, tried_c, classes)
+                continue
+            # only the slots that these rows meet, numbered anew
+            own = np.unique(slot_of.take(at))
+            own = own[own >= 0]
+            few, renumbered = Sides.of(2 * len(own) * m, K, d), np.full(n + 1, -1, np.int64)
+            renumbered[own] = np.arange(len(own))
+            few.add(x, t, at, renumbered[slot_of], tried_f[own], tried_c[own], classes)
+            cols = few.columns(m)
+            yield pa.record_batch({"g": owner[own[cols["slot"]]], **{name: own[cols[name]] if name == "slot" else cols[name] for name in names}})
+        if whole:
+            yield from passed(sides)
 
     found = rows.mapInArrow(met, schema).groupBy("g", "slot", "k")
     sums = [F.sum(n).alias(n) for n in names if n[0] == "s" and n != "slot"]

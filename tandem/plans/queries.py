@@ -1025,7 +1025,7 @@ def objective_grid(spark, sf):
         each = F.array(*[F.struct(F.lit(f"{n}/{group}").alias("candidate"), F.lit(k * len(ROUTER_FEATURES) + i).alias("place"), F.col(n).alias("s")) for k, n in enumerate(OBJECTIVES)])
         rows = objective_rows(spark, sf, group).select(*GROUP, "mol_id", "fold_id", "y", "pred2d", "pred3d", "utility", F.inline(each))
         rows.write.mode("append").parquet(path)
-    rows = selection.fold_scores(spark.read.schema(rows.schema).parquet(path), best, "fold_id", "s")
+    rows = written(selection.fold_scores(spark.read.schema(rows.schema).parquet(path), best, "fold_id", "s"), "candidates")
     gates = rows.groupBy(*best).agg(F.percentile("s", F.lit(0.5)).alias("half"))
     gates = gates.select(*best, F.inline(F.array(F.struct(F.lit(0).alias("gate"), F.lit(None).cast("double").alias("threshold")), F.struct(F.lit(1).alias("gate"), F.col("half").alias("threshold")))))
     curve = selection.gated_performance(rows, best, "s", "threshold", gates=gates)

@@ -108,3 +108,28 @@ def test_missing_values_unknown_groups_and_few_rows(spark):
     assert all(abs(sum(r.pred) - 1) < 1e-9 for r in alone.predict(df).collect())
     none = trees.extra_trees(df.limit(0), ["task"], ["a"], "u", trees=2)
     assert none.predict(df).where(F.col("pred").isNotNull()).count() == 0
+
+
+def test_sides_of_all_rows_of_a_task_are_passed_on_once(spark, monkeypatch):
+    """A level passes on a row for each drawn cut and task, however many walks the task's rows take; beyond HELD after each walk, to the same trees."""
+    df = spark.createDataFrame([(*r[:3], float(r[3]), *r[4:]) for r in table(3)], "g string, i long, a double, b double, c double, d double, y double, z int").repartition(1)
+
+    def fitted():
+        f = trees.extra_trees(df, ["g"], ["a", "b", "c", "d"], "y", trees=5, leaf=2, depth=4)
+        return f.nodes.feature.tolist(), f.nodes.cut.tolist(), f.value.tolist()
+
+    want = fitted()
+    monkeypatch.setattr(trees, "WALKED", 40)
+    assert fitted() == want
+    monkeypatch.setattr(trees, "HELD", 0)
+    assert fitted() == want
+    # without Spark: 3 walks of 8 rows each leave the sides of one
+    x, t = np.arange(48.0).reshape(24, 2), np.arange(24)
+    at, cuts = np.zeros((24, 1), int), (np.array([[0, 1]]), np.array([[11.0, 90.0]]))
+    sides = trees.Sides.of(4, 2, 2)
+    for a in range(0, 24, 8):
+        sides.add(x[a : a + 8], t[a : a + 8], at[a : a + 8], np.array([0]), *cuts, False)
+    got = sides.columns(2)
+    assert got["slot"].tolist() == [0, 0] and got["k"].tolist() == [0, 1]
+    assert got["sl0"].tolist() == [6, 24] and got["sr0"].tolist() == [18, 0] and got["sl1"].tolist() == [15, 276] and got["lor1"].tolist() == [13, np.inf]
+    assert trees.grouping(np.array([70_000, 3, 70_000, 4_464])).tolist() == [1, 3, 0, 2]
