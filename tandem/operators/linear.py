@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, replace
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,16 +21,21 @@ from pyspark.sql import functions as F
 from tandem.sources.tables import scratch_path
 
 from .splits import hash_key
-from .trees import GROUPS, _numbered, filled
+from .trees import GROUPS, _numbered, fill, grouping, matrix
 
 Keys = Sequence[str]
+#: Rows that a task puts together before it deals with them by group, and most rows of a group in one stored run.
+TOGETHER, RUN = 1 << 17, 1 << 12
 #: Penalties of the ridge that are tried; fixed values of the protocol.
 PENALTIES = np.logspace(-4, 4, 17)
 
 
 @dataclass
 class Prepared:
-    """Rows of all groups (`_g`, `_x`, `_y`, `_item`) with what scales them: medians fill, then mean and deviation standardise."""
+    """Rows of all groups with what scales them: medians fill, then mean and deviation standardise.
+
+    Rows are stored in runs of a group: its number `_g`, and arrays of labels `_y`, weights `_w`, items `_item`, and of features `_x`, one row's after another's.
+    """
 
     keys: list[str]
     features: list[str]
@@ -42,13 +48,14 @@ class Prepared:
     mean: np.ndarray
     deviation: np.ndarray
     varies: np.ndarray
+    unit: np.ndarray | None = None
 
     def light(self) -> Prepared:
         """Without the DataFrame, which tasks cannot have."""
         return replace(self, rows=None)
 
-    def scaled(self, x: pa.Array, group: np.ndarray) -> np.ndarray:
-        return (filled(x, group, self.medians) - self.mean[group]) / self.deviation[group]
+    def scaled(self, x: np.ndarray, group: np.ndarray | int) -> np.ndarray:
+        return (fill(x, group, self.medians) - self.mean[group]) / self.deviation[group]
 
 
 def prepare(df: DataFrame, keys: Keys, features: Sequence[str], label: str, item: str | None = None, weight: str | None = None) -> Prepared:
@@ -79,29 +86,100 @@ def prepare(df: DataFrame, keys: Keys, features: Sequence[str], label: str, item
     n, medians = np.array([r.n for r in known], float), pick("m")
     mean = (pick("s") + (n[:, None] - pick("k")) * medians) / n[:, None]
     path = scratch_path(spark, "linear")
-    _numbered(rows, keys, groups).select("_g", "_x", "_y", "_item", "_w").write.parquet(path)
-    rows = spark.read.schema("_g int, _x array<double>, _y double, _item string, _w double").parquet(path)
+    _numbered(rows, keys, groups).where(F.col("_g").isNotNull()).select("_g", "_x", "_y", "_item", "_w").mapInArrow(packed, PACKED).write.parquet(path)
+    rows = spark.read.schema(PACKED).parquet(path)
     out = Prepared(keys, features, groups, rows, n, np.array([r.ones for r in known], float), np.array([r.y for r in known], float) / n, medians, mean, np.ones_like(mean), np.zeros(mean.shape, bool))
-    if groups:
-        light = out.light()
-        squares = grouped_sums(rows, len(groups), d, lambda g, x, y, w: (light.scaled(x, np.full(len(x), g)) ** 2).sum(0))
-        spread = np.sqrt(squares / n[:, None])
-        # what is left of a constant after rounding is no deviation
-        out.varies = spread > 1e-12 * np.maximum(1, np.abs(mean))
-        out.deviation = np.where(out.varies, spread, 1.0)
-    return out
+    return standardised(out)
+
+
+def standardised(p: Prepared) -> Prepared:
+    """With the deviations about the means."""
+    light = p.light()
+    squares = grouped_sums(p.rows, len(p.groups), len(p.features), lambda g, x, y, w: (light.scaled(x, g) ** 2).sum(0)) if p.groups else np.zeros_like(p.mean)
+    spread = np.sqrt(squares / np.maximum(1, p.n)[:, None])
+    # what is left of a constant after rounding is no deviation
+    varies = spread > 1e-12 * np.maximum(1, np.abs(p.mean))
+    return replace(p, varies=varies, deviation=np.where(varies, spread, 1.0))
+
 
+def of_runs(rows: DataFrame, features: Sequence[str], key: str, n_groups: int, complete: bool = False) -> Prepared:
+    """As `prepare` gives, of rows that are stored in runs already; groups are numbers of the column `key`, and weights count in units of their group's mean.
 
-def grouped_sums(rows: DataFrame, n_groups: int, size: int, add: Callable[[int, pa.Array, np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    `complete` says that no feature is missing, neither here nor where the model predicts, so that no median is taken.
+    """
+    d = len(features)
+    sums = grouped_sums(rows, n_groups, 3 + 2 * d, lambda g, x, y, w: np.concatenate([[len(y), (y == 1).sum(), w.sum()], np.nansum(x, axis=0), (~np.isnan(x)).sum(0)]))
+    n, ones, weight, total, known = sums[:, 0], sums[:, 1], sums[:, 2], sums[:, 3 : 3 + d], sums[:, 3 + d :]
+    medians = np.zeros((n_groups, d))
+    if not complete:
+        value = [F.when(~F.isnan(F.col("_x")[i]), F.col("_x")[i]) for i in range(d)]
+        for r in single(rows, d).groupBy("_g").agg(F.array(*[F.percentile_approx(v, 0.5, 10_000) for v in value]).alias("mid")).collect():
+            medians[r._g] = [v or 0.0 for v in r.mid]
+    size = np.maximum(1, n)
+    mean = (total + (n[:, None] - known) * medians) / size[:, None]
+    blank = np.ones_like(mean)
+    return standardised(Prepared([key], list(features), [(g,) for g in range(n_groups)], rows, n, ones, np.zeros(n_groups), medians, mean, blank, blank > 0, np.where(n > 0, weight / size, 1.0)))
+
+
+#: How rows are stored.
+PACKED = "_g int, _x array<double>, _y array<double>, _w array<double>, _item array<string>"
+
+
+def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows put into runs of at most RUN rows of a group."""
+    for table in together(batches):
+        group = table["_g"].to_numpy()
+        starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+        ends = np.append(starts[1:], len(group))
+        cuts = np.concatenate([np.arange(a, b, RUN) for a, b in zip(starts, ends, strict=True)]).astype(np.int32)
+        bounds = np.append(cuts, len(group)).astype(np.int32)
+        d = len(table["_x"].flatten()) // len(group)
+        lists = {c: pa.ListArray.from_arrays(bounds, table[c]) for c in ("_y", "_w", "_item")}
+        yield pa.record_batch({"_g": table["_g"].take(pa.array(cuts)), "_x": pa.ListArray.from_arrays(bounds * d, table["_x"].flatten()), **lists})
+
+
+def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of many batches, a group's side by side."""
+    held, n = [], 0
+    for batch in chain(batches, [None]):
+        if batch is not None and batch.num_rows:
+            held.append(batch)
+            n += batch.num_rows
+        if held and (batch is None or n >= TOGETHER):
+            table = pa.Table.from_batches(held)
+            yield table.take(pa.array(grouping(table["_g"].to_numpy()))).combine_chunks().to_batches()[0]
+            held, n = [], 0
+
+
+def single(rows: DataFrame, d: int) -> DataFrame:
+    """Stored runs as rows: `_g`, `_item` and `_x`."""
+    one = F.transform("_y", lambda _, i: F.struct(F.get("_item", i).alias("_item"), F.slice("_x", i * d + 1, d).alias("_x")))
+    return rows.select("_g", F.inline(one))
+
+
+def grouped_sums(rows: DataFrame, n_groups: int, size: int, add: Callable[[int, np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
     """For each group the sum of `size` numbers that add(group, features, labels, weights) gives for some of its rows."""
 
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+        """Groups, features (NaN where missing), labels and weights, so many at a time that they stay in a core's cache."""
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sizes = batch["_y"].value_lengths().to_numpy()
+            ends, y, w = np.cumsum(sizes), batch["_y"].flatten().to_numpy(), batch["_w"].flatten().to_numpy()
+            group, x = np.repeat(batch["_g"].to_numpy(), sizes), matrix(batch["_x"], len(batch["_x"].flatten()) // len(y))
+            at = 0
+            for end in [*ends[np.flatnonzero(ends[:-1] // RUN < ends[1:] // RUN)], len(y)]:
+                yield group[at:end], x[at:end], y[at:end], w[at:end]
+                at = end
+
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[int, np.ndarray] = {}
-        for batch in batches:
-            group, y, w = (batch[c].to_numpy() for c in ("_g", "_y", "_w"))
-            for g in np.unique(group).tolist():
-                at = np.flatnonzero(group == g)
-                totals[g] = totals.get(g, 0.0) + add(g, batch["_x"].take(pa.array(at)), y[at], w[at])
+        for group, x, y, w in met(batches):
+            starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+            for a, b in zip(starts, np.append(starts[1:], len(group)), strict=True):
+                g = int(group[a])
+                totals[g] = totals.get(g, 0.0) + add(g, x[a:b], y[a:b], w[a:b])
         for g, total in totals.items():
             at = np.flatnonzero(total)
             yield pa.record_batch({"g": np.full(len(at), g, np.int32), "at": at.astype(np.int32), "v": total[at]})
@@ -163,11 +241,20 @@ class Linear:
         @F.arrow_udf("double")
         def score(group: pa.Array, x: pa.Array) -> pa.Array:
             m = kept.value
-            numbers, out = group.fill_null(-1).to_numpy(zero_copy_only=False), np.full(len(group), np.nan)
+            if m.features is unchanged:
+                at = np.flatnonzero(group.is_valid().to_numpy(zero_copy_only=False))
+                numbers, rows = group.drop_null().to_numpy(), matrix(x, len(m.p.features))[at]
+                out = np.full(len(group), np.nan)
+                out[at] = (m.p.scaled(rows, numbers) * m.weights[numbers]).sum(1) + m.intercept[numbers]
+                return finished(m, out)
+            numbers, out, rows = group.fill_null(-1).to_numpy(zero_copy_only=False), np.full(len(group), np.nan), matrix(x, len(m.p.features))
             for g in np.unique(numbers[numbers >= 0]).tolist():
                 at = np.flatnonzero(numbers == g)
-                z = m.p.scaled(x.take(pa.array(at)), np.full(len(at), g))
+                z = m.p.scaled(rows[at], g)
                 out[at] = m.features(g, z) @ m.weights[g] + m.intercept[g]
+            return finished(m, out)
+
+        def finished(m: Linear, out: np.ndarray) -> pa.Array:
             if m.probability:
                 out = 1 / (1 + np.exp(-np.clip(out, -500, 500)))
             return pa.array(out, mask=np.isnan(out))
@@ -199,11 +286,12 @@ def newton(
         taken += 1
         now = at + step
 
-        def add(g: int, x: pa.Array, y: np.ndarray, w: np.ndarray, now=now, open_=open_) -> np.ndarray:
+        def add(g: int, x: np.ndarray, y: np.ndarray, w: np.ndarray, now=now, open_=open_) -> np.ndarray:
             if not open_[g]:
                 return np.zeros(1 + (D + 1) * (D + 2))
-            z = np.column_stack([features(g, light.scaled(x, np.full(len(x), g))), np.full(len(x), float(intercept))])
+            z = np.column_stack([features(g, light.scaled(x, g)), np.full(len(x), float(intercept))])
             value, slope, curve = loss(z @ now[g], y)
+            w = w if light.unit is None else w / light.unit[g]
             w = w * row_weight[g][(y == 1).astype(int)] if balanced else w
             return np.concatenate([[(w * value).sum()], z.T @ (w * slope), ((z * (w * curve)[:, None]).T @ z).ravel()])
 
@@ -254,8 +342,8 @@ def ridge_cv(df: DataFrame, keys: Keys, features: Sequence[str], label: str = "y
     G, d, penalties = len(p.groups), len(p.features), np.asarray(penalties, float)
     light = p.light()
 
-    def outer(g: int, x: pa.Array, y: np.ndarray, w: np.ndarray) -> np.ndarray:
-        z = light.scaled(x, np.full(len(x), g))
+    def outer(g: int, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+        z = light.scaled(x, g)
         return np.concatenate([(z.T @ z).ravel(), z.T @ (y - light.mean_y[g])])
 
     sums = grouped_sums(p.rows, G, d * d + d, outer) if G else np.zeros((0, d * d + d))
@@ -265,9 +353,9 @@ def ridge_cv(df: DataFrame, keys: Keys, features: Sequence[str], label: str = "y
         shrink = 1 / (np.maximum(values, 0)[:, None] + penalties)
         solved.append((vectors, shrink, vectors @ (shrink * (vectors.T @ sums[g, d * d :])[:, None])))
 
-    def left_out(g: int, x: pa.Array, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+    def left_out(g: int, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
         vectors, shrink, weights = solved[g]
-        z = light.scaled(x, np.full(len(x), g))
+        z = light.scaled(x, g)
         leverage = 1 / light.n[g] + (z @ vectors) ** 2 @ shrink
         rest = y[:, None] - light.mean_y[g] - z @ weights
         return ((rest / np.maximum(1e-12, 1 - leverage)) ** 2).sum(0)
@@ -305,14 +393,14 @@ def nystroem(p: Prepared, landmarks: int = 128, gamma: float | None = None, seed
     fields = ", ".join(["_g int", "_part double"])
     shares = F.broadcast(spark.createDataFrame([(g, min(1.0, float(4 * landmarks / p.n[g]))) for g in range(G)], fields))
     # a few times too many by a threshold of the hash, then the lowest of them
-    drawn = p.rows.withColumn("_h", hash_key(seed, F.coalesce("_item", F.col("_x").cast("string"))))
+    drawn = single(p.rows, d).withColumn("_h", hash_key(seed, F.coalesce("_item", F.col("_x").cast("string"))))
     drawn = drawn.join(shares, "_g").where(F.col("_h") < F.col("_part") * float(1 << 32)).select("_g", "_h", "_x").distinct()
     order = Window.partitionBy("_g").orderBy("_h", "_x")
     rows = drawn.withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= landmarks).drop("_at").orderBy("_g", "_h", "_x").toArrow().to_batches()
     found: list[list] = [[] for _ in range(G)]
     for batch in rows:
         group = batch["_g"].to_numpy()
-        z = p.scaled(batch["_x"], group)
+        z = p.scaled(matrix(batch["_x"], d), group)
         for g in np.unique(group).tolist():
             found[g].append(z[group == g])
     marks = [np.unique(np.concatenate(f), axis=0) if f else np.zeros((0, d)) for f in found]

@@ -12,13 +12,14 @@ the same trees, and draws are hashes of seed, tree and node, so lost tasks repea
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
+from functools import cached_property
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tandem.sources.tables import scratch_path
@@ -26,8 +27,8 @@ from tandem.sources.tables import scratch_path
 Keys = Sequence[str]
 #: Groups that are fitted together, at most; their trees lie on the driver.
 GROUPS = 10_000
-#: Rows times trees that a task walks at a time.
-WALKED = 1 << 19
+#: Rows times trees that a task walks at a time; arrays of so many numbers stay in a core's cache.
+WALKED = 1 << 16
 #: Bytes of sums and ranges that a task gathers over all its rows; more are passed on after each walk.
 HELD = 1 << 27
 #: Of those, the slots in a batch.
@@ -71,14 +72,23 @@ class Nodes:
     cut: np.ndarray
     left: np.ndarray
 
+    @cached_property
+    def steps(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Feature, cut and left child by which a walk goes on; a leaf leads to itself, as nothing lies above its cut."""
+        leaf = self.feature < 0
+        return np.where(leaf, 0, self.feature).astype(np.int64), np.where(leaf, np.inf, self.cut), np.where(leaf, np.arange(len(leaf)), self.left)
+
     def walk(self, group: np.ndarray, x: np.ndarray, levels: int) -> np.ndarray:
         """Row by tree, the node that is reached."""
         at = group[:, None] * self.trees + np.arange(self.trees)
         flat, row = np.ascontiguousarray(x).ravel(), x.shape[1] * np.arange(len(x))[:, None]
+        feature, cut, left = self.steps
         for _ in range(levels):
-            f = self.feature.take(at)
-            # of a leaf the comparison is not used
-            at = np.where(f < 0, at, self.left.take(at) + (flat.take(row + f) > self.cut.take(at)))
+            f = feature.take(at)
+            f += row
+            right = flat.take(f) > cut.take(at)
+            at = left.take(at)
+            at += right
         return at
 
 
@@ -119,8 +129,17 @@ class Forest:
 
 def filled(x: pa.Array, group: np.ndarray, medians: np.ndarray) -> np.ndarray:
     """Row by feature, medians of the group in place of NULL and NaN."""
-    rows = x.flatten().to_numpy(zero_copy_only=False).reshape(-1, medians.shape[1]).astype(float)
-    return np.where(np.isnan(rows), medians[group], rows)
+    return fill(matrix(x, medians.shape[1]), group, medians)
+
+
+def matrix(x: pa.Array, width: int) -> np.ndarray:
+    """Row by feature, NaN in place of NULL."""
+    return x.flatten().to_numpy(zero_copy_only=False).reshape(-1, width).astype(float, copy=False)
+
+
+def fill(rows: np.ndarray, group: np.ndarray | int, medians: np.ndarray) -> np.ndarray:
+    gone = np.isnan(rows)
+    return np.where(gone, medians[group], rows) if gone.any() else rows
 
 
 def _numbered(df: DataFrame, keys: Keys, groups: list[tuple]) -> DataFrame:
@@ -133,8 +152,8 @@ def _numbered(df: DataFrame, keys: Keys, groups: list[tuple]) -> DataFrame:
 
 
 def extra_trees(
-    df: DataFrame, keys: Keys, features: Sequence[str], label: str, classes: Sequence | None = None, trees: int = 100, leaf: int = 3,
-    depth: int = 12, tried: int | None = None, seed: int = 0,
+    df: DataFrame, keys: Keys, features: Sequence[str], label: str | None, classes: Sequence | None = None, trees: int = 100, leaf: int = 3,
+    depth: int = 12, tried: int | None = None, seed: int = 0, views: Sequence[tuple[Mapping, Column]] | None = None, complete: bool = False,
 ) -> Forest:
     """Fits a forest in every group.
 
@@ -142,52 +161,71 @@ def extra_trees(
     NULL label, is left out. Without, the label is a number. A node of fewer than 2 * leaf rows or of one class is not
     split, nor one at the depth; no side has fewer than `leaf` rows. `tried` features are drawn (the square root of all). Missing
     features are replaced by the group's (approximate) median. Groups with a NULL key are left out.
+
+    With `views` a row takes part in several groups, but is stored and read once: each view has values of some keys, which df then
+    does not have, and its own label, NULL where the row takes no part. `complete` says that no feature is missing, neither here nor
+    where the forest predicts, so that no median is taken.
     """
     keys, features = list(keys), list(features)
+    views = [({}, F.col(label))] if views is None else list(views)
+    own = [k for k in keys if k not in views[0][0]]
     d, m = len(features), tried or max(1, int(len(features) ** 0.5))
     spark = df.sparkSession
     clean = [F.when(~F.isnan(c), c) for c in (F.col(f).cast("double") for f in features)]
     x = F.array(*[F.coalesce(c, F.lit(float("nan"))) for c in clean]).alias("_x")
-    if classes:
-        t = F.lit(None).cast("long")
-        for i, c in enumerate(classes):
-            t = F.when(F.col(label) == F.lit(c), F.lit(i).cast("long")).otherwise(t)
-    else:
-        t = F.when(~F.isnan(F.col(label).cast("double")), F.col(label).cast("double"))
-    rows = df.select(*keys, x, t.alias("_t"), *[c.alias(f"_f{i}") for i, c in enumerate(clean)]).where(F.col("_t").isNotNull())
-    for k in keys:
+
+    def target(c: Column) -> Column:
+        if not classes:
+            return F.when(~F.isnan(c.cast("double")), c.cast("double"))
+        t = F.lit(None).cast("int")
+        for i, known in enumerate(classes):
+            t = F.when(c == F.lit(known), i).otherwise(t)
+        return t
+
+    targets = [target(c) for _, c in views]
+    rows = df.where(F.coalesce(*targets).isNotNull())
+    for k in own:
         rows = rows.where(F.col(k).isNotNull())
-    facts = [F.count("*").alias("n"), F.max(F.abs("_t")).alias("most"), *[F.count_if(F.col("_t") == i).alias(f"n{i}") for i in range(len(classes or []))]]
-    facts += [f(f"_f{i}").alias(f"{s}{i}") for i in range(d) for s, f in (("lo", F.min), ("hi", F.max))]
-    facts += [F.percentile_approx(f"_f{i}", 0.5, 10_000).alias(f"mid{i}") for i in range(d)]
-    known = rows.groupBy(*keys).agg(*facts).limit(GROUPS + 1).collect()
-    known = sorted((r for r in known if r.n), key=lambda r: tuple(r[k] for k in keys))
-    if len(known) > GROUPS:
+    owners = sorted(tuple(r) for r in rows.select(*own).distinct().limit(GROUPS + 1).collect()) if own else [()]
+    kept = scratch_path(spark, "trees")
+    if len(owners) <= GROUPS:
+        _numbered(rows.select(*own, x, F.array(*targets).alias("_t")), own, owners).select("_g", "_x", "_t").write.parquet(kept)
+        rows = spark.read.schema(f"_g int, _x array<double>, _t array<{'int' if classes else 'double'}>").parquet(kept)
+        known = _facts(rows, len(views), d, len(classes or [])) if owners else []
+    if len(owners) > GROUPS or len(known) > GROUPS:
         raise ValueError(f"more than {GROUPS} groups")
-    groups = [tuple(r[k] for k in keys) for r in known]
-    table = lambda s: np.array([[r[f"{s}{i}"] if r[f"{s}{i}"] is not None else 0.0 for i in range(d)] for r in known]).reshape(len(known), d)
-    medians = table("mid")
+    key = lambda r: tuple((dict(zip(own, owners[r._g], strict=True)) | views[r["_view"]][0])[k] for k in keys)
+    known = sorted(known, key=key)
+    groups = [key(r) for r in known]
+    table = lambda s: np.array([[r[f"{s}{i}"] for i in range(d)] for r in known]).reshape(len(known), d)
+    low, high = table("lo"), table("hi")
+    # of no number at all
+    low, high = np.where(low > high, 0.0, low), np.where(low > high, 0.0, high)
+    medians = np.zeros((len(known), d))
+    if not complete:
+        each = rows.select("_g", *[F.when(~F.isnan(F.col("_x")[i]), F.col("_x")[i]).alias(f"_f{i}") for i in range(d)], F.posexplode("_t").alias("_view", "_t")).where(F.col("_t").isNotNull())
+        mid = each.groupBy("_g", "_view").agg(F.array(*[F.percentile_approx(f"_f{i}", 0.5, 10_000) for i in range(d)]).alias("mid")).collect()
+        mid = {(r._g, r["_view"]): r.mid for r in mid}
+        medians[:] = np.array([[v if v is not None else 0.0 for v in mid[r._g, r["_view"]]] for r in known]).reshape(len(known), d)
     scale = np.array([(r.most or 1.0) for r in known]) / STEPS if not classes else np.ones(len(known))
     K = len(classes) if classes else 2
     weights = np.array([[r.n / (K * r[f"n{i}"]) if r[f"n{i}"] else 0.0 for i in range(K)] for r in known]).reshape(len(known), K) if classes else np.ones((len(known), K))
-    scales = F.broadcast(spark.createDataFrame([(i, float(s)) for i, s in enumerate(scale)], "_g int, _scale double"))
-    target = F.col("_t").cast("long") if classes else F.round(F.col("_t") / F.col("_scale")).cast("long")
-    kept = scratch_path(spark, "trees")
-    _numbered(rows.drop(*[f"_f{i}" for i in range(d)]), keys, groups).join(scales, "_g").select("_g", "_x", target.alias("_t")).write.parquet(kept)
-    rows = spark.read.schema("_g int, _x array<double>, _t long").parquet(kept)
+    group_of = np.full((max(1, len(owners)), len(views)), -1)
+    for i, r in enumerate(known):
+        group_of[r._g, r["_view"]] = i
+    told = Told(group_of, medians, scale, bool(classes))
     factors = F.broadcast(spark.createDataFrame([(i, *map(float, w)) for i, w in enumerate(weights)], "g int, " + ", ".join(f"w{i} double" for i in range(K))))
 
     # the roots; `sums` are class counts, or the number and the sum of targets
     n_roots = len(groups) * trees
     group, tree, heap = np.repeat(np.arange(len(groups)), trees), np.tile(np.arange(trees), len(groups)), np.ones(n_roots, np.int64)
-    low, high = np.repeat(table("lo"), trees, 0), np.repeat(table("hi"), trees, 0)
+    low, high = np.repeat(low, trees, 0), np.repeat(high, trees, 0)
     nodes = Nodes(trees, np.full(n_roots, -1, np.int32), np.zeros(n_roots), np.zeros(n_roots, np.int64))
     sums = np.zeros((n_roots, K), np.int64)
     if classes:
         sums[:] = np.repeat([[r[f"n{i}"] for i in range(K)] for r in known], trees, 0) if known else sums
     else:
-        totals = {r._g: (r.n, r.t) for r in rows.groupBy("_g").agg(F.count("*").alias("n"), F.sum("_t").alias("t")).collect()}
-        sums[:] = np.repeat([totals[g] for g in range(len(groups))], trees, 0) if known else sums
+        sums[:] = np.repeat(_totals(rows, told, len(groups)), trees, 0) if known else sums
     all_sums, of = [sums], [group]
     first = 0
     for level in range(depth):
@@ -196,7 +234,7 @@ def extra_trees(
         if not len(ids):
             break
         tried_f, tried_c = drawn_cuts(seed, tree[ids], heap[ids], low[ids], high[ids], m)
-        best = _best_cuts(rows, factors, nodes, medians, first + ids, group[ids].astype(np.int32), tried_f, tried_c, level, K, bool(classes), leaf)
+        best = _best_cuts(rows, factors, nodes, told, first + ids, group[ids].astype(np.int32), tried_f, tried_c, level, K, leaf, level + 1 < depth)
         if not len(best["slot"]):
             break
         slot, k = best["slot"], best["k"]
@@ -208,7 +246,9 @@ def extra_trees(
         group, tree = np.repeat(group[at], 2), np.repeat(tree[at], 2)
         heap = (2 * heap[at][:, None] + np.arange(2)).ravel()
         first += len(sums)
-        sums, low, high = side("s", K).astype(np.int64), side("lo", d), side("hi", d)
+        sums = side("s", K).astype(np.int64)
+        if level + 1 < depth:
+            low, high = side("lo", d), side("hi", d)
         more = len(sums)
         nodes = Nodes(trees, np.append(nodes.feature, np.full(more, -1, np.int32)), np.append(nodes.cut, np.zeros(more)), np.append(nodes.left, np.zeros(more, np.int64)))
         all_sums.append(sums)
@@ -244,37 +284,36 @@ class Sides:
         return cls(np.zeros((K, sides), np.int64), np.full((d, sides), np.inf), np.full((d, sides), -np.inf), np.zeros(sides, bool))
 
     def add(self, x: np.ndarray, t: np.ndarray, at: np.ndarray, slot_of: np.ndarray, tried_f: np.ndarray, tried_c: np.ndarray, classes: bool) -> None:
-        """Adds rows; `at` is the node by row and tree, slot_of its slot or -1."""
+        """Adds rows; `at` is the node by row and tree, slot_of its slot or -1. Nothing is put in order: every row is added to its side."""
         slot = slot_of.take(at).ravel()
+        (d, m), K = (x.shape[1], tried_f.shape[1]), len(self.parts)
         met = np.flatnonzero(slot >= 0)
-        slot, row = slot.take(met), met // at.shape[1]
-        flat, (d, m), K = np.ascontiguousarray(x).ravel(), (x.shape[1], tried_f.shape[1]), len(self.parts)
-        columns = np.ascontiguousarray(x.T)
+        row = np.repeat(np.arange(len(x)), at.shape[1])
+        if len(met) < len(slot):
+            slot, row = slot.take(met), row.take(met)
+        flat, columns, t = np.ascontiguousarray(x).ravel(), np.ascontiguousarray(x.T), np.ascontiguousarray(t, np.int64)
+        start, values = row * d, [c.take(row) for c in columns] if len(self.low) else []
+        targets, parts = t.take(row), self.parts.ravel()
         for k in range(m):
-            f = tried_f[:, k].take(slot)
-            r, s = row, slot
+            f = tried_f[:, k].astype(np.int64).take(slot)
+            part, use = slot, None
             if (f < 0).any():
                 use = np.flatnonzero(f >= 0)
-                r, s, f = row.take(use), slot.take(use), f.take(use)
-            if not len(r):
+                part, f = slot.take(use), f.take(use)
+            if not len(part):
                 continue
-            key = 2 * s + (flat.take(r * d + f) > tried_c[:, k].take(s))
-            by = grouping(key)
-            key, r = key.take(by), r.take(by)
-            new = np.append(True, key[1:] != key[:-1])
-            starts = np.flatnonzero(new)
-            first = key[starts]
-            side = ((first >> 1) * m + k) * 2 + (first & 1)
+            side = (part * m + k) * 2
+            side += flat.take((start if use is None else start.take(use)) + f) > tried_c[:, k].take(part)
+            target = targets if use is None else targets.take(use)
             if classes:
-                counts = np.bincount((np.cumsum(new) - 1) * K + t.take(r), minlength=K * len(starts)).reshape(-1, K)
-                self.parts[:, side] += counts.T
+                np.add.at(parts, target * self.parts.shape[1] + side, 1)
             else:
-                self.parts[0, side] += np.diff(np.append(starts, len(r)))
-                self.parts[1, side] += np.add.reduceat(t.take(r), starts)
-            for i in range(d):
-                values = columns[i].take(r)
-                self.low[i, side] = np.minimum(self.low[i, side], np.minimum.reduceat(values, starts))
-                self.high[i, side] = np.maximum(self.high[i, side], np.maximum.reduceat(values, starts))
+                np.add.at(self.parts[0], side, 1)
+                np.add.at(self.parts[1], side, target)
+            for i, v in enumerate(values):
+                v = v if use is None else v.take(use)
+                np.minimum.at(self.low[i], side, v)
+                np.maximum.at(self.high[i], side, v)
             self.seen[side] = True
 
     def columns(self, m: int) -> dict[str, np.ndarray]:
@@ -289,33 +328,114 @@ class Sides:
         return cols
 
 
-def walks(batches: Iterator[pa.RecordBatch], medians: np.ndarray, rows: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Groups, targets and filled features of at most `rows` rows at a time, small batches put together."""
+@dataclass
+class Told:
+    """What tasks need to read stored rows: the group of each owner's view (-1: none), medians, and the step of each group's targets."""
+
+    group_of: np.ndarray
+    medians: np.ndarray
+    scale: np.ndarray
+    classes: bool
+
+    def read(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Groups, targets as whole numbers and the (unfilled) features, once for each view that a row takes part in."""
+        owner, view, t, x = taken(batch, self.group_of.shape[1], self.medians.shape[1])
+        group = self.group_of[owner, view]
+        if self.classes:
+            return group, t.astype(np.int64), x
+        # to the nearest whole number, halves away from zero
+        t = t / self.scale[group]
+        whole = np.trunc(t)
+        return group, (whole + np.where(np.abs(t - whole) >= 0.5, np.sign(t), 0.0)).astype(np.int64), x
+
+
+def taken(batch: pa.RecordBatch, views: int, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Owners, views, targets and features, once for each view that a row takes part in."""
+    t = batch["_t"].flatten()
+    part = np.flatnonzero(t.is_valid().to_numpy(zero_copy_only=False))
+    row = part // views
+    return batch["_g"].to_numpy().take(row), part - row * views, t.drop_null().to_numpy(), matrix(batch["_x"], d).take(row, axis=0)
+
+
+def _facts(rows: DataFrame, views: int, d: int, K: int) -> list:
+    """For each owner `_g` and `_view` the rows n, of each class n0 and on, the greatest target `most` and the features' ranges, lo above hi if all are missing."""
+    whole = ["n", *[f"n{i}" for i in range(K)]]
+    most = ["most", *[f"hi{i}" for i in range(d)]]
+    least = [f"lo{i}" for i in range(d)]
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, high, low = np.zeros((1 + K, 0), np.int64), np.zeros((1 + d, 0)), np.zeros((d, 0))
+        for batch in batches:
+            owner, view, t, x = taken(batch, views, d)
+            at = owner.astype(np.int64) * views + view
+            if (more := int(at.max(initial=-1)) + 1 - counts.shape[1]) > 0:
+                counts, high, low = (np.append(a, np.full((len(a), more), v, a.dtype), axis=1) for a, v in ((counts, 0), (high, -np.inf), (low, np.inf)))
+            np.add.at(counts[0], at, 1)
+            for i in range(K):
+                np.add.at(counts[1 + i], at, (t == i).astype(np.int64))
+            np.maximum.at(high[0], at, np.abs(t).astype(float))
+            for i in range(d):
+                some = np.flatnonzero(~np.isnan(x[:, i]))
+                np.minimum.at(low[i], at.take(some), x[some, i])
+                np.maximum.at(high[1 + i], at.take(some), x[some, i])
+        at = np.flatnonzero(counts[0])
+        cols = {c: a[at] for names, table in ((whole, counts), (most, high), (least, low)) for c, a in zip(names, table, strict=True)}
+        yield pa.record_batch({"_g": (at // views).astype(np.int32), "_view": (at % views).astype(np.int32), **cols})
+
+    schema = "_g int, _view int, " + ", ".join([f"{c} long" for c in whole] + [f"{c} double" for c in [*most, *least]])
+    sums = [F.sum(c).alias(c) for c in whole] + [F.max(c).alias(c) for c in most] + [F.min(c).alias(c) for c in least]
+    return rows.mapInArrow(met, schema).groupBy("_g", "_view").agg(*sums).limit(GROUPS + 1).collect()
+
+
+def _totals(rows: DataFrame, told: Told, n: int) -> np.ndarray:
+    """Number and sum of targets of each group."""
+    kept = rows.sparkSession.sparkContext.broadcast(told)
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros((2, n), np.int64)
+        for batch in batches:
+            group, t, _ = kept.value.read(batch)
+            np.add.at(out[0], group, 1)
+            np.add.at(out[1], group, t)
+        g = np.flatnonzero(out[0])
+        yield pa.record_batch({"g": g, "n": out[0, g], "t": out[1, g]})
+
+    found = rows.mapInArrow(met, "g long, n long, t long").groupBy("g").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).toArrow()
+    out = np.zeros((n, 2), np.int64)
+    out[found["g"].to_numpy()] = np.stack([found["n"].to_numpy(), found["t"].to_numpy()], 1)
+    return out
+
+
+def walks(batches: Iterator[pa.RecordBatch], told: Told, rows: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Groups, targets and filled features of at most `rows` rows at a time, small batches put together, a group's rows side by side."""
     held, size = [], 0
     for batch in chain(batches, [None]):
         if batch is not None and batch.num_rows:
-            group = batch["_g"].to_numpy()
-            held.append((group, batch["_t"].to_numpy(), filled(batch["_x"], group, medians)))
-            size += batch.num_rows
+            held.append(told.read(batch))
+            size += len(held[-1][0])
         if held and (batch is None or size >= rows):
             group, t, x = (np.concatenate(c) for c in zip(*held, strict=True))
+            by = grouping(group)
+            group, t = group.take(by), t.take(by)
+            x = fill(x.take(by, axis=0), group, told.medians)
             for a in range(0, size, rows):
                 yield group[a : a + rows], t[a : a + rows], x[a : a + rows]
             held, size = [], 0
 
 
-def _best_cuts(rows, factors, nodes, medians, ids, owner, tried_f, tried_c, level, K, classes, leaf) -> dict[str, np.ndarray]:
-    """For each node that has a cut which helps, the best one with both sides' sums and ranges, by slot."""
-    spark, d = rows.sparkSession, medians.shape[1]
+def _best_cuts(rows, factors, nodes, told, ids, owner, tried_f, tried_c, level, K, leaf, ranged) -> dict[str, np.ndarray]:
+    """For each node that has a cut which helps, the best one with both sides' sums and, if `ranged`, ranges, by slot."""
+    spark, classes = rows.sparkSession, told.classes
+    d = told.medians.shape[1] if ranged else 0
     slot_of = np.full(len(nodes.feature), -1, np.int64)
     slot_of[ids] = np.arange(len(ids))
-    kept = spark.sparkContext.broadcast((nodes, medians, slot_of, owner, tried_f, tried_c))
+    kept = spark.sparkContext.broadcast((nodes, told, slot_of, owner, tried_f, tried_c))
     names = ["slot", "k"] + [f"s{s}{i}" for s in "lr" for i in range(K)] + [f"{e}{s}{i}" for s in "lr" for i in range(d) for e in ("lo", "hi")]
     kinds = {"slot": "long", "k": "int", "g": "int"}
     schema = ", ".join(f"{n} {kinds.get(n, 'long' if n[0] == 's' else 'double')}" for n in ["g", *names])
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nodes, medians, slot_of, owner, tried_f, tried_c = kept.value
+        nodes, told, slot_of, owner, tried_f, tried_c = kept.value
         n, m = tried_f.shape
         whole = 2 * n * m * (8 * (K + 2 * d) + 1) <= HELD
         sides = Sides.of(2 * n * m if whole else 0, K, d)
@@ -326,7 +446,7 @@ def _best_cuts(rows, factors, nodes, medians, ids, owner, tried_f, tried_c, leve
                 part = {name: cols[name][a : a + PASSED] for name in names}
                 yield pa.record_batch({"g": owner[part["slot"]], **part})
 
-        for group, t, x in walks(batches, medians, max(1, WALKED // nodes.trees)):
+        for group, t, x in walks(batches, told, max(1, WALKED // nodes.trees)):
             at = nodes.walk(group, x, level)
             if whole:
                 sides.add(x, t, at, slot_of, tried_f, tried_c, classes)

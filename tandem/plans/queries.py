@@ -1001,18 +1001,23 @@ def baseline_matrix(spark, sf):
 ROUTER_FEATURES = {"prediction": ["pred2d", "uncertainty"], "full": ["pred2d", "uncertainty", "score", "cost"]}
 
 
-def objective_rows(spark, sf, group: str) -> DataFrame:
-    """Validation rows with every objective's out-of-fold score."""
+def objective_items(spark, sf) -> DataFrame:
+    """Validation rows with what routers learn from, written once for all fits."""
     v = routing.with_utilities(paired(spark, sf).where("split = 'val'"))
     v = routing.uncertainty(v, ["task", "seed"], v).withColumn("fold_id", (F.col("mol_id") % 5).cast("int"))
-    rows = out_of_fold_scores(v, GROUP, "fold_id", 5, ROUTER_FEATURES[group], trees=TREES // 2, depth=DEPTH)
-    return written(rows, "objectives")
+    return written(v.select(*GROUP, "mol_id", "fold_id", "y", "pred2d", "pred3d", "utility", "uncertainty", "score", "cost"), "items")
+
+
+def objective_rows(known: DataFrame, group: str) -> DataFrame:
+    """Validation rows with every objective's out-of-fold score."""
+    rows = out_of_fold_scores(known, GROUP, "fold_id", 5, ROUTER_FEATURES[group], trees=TREES // 2, depth=DEPTH)
+    return written(rows.select(*GROUP, "mol_id", "fold_id", "y", "pred2d", "pred3d", "utility", *OBJECTIVES), "objectives")
 
 
 @query
 def router_objectives(spark, sf):
     """Integrated gain of six objectives' out-of-fold scores."""
-    rows = objective_rows(spark, sf, "full")
+    rows = objective_rows(objective_items(spark, sf), "full")
     c = routing.routing_curves(rows, GROUP, {n: F.coalesce(F.col(n), F.lit(0.0)) for n in OBJECTIVES})
     return rounded(metrics.integrated_gain(c, [*GROUP, "router"]))
 
@@ -1020,10 +1025,10 @@ def router_objectives(spark, sf):
 @query
 def objective_grid(spark, sf):
     """The best of objective, feature group and gate by out-of-fold gain, then NDCG."""
-    path, best = scratch_path(spark, "grid"), [*GROUP, "candidate", "place"]
+    path, best, known = scratch_path(spark, "grid"), [*GROUP, "candidate", "place"], objective_items(spark, sf)
     for i, group in enumerate(ROUTER_FEATURES):
         each = F.array(*[F.struct(F.lit(f"{n}/{group}").alias("candidate"), F.lit(k * len(ROUTER_FEATURES) + i).alias("place"), F.col(n).alias("s")) for k, n in enumerate(OBJECTIVES)])
-        rows = objective_rows(spark, sf, group).select(*GROUP, "mol_id", "fold_id", "y", "pred2d", "pred3d", "utility", F.inline(each))
+        rows = objective_rows(known, group).select(*GROUP, "mol_id", "fold_id", "y", "pred2d", "pred3d", "utility", F.inline(each))
         rows.write.mode("append").parquet(path)
     rows = written(selection.fold_scores(spark.read.schema(rows.schema).parquet(path), best, "fold_id", "s"), "candidates")
     gates = rows.groupBy(*best).agg(F.percentile("s", F.lit(0.5)).alias("half"))

@@ -1,5 +1,6 @@
 """Fusion and router objectives against their definitions."""
 
+import hashlib
 import math
 import random
 
@@ -138,3 +139,41 @@ def test_objectives_rank_gains_and_folds_do_not_leak(spark):
     mine = got[got.fold == 1].set_index(["task", "mol_id"]).sort_index()
     for name in routers.OBJECTIVES:
         assert np.allclose(alone[name].astype(float), mine[name].astype(float), atol=1e-6), name
+
+
+def test_pairs_of_all_folds_from_one_order(spark, monkeypatch):
+    """The pairs of each training set are those that `pairwise_rows` draws from its rows alone, whatever the blocks."""
+    monkeypatch.setattr(routers, "BLOCK", 16)
+    monkeypatch.setattr(routers, "APART", 23)
+    rows = gains()
+    df = spark.createDataFrame(rows, "task string, mol_id long, fold int, utility double, a double, b double").repartition(3)
+    t = routers.fold_targets(df, ["task"], "fold", 3, "utility")
+    names = sorted({r[0] for r in rows})
+    sizes = np.array([[sum(r[0] == n and r[2] != k for r in rows) for k in range(3)] for n in names])
+    margins = np.array([t.where(F.col("task") == n).first()._margin for n in names])
+    numbered = t.withColumn("_g", F.array_position(F.array(*map(F.lit, names)), F.col("task")).cast("int") - 1)
+    got = routers.fold_pairs(numbered, "fold", sizes, margins, "utility", ["a", "b"], partners=3, seed=4).toPandas()
+    for g, name in enumerate(names):
+        for k in range(3):
+            mine = [(r[0], r[1], r[3], r[4], r[5]) for r in rows if r[0] == name and r[2] != k]
+            place = {r[1]: i for i, r in enumerate(sorted(mine, key=lambda r: (int(hashlib.md5(f"4:{r[1]}".encode()).hexdigest()[:8], 16), r[1])))}
+            order = sorted(mine, key=lambda r: place[r[1]])
+            want = []
+            for i, r in enumerate(order):
+                for turn in (1, 2, 3):
+                    o = order[(i + turn * 23) % len(order)]
+                    if abs(r[2] - o[2]) > margins[g][k]:
+                        want.append((r[3] - o[3], r[4] - o[4], float(r[2] > o[2]), abs(r[2] - o[2])))
+            runs = got[got._g == g * 3 + k]
+            found = [(*x, y, w) for r in runs.itertuples() for x, y, w in zip(np.reshape(r._2, (-1, 2)), r._3, r._4, strict=True)]
+            assert np.allclose(sorted(found), sorted(want)) if want else not found
+
+
+def test_a_row_trains_many_folds_but_is_stored_once(spark, monkeypatch):
+    rows = gains()
+    df = spark.createDataFrame(rows, "task string, mol_id long, fold int, utility double, a double, b double").repartition(3)
+    kept = {}
+    written = routers.written
+    monkeypatch.setattr(routers, "written", lambda df, name: kept.setdefault(name, written(df, name)))
+    routers.out_of_fold_scores(df, ["task"], "fold", 3, ["a", "b"], trees=2, depth=2)
+    assert kept["targets"].count() == len(rows)

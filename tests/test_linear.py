@@ -123,3 +123,16 @@ def test_gram_sums(spark):
     for g in ("p", "q"):
         x = np.array([[1.0, r[2], r[3], r[6]] for r in rows if r[0] == g])
         assert all(np.isclose(got[g, i, j], x[:, i] @ x[:, j]) for i in range(4) for j in range(i, 4))
+
+
+def test_small_batches_are_added_up_together():
+    """Rows of many small batches become one run of each group."""
+    import pyarrow as pa
+
+    def batch(a):
+        i = np.arange(a, a + 10)
+        return pa.record_batch({"_g": (i % 3).astype(np.int32), "_x": pa.array([[float(v), -float(v)] for v in i]), "_y": i.astype(float), "_w": np.ones(10), "_item": pa.array([str(v) for v in i])})
+
+    runs = [r for b in linear.packed(iter([batch(a) for a in range(0, 100, 10)])) for r in b.to_pylist()]
+    assert [r["_g"] for r in runs] == [0, 1, 2] and runs[1]["_y"][:3] == [1.0, 4.0, 7.0]
+    assert runs[2]["_x"][:4] == [2.0, -2.0, 5.0, -5.0] and runs[2]["_item"][1] == "5" and sum(len(r["_w"]) for r in runs) == 100

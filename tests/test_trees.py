@@ -133,3 +133,19 @@ def test_sides_of_all_rows_of_a_task_are_passed_on_once(spark, monkeypatch):
     assert got["slot"].tolist() == [0, 0] and got["k"].tolist() == [0, 1]
     assert got["sl0"].tolist() == [6, 24] and got["sr0"].tolist() == [18, 0] and got["sl1"].tolist() == [15, 276] and got["lor1"].tolist() == [13, np.inf]
     assert trees.grouping(np.array([70_000, 3, 70_000, 4_464])).tolist() == [1, 3, 0, 2]
+
+
+def test_a_row_in_many_groups_is_stored_once(spark, monkeypatch):
+    """Views of a row, each with its own target, grow the trees that copies of the row would, from one stored row."""
+    rows = [(*r[:3], float(r[3]), *r[4:]) for r in table(5)]
+    df = spark.createDataFrame(rows, "g string, i long, a double, b double, c double, d double, y double, z int").repartition(3)
+    other = {0: F.col("y"), 1: F.when(F.col("i") % 3 != 0, -F.col("y") / 3)}
+    copies = df.select("g", "i", "a", "b", "c", "d", F.inline(F.array(*[F.struct(F.lit(k).alias("k"), c.alias("t")) for k, c in other.items()])))
+    kept = []
+    path = trees.scratch_path
+    monkeypatch.setattr(trees, "scratch_path", lambda *a: kept.append(path(*a)) or kept[-1])
+    options = dict(trees=4, leaf=2, depth=4)
+    want = trees.extra_trees(copies, ["g", "k"], ["a", "b", "c", "d"], "t", **options)
+    got = trees.extra_trees(df, ["g", "k"], ["a", "b", "c", "d"], None, views=[({"k": k}, c) for k, c in other.items()], complete=True, **options)
+    assert got.groups == want.groups and got.nodes.feature.tolist() == want.nodes.feature.tolist() and got.value.tolist() == want.value.tolist()
+    assert spark.read.parquet(kept[-1]).count() == len(rows)
