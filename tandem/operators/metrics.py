@@ -77,17 +77,25 @@ def _discounts(low: Column, high: Column) -> Column:
     return F.when(high >= low, head + tail).otherwise(0.0)
 
 
-def ndcg(df: DataFrame, keys: Keys, score: str, gain: str, budget: float) -> DataFrame:
-    """NDCG at max(1, budget percent of the rows); relevance is max(gain, 0), ties share the average relevance."""
+def ndcg(df: DataFrame, keys: Keys, score: str, gain: str, budget: float, shared: tuple[DataFrame, Keys] | None = None) -> DataFrame:
+    """NDCG at max(1, budget percent of the rows); relevance is max(gain, 0), ties share the average relevance.
+
+    Where many groups of df order the same items, `shared` has these items once, and those of the keys that tell them apart, so
+    that their ideal order is found once.
+    """
     keys = list(keys)
-    rows = df.withColumn("_rel", F.greatest(F.col(gain), F.lit(0.0)))
-    cut = rows.groupBy(*keys).agg(F.greatest(F.lit(1).cast("long"), half_even(F.count("*") * budget / 100)).alias("_k"))
+    relevant = lambda df: df.withColumn("_rel", F.greatest(F.col(gain), F.lit(0.0)))
+    cuts = lambda df, keys: df.groupBy(*keys).agg(F.greatest(F.lit(1).cast("long"), half_even(F.count("*") * budget / 100)).alias("_k"))
+    rows = relevant(df)
+    cut = cuts(rows, keys)
+    all_, of = (rows, keys) if shared is None else (relevant(shared[0]), list(shared[1]))
+    cut_all = cut if shared is None else cuts(all_, of)
     got = by_value(rows, keys, score, {"_n": F.lit(1).cast("long"), "_sum": F.col("_rel")}, descending=True).join(cut, keys)
     top = lambda n: _discounts(F.col(f"{n}_to") - F.col(n) + 1, F.least(f"{n}_to", "_k"))
     got = got.groupBy(*keys).agg(F.sum(F.col("_sum") / F.col("_n") * top("_n")).alias("_dcg"))
-    best = by_value(rows, keys, "_rel", {"_n": F.lit(1).cast("long")}, descending=True).join(cut, keys)
-    best = best.groupBy(*keys).agg(F.sum(F.col("_rel") * top("_n")).alias("_ideal"))
-    return got.join(best, keys).select(*keys, ratio("_dcg", "_ideal").alias("ndcg"))
+    best = by_value(all_, of, "_rel", {"_n": F.lit(1).cast("long")}, descending=True).join(cut_all, of)
+    best = best.groupBy(*of).agg(F.sum(F.col("_rel") * top("_n")).alias("_ideal"))
+    return got.join(best, of).select(*keys, ratio("_dcg", "_ideal").alias("ndcg"))
 
 
 def precision_at_budget(df: DataFrame, keys: Keys, score: str, hit: Column, budget: float, ties: Sequence[str]) -> DataFrame:

@@ -19,44 +19,55 @@ Keys = Sequence[str]
 RISK_WEIGHTS = (0.0, 0.25, 0.5, 0.75, 1.0, 1.5)
 
 
-def fold_scores(df: DataFrame, keys: Keys, fold: str, score: str, least: int = 16, share: float = 0.8) -> DataFrame:
+def fold_scores(df: DataFrame, keys: Keys, fold: str, score: str, least: int = 16, share: float = 0.8, median: str | None = None) -> DataFrame:
     """Out-of-fold scores of every group that has enough of them, gaps filled with the group's median.
 
+    The column `median`, if named, has that, which is the median of the filled scores too.
+
     A fold with fewer than `least` rows outside it was never fitted, so its scores do not count. A group needs two
     folds, max(least, half its rows) scores and the share of them.
     """
     keys = list(keys)
     sizes = df.groupBy(*keys, fold).agg(F.count("*").alias("_own"))
     whole = sizes.groupBy(*keys).agg(F.sum("_own").alias("_n"), F.count_if(F.col(fold) >= 0).alias("_folds"))
-    rows = df.join(sizes, [*keys, fold]).join(whole, keys)
+    rows = df.join(F.broadcast(sizes.join(whole, keys)), [*keys, fold])
     rows = rows.withColumn("_s", F.when((F.col("_n") - F.col("_own") >= least) & (F.col("_folds") >= 2) & (F.col(fold) >= 0), F.col(score)))
     known = rows.groupBy(*keys).agg(F.count("_s").alias("_known"), F.percentile("_s", F.lit(0.5)).alias("_fill"))
-    rows = rows.join(known, keys).where(F.col("_known") >= F.greatest(F.lit(least), F.floor(F.col("_n") / 2))).where(F.col("_known") >= share * F.col("_n"))
-    return rows.withColumn(score, F.coalesce("_s", "_fill")).drop("_own", "_n", "_folds", "_s", "_known", "_fill")
+    rows = rows.join(F.broadcast(known), keys).where(F.col("_known") >= F.greatest(F.lit(least), F.floor(F.col("_n") / 2))).where(F.col("_known") >= share * F.col("_n"))
+    rows = rows.withColumn(score, F.coalesce("_s", "_fill"))
+    return (rows.withColumn(median, F.col("_fill")) if median else rows).drop("_own", "_n", "_folds", "_s", "_known", "_fill")
 
 
 def gated_performance(df: DataFrame, keys: Keys, score: str, gate: str, budgets: Sequence[int] = BUDGETS, item: str = "mol_id", gates: DataFrame | None = None) -> DataFrame:
     """keys, budget, call_rate and performance when the best budget percent are called that reach the threshold in `gate`.
 
     Keys hold task_type and whatever tells candidates apart; a NULL gate lets everything pass. With `gates` (keys, names of gates
-    and the threshold) every group is ordered once for all its gates, and their names join the keys of the result. Errors keep
-    a sum for each budget; only classes are multiplied by budgets.
+    and the threshold) every group is ordered once for all its gates, and their names join the keys of the result. A row adds to
+    the sums of the least budget that reaches it, and sums of greater budgets follow; only classes are multiplied by budgets.
     """
-    keys = list(keys)
+    keys, budgets = list(keys), sorted(budgets)
     sizes = df.groupBy(*keys).agg(F.count("*").alias("_n"))
-    rows = positions(df, keys, score, [item], "_at").join(sizes, keys)
+    sizes = sizes.select(*keys, "_n", F.array(*[half_even(F.col("_n") * b / 100) for b in budgets]).alias("_cuts"))
+    rows = positions(df, keys, score, [item], "_at").join(F.broadcast(sizes), keys)
+    rows = rows.withColumn("_reach", F.size(F.filter("_cuts", lambda c: c < F.col("_at")))).drop("_cuts")
     if gates is not None:
         rows = rows.join(F.broadcast(gates), keys)
         keys += [c for c in gates.columns if c not in (*keys, gate)]
     passes = F.col(gate).isNull() | (F.col(score) >= F.col(gate))
-    on = lambda b: passes & (F.col("_at") <= half_even(F.col("_n") * b / 100))
-    miss = lambda b: F.abs(F.col("y") - F.when(on(b), F.col("pred3d")).otherwise(F.col("pred2d")))
-    wide = rows.groupBy(*keys).agg(*[F.avg(on(b).cast("double")).alias(f"r{b}") for b in budgets], *[F.avg(miss(b)).alias(f"e{b}") for b in budgets])
-    points = F.array(*[F.struct(F.lit(b).alias("budget"), F.col(f"r{b}").alias("call_rate"), F.col(f"e{b}").alias("_mae")) for b in budgets])
+    # whether a missing score passes is not known: such a row keeps pred2d and has no call rate where the budget reaches it
+    rows = rows.withColumn("_open", passes.isNull()).withColumn("_reach", F.when(F.coalesce(passes, F.lit(True)), F.col("_reach")).otherwise(len(budgets)))
+    miss = lambda p: F.abs(F.col("y") - F.col(p))
+    sums = rows.groupBy(*keys, "_reach", "_open").agg(F.count("*").alias("_rows"), F.count(miss("pred3d")).alias("_known3"), F.sum(miss("pred3d")).alias("_miss3"), F.count(miss("pred2d")).alias("_known2"), F.sum(miss("pred2d")).alias("_miss2"))
+    points = sums.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(len(budgets) - 1))))
+    reached = F.col("_reach") <= F.col("_i")
+    called = reached & ~F.col("_open")
+    either = lambda a, b: F.sum(F.when(called, F.col(a)).otherwise(F.col(b)))
+    out = points.groupBy(*keys, F.array(*map(F.lit, budgets))[F.col("_i")].alias("budget")).agg(
+        F.try_divide(F.sum(F.when(called, F.col("_rows")).otherwise(0)), F.sum(F.when(called | ~reached, F.col("_rows")))).alias("call_rate"), F.try_divide(either("_miss3", "_miss2"), either("_known3", "_known2")).alias("_mae")
+    )
     group = [*keys, "budget"]
-    out = wide.select(*keys, F.inline(points))
-    cls = rows.where("task_type = 'classification'").withColumn("budget", F.explode(F.array(*map(F.lit, budgets))))
-    cls = cls.withColumn("_p", F.when(on(F.col("budget")), F.col("pred3d")).otherwise(F.col("pred2d")))
+    cls = rows.where("task_type = 'classification'").withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(len(budgets) - 1))))
+    cls = cls.withColumn("budget", F.array(*map(F.lit, budgets))[F.col("_i")]).withColumn("_p", F.when(called, F.col("pred3d")).otherwise(F.col("pred2d")))
     out = out.join(auroc(cls, group, "y", "_p"), group, "left")
     return out.select(*group, "call_rate", F.when(F.col("task_type") == "classification", F.col("AUROC")).otherwise(-F.col("_mae")).alias("performance"))
 

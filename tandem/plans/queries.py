@@ -1030,12 +1030,12 @@ def objective_grid(spark, sf):
         each = F.array(*[F.struct(F.lit(f"{n}/{group}").alias("candidate"), F.lit(k * len(ROUTER_FEATURES) + i).alias("place"), F.col(n).alias("s")) for k, n in enumerate(OBJECTIVES)])
         rows = objective_rows(known, group).select(*GROUP, "mol_id", "fold_id", "y", "pred2d", "pred3d", "utility", F.inline(each))
         rows.write.mode("append").parquet(path)
-    rows = written(selection.fold_scores(spark.read.schema(rows.schema).parquet(path), best, "fold_id", "s"), "candidates")
-    gates = rows.groupBy(*best).agg(F.percentile("s", F.lit(0.5)).alias("half"))
+    rows = written(selection.fold_scores(spark.read.schema(rows.schema).parquet(path), best, "fold_id", "s", median="half"), "candidates")
+    gates = rows.groupBy(*best).agg(F.first("half").alias("half"))
     gates = gates.select(*best, F.inline(F.array(F.struct(F.lit(0).alias("gate"), F.lit(None).cast("double").alias("threshold")), F.struct(F.lit(1).alias("gate"), F.col("half").alias("threshold")))))
-    curve = selection.gated_performance(rows, best, "s", "threshold", gates=gates)
+    curve = selection.gated_performance(rows.drop("half", "fold_id", "utility"), best, "s", "threshold", gates=gates)
     big = metrics.integrated_gain(curve, [*best, "gate"]).select(*best, "gate", F.round("area", 10).alias("big"))
-    n = metrics.ndcg(rows, best, "s", "utility", 20).withColumn("ndcg", F.round("ndcg", 10))
+    n = metrics.ndcg(rows, best, "s", "utility", 20, (known, GROUP)).withColumn("ndcg", F.round("ndcg", 10))
     return rounded(selection.lexicographic_best(big.join(n, best), GROUP, "big", "ndcg", ["place", "gate"]).select("task", "seed", "candidate", "gate", "big", "ndcg"))
 
 

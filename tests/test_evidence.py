@@ -178,3 +178,29 @@ def test_gates_of_a_group_share_its_order(spark, monkeypatch):
     for gate in (0, 1):
         for r in selection.gated_performance(df.join(gates.where(f"gate = {gate}"), kinds), kinds, "s", "threshold", (0, 20, 100)).collect():
             assert both[r.task, gate, r.budget] == pytest.approx((r.call_rate, r.performance))
+
+
+def test_a_budget_adds_to_the_sums_of_the_one_before(spark):
+    """Every budget's error and call rate against a loop; the rows are summed once, not once for each budget. A missing score has no call rate where it is reached."""
+    rows = [("a", "regression", i, i % 3 + 0.5, i * 0.1 % 0.7, i * 0.3 % 0.9, None if i in (4, 9) else i * 11 % 23 / 23) for i in range(30)]
+    df = spark.createDataFrame(rows, "task string, task_type string, mol_id long, y double, pred2d double, pred3d double, s double")
+    got = selection.gated_performance(df.withColumn("gate", F.lit(0.4)), ["task", "task_type"], "s", "gate", (100, 0, 20, 97))
+    assert "_reach" in got._jdf.queryExecution().optimizedPlan().toString()
+    order = sorted(rows, key=lambda r: (r[6] is None, -(r[6] or 0), r[2]))
+    for r in got.collect():
+        n = round(30 * r.budget / 100)
+        on = [None if x[6] is None and i < n else i < n and x[6] >= 0.4 for i, x in enumerate(order)]
+        known = [o for o in on if o is not None]
+        assert r.call_rate == pytest.approx(sum(known) / len(known))
+        assert r.performance == pytest.approx(-sum(abs(x[3] - (x[5] if o else x[4])) for x, o in zip(order, on, strict=True)) / 30)
+
+
+def test_gains_shared_by_many_scores_are_ordered_once(spark):
+    rows = [("a", c, i, (i * 7 % 11) / 11 - 0.2, (i * k) % 13 / 13) for c, k in (("p", 3), ("q", 5)) for i in range(40)]
+    df = spark.createDataFrame(rows, "task string, c string, mol_id long, u double, s double")
+    want = metrics.ndcg(df, ["task", "c"], "s", "u", 20).orderBy("c").collect()
+    got = metrics.ndcg(df, ["task", "c"], "s", "u", 20, (df.where("c = 'p'"), ["task"])).orderBy("c").collect()
+    assert [r.c for r in got] == ["p", "q"] and [r.ndcg for r in got] == pytest.approx([r.ndcg for r in want])
+    both = selection.fold_scores(df.withColumn("fold", F.col("mol_id") % 4), ["task", "c"], "fold", "s", least=4, median="half")
+    for r in both.groupBy("task", "c").agg(F.first("half").alias("half"), F.percentile("s", F.lit(0.5)).alias("whole")).collect():
+        assert r.half == r.whole
