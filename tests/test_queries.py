@@ -36,3 +36,9 @@ def test_against_sql(spark, db, name):
     assert sorted(names) == sorted(df.columns)
     want = [tuple(r[names.index(c)] for c in df.columns) for r in found.fetchall()]
     assert canonical(got) == canonical(want)
+
+
+def test_fits_do_not_read_texts_again(spark):
+    """What a query of many fits returns is computed from stored features, not from the texts, which are read once."""
+    files = QUERIES["baseline_matrix"](spark, SF).inputFiles()
+    assert files and not any("documents" in f for f in files)
